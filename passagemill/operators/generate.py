@@ -1,66 +1,84 @@
 """Distributed batch generation and the pipelines around it.
 
-A generator is a `Column -> Column` function: prompt text in, generated text out.
-`model_generator` makes one from a user's model; tests use plain column expressions.
-The model itself is the user's.
+A generator is either a `Column -> Column` function from prompt text to generated text,
+or a `Model`: a user's text model, loaded once per task and fed whole Arrow batches.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from passagemill import fixed_values as fv
 from passagemill.functions import match as M, prompts as P, selection as S
 from passagemill.functions.text import let
 from passagemill.session import reliable_checkpoint
 
-LoadModel = Callable[[], Callable[[list[str]], list[str]]]
+# Executors need not have this package installed: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
 
 
-def model_generator(load_model: LoadModel) -> Callable[[Column], Column]:
-    """Generator from a model: `load_model` runs once per task, then gets whole Arrow batches.
+@dataclass(frozen=True)
+class Model:
+    """`load` returns a function from a list of prompts to the list of their texts."""
 
-    Only the prompt column travels to Python; all other columns stay in the JVM.
-    """
+    load: Callable[[], Callable[[list[str]], list[str]]]
+
+
+Generator = Callable[[Column], Column] | Model
 
-    @F.pandas_udf("string")
-    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
-        for prompts in batches:
-            yield pd.Series(model(list(prompts)), index=prompts.index, dtype="object")
 
-    return generate.asNondeterministic()
+def _replies(model: Callable[[list[str]], list[str]], prompts: list[str]) -> list[str]:
+    """Model texts; blank prompts get an empty text and never reach the model."""
+    asked = [p for p in prompts if p and p.strip()]
+    texts = iter(model(asked) if asked else [])
+    return [next(texts) if p and p.strip() else "" for p in prompts]
 
 
-def model_candidate_generator(load_model: LoadModel) -> Callable[[Column], Column]:
-    """The same for lists of candidates: one model call per batch over all their prompts."""
+def _with_model(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
+    """Adds `out` for a text column or a column of text lists; other columns stay in Arrow."""
+    of_lists = isinstance(df.schema[prompt].dataType, T.ArrayType)
+    kind = T.ArrayType(T.StringType()) if of_lists else T.StringType()
+    load = model.load
 
-    @F.pandas_udf("array<string>")
-    def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
-        for lists in batches:
-            flat = [prompt for prompts in lists for prompt in prompts]
-            replies = iter(model(flat) if flat else [])
-            yield pd.Series([[next(replies) for _ in prompts] for prompts in lists])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = load()
+        for batch in batches:
+            asked = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
+            if of_lists:
+                texts = iter(_replies(answer, [p for prompts in asked for p in prompts]))
+                found = pa.array(
+                    [[next(texts) for _ in prompts] for prompts in asked], pa.list_(pa.string()))
+            else:
+                found = pa.array(_replies(answer, asked), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, found], [*batch.schema.names, out])
 
-    nondeterministic = generate.asNondeterministic()
-    return lambda candidates: nondeterministic(F.transform(candidates, lambda c: c["prompt"]))
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(out, kind)]))
 
 
 def batch_generate(
-    prompts: DataFrame, generate: Callable[[Column], Column], prompt: str = "prompt",
+    prompts: DataFrame, generate: Generator, prompt: str = "prompt",
     out: str = "generated_text", partitions: int | None = None,
 ) -> DataFrame:
-    """Adds the generated text; `partitions` evens out slow prompts by row count."""
+    """Adds the generated text; `partitions` evens out slow prompts by row count.
+
+    Select only the columns a model run has to keep: they all pass through its tasks.
+    """
     spread = prompts.repartition(partitions) if partitions else prompts
-    return spread.withColumn(out, generate(F.col(prompt)))
+    if isinstance(generate, Model):
+        return _with_model(spread, generate, prompt, out)
+    return spread.withColumn(out, F.when(
+        F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
 
 
 def selection_run(
-    contexts: DataFrame, generate: Callable[[Column], Column],
+    contexts: DataFrame, generate: Generator,
     drop_instruction: str = fv.INSTRUCTION_ALWAYS_ANSWER,
     select_instruction: str = fv.INSTRUCTION_SELECT_ALIASES,
     rebuild_instruction: str = fv.INSTRUCTION_ALWAYS_ANSWER,
@@ -77,8 +95,7 @@ def selection_run(
         select_instruction, S.alias_prompt(stripped, "document_indices")))
     asked = contexts.withColumn("selector_prompt", F.when(
         F.trim("prompt") == "", F.lit("")).otherwise(chat))
-    answered = asked.withColumn("selector_text", F.when(
-        F.col("selector_prompt") == "", F.lit("")).otherwise(generate(F.col("selector_prompt"))))
+    answered = batch_generate(asked, generate, "selector_prompt", "selector_text")
     decoded = answered.withColumn(
         "selected_ids_raw", S.decode_selection("selector_text", "document_indices"))
     return decoded.withColumn("prompt", S.rebuild_prompt(
@@ -94,7 +111,7 @@ def selected_docs(docs: Column | str = "docs", raw: Column | str = "selected_ids
 
 
 def selection_then_answer(
-    contexts: DataFrame, select: Callable[[Column], Column], answer: Callable[[Column], Column],
+    contexts: DataFrame, select: Generator, answer: Generator,
     durable: bool = False, **options,
 ) -> DataFrame:
     """Selection run followed by the answering generator and answer extraction.
@@ -111,7 +128,7 @@ def selection_then_answer(
 
 
 def reanswer_run(
-    old_run: DataFrame, answer: Callable[[Column], Column],
+    old_run: DataFrame, answer: Generator,
     old: str = fv.INSTRUCTION_ALWAYS_ANSWER, new: str = fv.INSTRUCTION_ANSWER,
     prefix: str = fv.ADAPTER_ANSWER_MARKER,
 ) -> DataFrame:

@@ -17,6 +17,7 @@ from passagemill.functions import prompts as P
 from passagemill.functions.bleu import bleu_max
 from passagemill.functions.match import answer_match
 from passagemill.functions.text import col, first_line, let
+from passagemill.operators.generate import Model, batch_generate
 from passagemill.schemas import TRACE
 from passagemill.session import reliable_checkpoint
 
@@ -164,10 +165,10 @@ def mine_silver(
 
 
 def mine_silver_with_model(
-    contexts: DataFrame, generate: Generator, rounds: int, extract=first_line,
+    contexts: DataFrame, model: Model, rounds: int, extract=first_line,
     base_prompt: Column | None = None, durable: bool = True,
 ) -> DataFrame:
-    """The same search with a model (see `generate.model_candidate_generator`).
+    """The same search with a model, which gets the prompts of a round in batches.
 
     With `durable` each round is written to the shared checkpoint folder, so that a lost
     executor never calls the model again for a finished round, and the search ends as
@@ -177,10 +178,11 @@ def mine_silver_with_model(
 
     def judged(df: DataFrame, candidates: Column) -> DataFrame:
         asked = df.withColumn("_candidates", candidates)
-        replied = asked.withColumn("_replies", generate(F.col("_candidates")))
+        asked = asked.withColumn("_prompts", F.transform("_candidates", lambda c: c["prompt"]))
+        replied = batch_generate(asked, model, "_prompts", "_replies")
         return replied.withColumn("_results", _results(
             F.col("_candidates"), F.col("_replies"), answers, extract)).drop(
-            "_candidates", "_replies")
+            "_candidates", "_prompts", "_replies")
 
     base = F.col("base_prompt")
     rows = contexts.withColumn("base_prompt", _base_prompt(base_prompt))

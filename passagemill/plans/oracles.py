@@ -165,6 +165,45 @@ def bleu_max(hyp: str, answers: str) -> str:
             f"{bleu(tokens(hyp), tokens('a'))}))")
 
 
+def bleu_by_ngram_counts(source: str) -> str:
+    """line_bleu and answer_bleu of (doc_id, line, short, refs) by joining n-gram counts.
+
+    Its cost is linear in the text, so it suits long lines.
+    """
+    def counts(table: str, key: str) -> str:
+        parts = " UNION ALL ".join(
+            f"SELECT doc_id, {key}, {n} AS n, unnest(list_transform(generate_series(1, "
+            f"len(toks) - {n - 1}), lambda i: array_to_string(toks[i : i + {n - 1}], ' '))) AS g "
+            f"FROM {table}" for n in range(1, 5))
+        return f"SELECT doc_id, {key}, n, g, count(*) AS c FROM ({parts}) GROUP BY ALL"
+
+    return f"""
+    SELECT doc_id, round(max(score) FILTER (kind = 'line'), 6) AS line_bleu,
+      round(max(score) FILTER (kind = 'short'), 6) AS answer_bleu
+    FROM (
+      WITH src AS MATERIALIZED ({source}),
+      hyps AS MATERIALIZED (
+        SELECT doc_id, 'line' AS kind, {tokens('line')} AS toks FROM src
+        UNION ALL SELECT doc_id, 'short', {tokens('short')} FROM src),
+      refs AS MATERIALIZED (
+        SELECT doc_id, nr, {tokens('ref')} AS toks FROM (
+          SELECT doc_id, unnest(refs) AS ref, generate_subscripts(refs, 1) AS nr FROM src)),
+      shared AS (
+        SELECT h.doc_id, h.kind, r.nr, r.n, sum(least(h.c, r.c)) AS num
+        FROM ({counts('hyps', 'kind')}) h JOIN ({counts('refs', 'nr')}) r
+          ON h.doc_id = r.doc_id AND h.n = r.n AND h.g = r.g
+        GROUP BY ALL)
+      SELECT p.doc_id, p.kind, CASE WHEN min(coalesce(s.num, 0)) FILTER (p.n = 1) = 0 THEN 0.0
+        ELSE exp(min(CASE WHEN hl > rl THEN 0.0 ELSE 1.0 - rl::DOUBLE / greatest(hl, 1) END)
+          + sum(ln((CASE WHEN coalesce(s.num, 0) = 0 THEN 0.1 ELSE s.num::DOUBLE END)
+            / greatest(hl - p.n + 1, 1))) / 4) END AS score
+      FROM (SELECT h.doc_id, h.kind, r.nr, o.n, len(h.toks) AS hl, len(r.toks) AS rl
+            FROM hyps h JOIN refs r USING (doc_id), unnest([1, 2, 3, 4]) AS o(n)) p
+      LEFT JOIN shared s USING (doc_id, kind, nr, n)
+      GROUP BY p.doc_id, p.kind, p.nr)
+    GROUP BY doc_id"""
+
+
 def percent(hits: str, total: str) -> str:
     return (f"coalesce(round(round(count(*) FILTER ({hits}) / nullif({total}, 0)::DOUBLE, 4) "
             f"* 100, 6), 0.0)")

@@ -165,7 +165,7 @@ def norm_answer_cased(spark, sf):
 
 # Documents with answers that match in several ways or not at all.
 _SQL_ANSWERS = sql_cases(
-    f"['The ' || upper({O.words_at('sq', 9, 3)}) || '!', 'no such words']",
+    f"['The ' || lower({O.words_at('sq', 9, 3)}) || '!', 'no such words']",
     f"['«' || {O.words_at('sq', 3, 2)}, {O.words_at('sq', 2, 1)}]",
     "['the']", "[]::VARCHAR[]", f"['x' || {O.words_at('sq', 1, 2)}, NULL]")
 _DOC_ANSWERS = f"(SELECT doc_id, text, sq, {_SQL_ANSWERS} AS answers FROM docs)"
@@ -176,7 +176,7 @@ def _doc_answers(spark, sf):
         return T.words_at(F.col("sq"), start, count)
 
     answers = cases(
-        F.array(F.concat(F.lit("The "), F.upper(w(9, 3)), F.lit("!")), F.lit("no such words")),
+        F.array(F.concat(F.lit("The "), F.lower(w(9, 3)), F.lit("!")), F.lit("no such words")),
         F.array(F.concat(F.lit("«"), w(3, 2)), w(2, 1)),
         F.array(F.lit("the")), F.array().cast("array<string>"),
         F.array(F.concat(F.lit("x"), w(1, 2)), F.lit(None).cast("string")))
@@ -354,12 +354,10 @@ def prompt_token_len(spark, sf):
     return X.documents(spark, sf).select("doc_id", P.token_len("text").alias("tokens"))
 
 
-@register("bleu_max", f"""
-    SELECT doc_id, round({O.bleu_max(O.first_line('text'), 'refs')}, 6) AS line_bleu,
-      round({O.bleu_max('short', 'refs')}, 6) AS answer_bleu
-    FROM (SELECT doc_id, text, {O.words_at('sq', 9, 5)} AS short,
-            [{O.words_at('sq', 9, 3)}, {O.words_at('sq', 1, 4)}, {O.words_at('sq', 11, 6)}] AS refs
-          FROM docs)""", "docs")
+@register("bleu_max", O.bleu_by_ngram_counts(
+    f"""SELECT doc_id, {O.first_line('text')} AS line, {O.words_at('sq', 9, 5)} AS short,
+      [{O.words_at('sq', 9, 3)}, {O.words_at('sq', 1, 4)}, {O.words_at('sq', 11, 6)}] AS refs
+      FROM docs"""), "docs")
 def bleu_max_query(spark, sf):
     def w(start, count):
         return T.words_at(F.col("sq"), start, count)
@@ -633,6 +631,15 @@ def eval_join(spark, sf):
         "example_id", "query", F.array_join("answers", "|").alias("answers"))
 
 
+def _two_runs(spark, sf):
+    """Both scored runs as stored tables: results of a generator are kept, not recomputed."""
+    kept = ("example_id", "row_pos", "generated_answer", "document_indices",
+            "ans_match_after_norm", "ans_in_documents", "is_no_res", "is_correct")
+    run_a = X.scored_selected(spark, sf).select(*kept, "selected_ids_raw")
+    run_b = X.scored_retrieved(spark, sf).select(*kept)
+    return stored(run_a, "run-a"), stored(run_b, "run-b")
+
+
 _COMMON = """(SELECT a.example_id, a.ans_match_after_norm AS match_a,
     b.ans_match_after_norm AS match_b FROM scored_selected a
     JOIN scored_retrieved b USING (example_id) WHERE a.ans_in_documents AND b.ans_in_documents)"""
@@ -640,7 +647,7 @@ _COMMON = """(SELECT a.example_id, a.ans_match_after_norm AS match_a,
 
 @register("compare_common_rows", f"SELECT * FROM {_COMMON}", "scored_selected", "scored_retrieved")
 def compare_common_rows(spark, sf):
-    return J.common_answerable(X.scored_selected(spark, sf), X.scored_retrieved(spark, sf))
+    return J.common_answerable(*_two_runs(spark, sf))
 
 
 @register("compare_common", f"""
@@ -648,7 +655,7 @@ def compare_common_rows(spark, sf):
       round(coalesce(avg(match_b::INT), 0), 6) AS accuracy_b FROM {_COMMON}""",
           "scored_selected", "scored_retrieved")
 def compare_common(spark, sf):
-    return J.compare_common(X.scored_selected(spark, sf), X.scored_retrieved(spark, sf))
+    return J.compare_common(*_two_runs(spark, sf))
 
 
 @register("common_ids", """
@@ -701,8 +708,7 @@ def _run_out(df):
 
 @register("wins_a_over_b", f"SELECT {_RUN_OUT} FROM {_WINS}", "scored_selected", "scored_retrieved")
 def wins_a_over_b(spark, sf):
-    return _run_out(J.wins_a_over_b(
-        X.scored_selected(spark, sf), X.scored_retrieved(spark, sf)))
+    return _run_out(J.wins_a_over_b(*_two_runs(spark, sf)))
 
 
 @register("wins_reordered", f"""
@@ -711,8 +717,7 @@ def wins_a_over_b(spark, sf):
       list_transform(document_indices, lambda i: i::VARCHAR)""",
           "scored_selected", "scored_retrieved")
 def wins_reordered(spark, sf):
-    return _run_out(J.wins_reordered(J.wins_a_over_b(
-        X.scored_selected(spark, sf), X.scored_retrieved(spark, sf))))
+    return _run_out(J.wins_reordered(J.wins_a_over_b(*_two_runs(spark, sf))))
 
 
 @register("useful_abstentions", f"""
@@ -726,8 +731,7 @@ def wins_reordered(spark, sf):
         AND NOT b.is_correct AND b.generated_answer <> '{fv.ABSTAIN_TOKEN}') a""",
           "scored_selected", "scored_retrieved")
 def useful_abstentions(spark, sf):
-    return _run_out(J.useful_abstentions(
-        X.scored_selected(spark, sf), X.scored_retrieved(spark, sf)))
+    return _run_out(J.useful_abstentions(*_two_runs(spark, sf)))
 
 
 # ============================ scoring and metrics ============================
@@ -1087,7 +1091,7 @@ def load_echo_model():
       AS generated_text FROM contexts""", "contexts")
 def batch_generate(spark, sf):
     return G.batch_generate(
-        X.contexts(spark, sf).select("example_id", "prompt"), G.model_generator(load_echo_model),
+        X.contexts(spark, sf).select("example_id", "prompt"), G.Model(load_echo_model),
     ).select("example_id", "generated_text")
 
 
