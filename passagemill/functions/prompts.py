@@ -80,7 +80,7 @@ def fill(template: Template, query: Column | str, context: Column | None = None)
 def content_hash(title: Column | str, text: Column | str) -> Column:
     """SHA-256 of title and text; the title is left out when it is empty."""
     title, text = col(title), col(text)
-    return F.sha2(F.when(title == "", text).otherwise(F.concat_ws(" ", title, text)), 256)
+    return F.sha2(F.when(title == "", text).otherwise(F.concat(title, F.lit(" "), text)), 256)
 
 
 def render_document(label: Column, title: Column, text: Column) -> Column:

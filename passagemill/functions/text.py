@@ -84,10 +84,22 @@ def squash(c: Column | str) -> Column:
     return _spaces_to_one(F.translate(col(c), chars, " " * len(chars)))
 
 
+def _answer_table() -> tuple[str, str]:
+    """One `translate` for clean-up, punctuation and whitespace together.
+
+    Everything the clean-up turns into punctuation would become a space right after, and
+    runs of spaces are joined at the end, so those steps can be one pass over the text.
+    """
+    to_space = fv.WHITESPACE + fv.PUNCTUATION
+    to_space += "".join(chars for chars, _ in _ONE_TO_ONE + _ONE_TO_MANY)
+    deleted = fv.DELETED_CONTROLS + fv.SOFT_HYPHEN
+    return to_space + deleted, " " * len(to_space)
+
+
 def norm_answer(c: Column | str, lowercase: bool = True) -> Column:
     """Answer form used by every comparison: unicode clean-up, no punctuation, no articles."""
     base = F.lower(col(c)) if lowercase else col(c)
-    return squeeze(strip_articles(strip_punct(norm_text(base))))
+    return _spaces_to_one(strip_articles(F.translate(base, *_answer_table())))
 
 
 def strip(c: Column | str) -> Column:
@@ -111,6 +123,14 @@ def words_at(c: Column, start: int, count: int) -> Column:
     return F.regexp_extract(c, f"^{skip}([^ ]+(?: [^ ]+){{0,{count - 1}}})", 1)
 
 
+def raw_words_at(c: Column, start: int, count: int) -> Column:
+    """`words_at` of text that is not single-spaced yet; only the words found are cleaned."""
+    spaces = fv.WHITESPACE.replace(" ", r"\x20")
+    skip = f"(?:[^{spaces}]+[{spaces}]+){{{start - 1}}}" if start > 1 else ""
+    more = f"(?:[{spaces}]+[^{spaces}]+){{0,{count - 1}}}"
+    return squeeze(F.regexp_extract(c, f"^[{spaces}]*{skip}([^{spaces}]+{more})", 1))
+
+
 def words_from(c: Column, start: Column | int, count: Column | int) -> Column:
     """`count` words of short single-spaced text, from word number `start`."""
     return F.array_join(F.slice(F.split(c, " "), start, count), " ")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from passagemill import fixed_values as fv
 from passagemill.functions import prompts as P
 from passagemill.functions.match import extract_answer
-from passagemill.functions.text import let, squeeze, words_at, words_from
+from passagemill.functions.text import let, raw_words_at, squeeze, words_at, words_from
 from passagemill.operators import context as C, evaluate as E, generate as G, silver as V
 from passagemill.sources import tables
 
@@ -47,8 +47,8 @@ def corpus_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question rows in both key styles: even positions use query, odd ones question."""
     docs = documents(spark, sf_dir)
-    opening = words_at(F.col("sq"), 1, 8)
-    answers = F.array(words_at(F.col("sq"), 9, 3), words_at(F.col("sq"), 12, 2))
+    opening = raw_words_at(F.col("text"), 1, 8)
+    answers = F.array(raw_words_at(F.col("text"), 9, 3), raw_words_at(F.col("text"), 12, 2))
     even = F.col("doc_id") % 2 == 0
     return docs.select(
         F.col("doc_id").alias("example_pos"),
@@ -65,9 +65,8 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight neighbours by id, rotated per block; a later copy finds its first copy best."""
-    hashed = corpus(spark, sf_dir).select(
-        F.col("full_corpus_idx").alias("example_pos"),
-        P.content_hash("title", "text").alias("doc_hash"))
+    hashed = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("example_pos"), P.content_hash("title", "text").alias("doc_hash"))
     firsts = hashed.groupBy("doc_hash").agg(F.min("example_pos").alias("first_copy"))
     own = F.col("example_pos")
     base = F.array(*[F.lit(n).cast("bigint") for n in NEIGHBOURS])

@@ -348,7 +348,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         min(full_corpus_idx) OVER (PARTITION BY doc_hash) AS first_copy,
         list_transform({_BASE}[(full_corpus_idx // 8) % 8 + 1 : 8]
           || {_BASE}[1 : (full_corpus_idx // 8) % 8], lambda n: xor(full_corpus_idx, n)) AS block
-      FROM hashed_corpus)""", ("hashed_corpus",)),
+      FROM (SELECT doc_id AS full_corpus_idx, sha256({content('title', 'text')}) AS doc_hash
+            FROM docs))""", ("docs",)),
     "contexts": (context_cte(K, _TOP, "answer"), ("examples", "search_results", "hashed_corpus")),
     "contexts_always": (
         context_cte(K, _TOP, "answer_always"), ("examples", "search_results", "hashed_corpus")),
