@@ -135,6 +135,8 @@ def assemble_documents(
     """Examples with `docs`, the structured context; extra example columns are kept."""
     ids = context_ids(k, gold_position, random_gold_seed)
     listed = with_search_results(examples, search_results.select("example_pos", "doc_ids"))
+    no_hits = F.array().cast("array<bigint>")
+    listed = listed.withColumn("doc_ids", F.coalesce("doc_ids", no_hits))
     listed = listed.withColumn("ids", ids).drop("doc_ids")
     if normalize_query:
         listed = listed.withColumn("query", norm_text("query"))
