@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.functions.selection import order_changed
-from passagemill.operators.joins import last_per_key
+from passagemill.operators.joins import last_per_key, lookup, semi_lookup
 
 
 def common_answerable(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def compare_common(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
 
 
 def common_ids(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
-    return run_a.select("example_id").intersect(run_b.select("example_id"))
+    """Ids of both runs; each side is made distinct map-side before it is shuffled."""
+    return run_a.select("example_id").distinct().intersect(run_b.select("example_id").distinct())
 
 
 def attach_example_id(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def attach_example_id(rows: DataFrame, questions: DataFrame) -> DataFrame:
             F.col("question").alias("query"), "example_pos",
             F.col("example_id").alias("_new_id")), "query", "example_pos")
     return (
-        rows.join(latest.select("query", "_new_id"), "query", "left")
+        lookup(rows, latest.select("query", "_new_id"), "query")
         .withColumn("example_id", F.coalesce("_new_id", "example_id")).drop("_new_id"))
 
 
@@ -57,7 +58,7 @@ def attach_doc_indices(rows: DataFrame, other: DataFrame) -> DataFrame:
             F.coalesce("document_indices", F.array().cast("array<bigint>")).alias("_ids")),
         "query", "example_pos")
     return (
-        rows.join(latest.select("query", "_ids"), "query", "left")
+        lookup(rows, latest.select("query", "_ids"), "query")
         .withColumn("document_indices", F.coalesce("_ids", "document_indices")).drop("_ids"))
 
 
@@ -73,7 +74,7 @@ def wins_a_over_b(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     won = run_a.where(
         F.col("is_correct") & F.col("ans_in_documents")
         & (F.col("generated_answer") != fv.ABSTAIN_TOKEN))
-    return won.join(wrong_b.select("example_id"), "example_id", "left_semi")
+    return semi_lookup(won, wrong_b, "example_id")
 
 
 def wins_reordered(wins: DataFrame) -> DataFrame:
@@ -94,4 +95,4 @@ def useful_abstentions(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
         & ~F.arrays_overlap(selected, retrieved))
     wrong_b = _last_of(run_b).where(
         ~F.col("is_correct") & (F.col("generated_answer") != fv.ABSTAIN_TOKEN))
-    return quiet.join(wrong_b.select("example_id"), "example_id", "left_semi")
+    return semi_lookup(quiet, wrong_b, "example_id")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from passagemill import fixed_values as fv
 from passagemill.functions import match as M, selection as S
 from passagemill.functions.text import first_line
-from passagemill.operators.joins import first_per_key
+from passagemill.operators.joins import first_per_key, lookup
 
 
 def attach_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def attach_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
     """
     single = first_per_key(
         gold.select("example_id", "example_pos", "answers"), "example_id", "example_pos")
-    return results.drop("answers").join(single.select("example_id", "answers"), "example_id", "left")
+    return lookup(results.drop("answers"), single.select("example_id", "answers"), "example_id")
 
 
 def score(results: DataFrame, with_proof: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HOT_ROWS = 1_000_000
 
@@ -23,17 +23,27 @@ def _pick(df: DataFrame, key: str, order: str, pick) -> DataFrame:
     return df.groupBy(key).agg(chosen).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def _row_hash(df: DataFrame, key: str) -> Column:
+    """A value that varies over the rows of one key and is the same on every retry."""
+    plain = [f.name for f in df.schema.fields if f.name != key and not isinstance(
+        f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
 def lookup(
-    hits: DataFrame, table: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS
+    hits: DataFrame, table: DataFrame, key: str, spread: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left equi-join of narrow hits with a wide table that has unique keys.
+    """Left equi-join of `hits` with a table that has unique keys.
 
-    Each hit copies a wide row, so a popular key is costly in output long before its
-    narrow input looks skewed to the adaptive skew rule. Keys with more than
-    `hot_rows` hits are split over several salts, and only those rows of the wide
-    table are repeated. There are at most |hits| / hot_rows such keys, which bounds
+    The adaptive skew rule does not help here: it looks at input bytes, while each narrow
+    hit may copy a wide row, and it needs a plain shuffle below both sides, which a table
+    made by an aggregation does not have. So keys with more than `hot_rows` hits are split
+    over several salts by `spread` (default: a hash of the row), and only those rows of
+    the table are repeated. There are at most |hits| / hot_rows such keys, which bounds
     the broadcast of the key list.
     """
+    spread = _row_hash(hits, key) if spread is None else spread
     hot = (
         hits.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
         .where(F.col("_n") > hot_rows)
@@ -53,3 +63,12 @@ def lookup(
         .drop("_salts")
     )
     return salted_hits.join(salted_table, [key, "_salt"], "left").drop("_salt")
+
+
+def semi_lookup(
+    hits: DataFrame, keys: DataFrame, key: str, spread: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Rows of `hits` whose key is among the unique `keys`."""
+    known = keys.select(key, F.lit(True).alias("_known"))
+    return lookup(hits, known, key, spread, hot_rows).where("_known").drop("_known")

@@ -131,7 +131,7 @@ def quota_sample_global(
     valid = (
         silver.where("are_answer")
         .withColumn("_group", F.least(size, F.lit(2)))
-        .withColumn("_order", stable_hash(F.col("example_id"), seed))
+        .withColumn("_order", stable_hash(F.concat_ws("/", "example_id", "example_pos"), seed))
         .withColumn("_all_rows", total))
 
     def quota(case: str) -> Column:

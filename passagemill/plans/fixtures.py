@@ -14,6 +14,7 @@ from passagemill.functions import prompts as P
 from passagemill.functions.match import extract_answer
 from passagemill.functions.text import let, raw_words_at, squeeze, words_at, words_from
 from passagemill.operators import context as C, evaluate as E, generate as G, silver as V
+from passagemill.operators.joins import lookup
 from passagemill.sources import tables
 
 K = 5
@@ -75,7 +76,8 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.transform(rotated, lambda n: own.bitwiseXOR(n))
     ids = F.when(F.col("first_copy") == own, block).otherwise(F.concat(
         F.array("first_copy"), F.filter(block, lambda i: i != F.col("first_copy"))))
-    return hashed.join(firsts, "doc_hash").select(
+    found = lookup(hashed, firsts, "doc_hash", F.col("example_pos"))
+    return found.select(
         "example_pos", ids.alias("doc_ids")).withColumn(
         "scores", F.transform("doc_ids", lambda _, i: F.lit(1.0) / (i + 1)))
 

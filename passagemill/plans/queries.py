@@ -1073,7 +1073,7 @@ _G = fv.GLOBAL_SHARES
               ELSE {_fill_sql('total', 'rk', _G, 'case_2_multiple_docs')} END AS early
         FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY o, example_pos) AS rk
           FROM (SELECT *, least(len(selected_documents), 2) AS grp,
-                  {O.stable_hash('example_id', 10)} AS o,
+                  {O.stable_hash("example_id || '/' || example_pos", 10)} AS o,
                   (SELECT count(*) FROM silver) AS total
                 FROM silver WHERE are_answer))))""", _MIXED), "silver")
 def quota_sample_global(spark, sf):

@@ -98,15 +98,18 @@ def read_shards(
 
 
 def write_shards(df: DataFrame, path: str, save_every: int = 250, position: str = "example_pos") -> None:
-    """One directory per `save_every` positions, named by the last position it may hold."""
+    """One directory per `save_every` positions, named by the position after its last one.
+
+    Rows are range-partitioned by shard first, so a shard is one file, not one per task.
+    """
     shard = (F.floor(F.col(position) / save_every) + 1) * save_every
-    df.withColumn("shard", shard.cast("bigint")).write.mode("append").partitionBy(
-        "shard").parquet(path)
+    sharded = df.withColumn("shard", shard.cast("bigint")).repartitionByRange("shard")
+    sharded.write.mode("append").partitionBy("shard").parquet(path)
 
 
 def pending(examples: DataFrame, finished: DataFrame, key: str = "example_id") -> DataFrame:
     """Examples without a finished row: resuming is safe however often it runs."""
-    return examples.join(finished.select(key), key, "left_anti")
+    return examples.join(finished.select(key).distinct(), key, "left_anti")
 
 
 def ordinal_slice(rows: DataFrame, start: int, stop: int) -> DataFrame:

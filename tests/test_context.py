@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import prompts as P
 from passagemill.operators import context as C
-from passagemill.operators.joins import first_per_key, last_per_key, lookup
+from passagemill.operators.joins import first_per_key, last_per_key, lookup, semi_lookup
 from passagemill.operators.ranking import global_rank
 
 
@@ -113,3 +113,12 @@ def test_first_and_last_per_key(spark):
     assert {r.k: r.v for r in first_per_key(frame, "k", "o").collect()} == {"a": None, "b": ["z"]}
     assert {r.k: r.v for r in last_per_key(frame, "k", "o").collect()} == {
         "a": ["x"], "b": ["z"]}
+
+
+def test_semi_lookup_with_hot_keys(spark):
+    hits = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.col("id").cast("string")).alias("k"))
+    keys = spark.createDataFrame([("hot",), ("4",), ("none",)], "k STRING")
+    got = semi_lookup(hits, keys, "k", hot_rows=10)
+    assert got.columns == ["k", "id"]
+    assert sorted(r.id for r in got.collect()) == sorted([i for i in range(300) if i % 3 == 0] + [4])
