@@ -106,8 +106,7 @@ def render_context_aliased(docs: Column | str) -> Column:
 
 def token_len(prompt: Column | str) -> Column:
     """Default token count: words and single other non-space characters."""
-    pattern = r"[0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\r\f\x0b]"
-    return F.regexp_count(col(prompt), F.lit(pattern))
+    return F.regexp_count(col(prompt), F.lit(r"\w+|[^\w\s]"))
 
 
 def model_token_len(load_tokenizer: Callable[[], Callable[[str], list]]) -> Callable[[Column], Column]:

@@ -15,6 +15,7 @@ from passagemill.functions.match import extract_answer
 from passagemill.functions.text import let, raw_words_at, squeeze, words_at, words_from
 from passagemill.operators import context as C, evaluate as E, generate as G, silver as V
 from passagemill.operators.joins import lookup
+from passagemill.session import stored
 from passagemill.sources import tables
 
 K = 5
@@ -130,17 +131,24 @@ def toy_selector(prompt: Column) -> Column:
 
 
 # --- runs ------------------------------------------------------------------------
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked lists as a stored table, the form a retriever leaves them in."""
+    return stored(search_results(spark, sf_dir), "search-results")
+
+
 def contexts(
-    spark: SparkSession, sf_dir: str, template: str = "answer", k: int = K, **options,
+    spark: SparkSession, sf_dir: str, template: str = "answer", k: int = K,
+    results: DataFrame | None = None,
 ) -> DataFrame:
+    results = stored_results(spark, sf_dir) if results is None else results
     return C.assemble_context(
-        examples(spark, sf_dir), search_results(spark, sf_dir), corpus(spark, sf_dir), k,
-        P.TEMPLATES[template], **options)
+        examples(spark, sf_dir), results, corpus(spark, sf_dir), k, P.TEMPLATES[template])
 
 
-def retrieved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retrieved_run(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
     """Answers from the retrieved documents; text after the first line is noise."""
-    replied = G.batch_generate(contexts(spark, sf_dir), lambda prompt: F.concat(
+    asked = contexts(spark, sf_dir, results=results)
+    replied = G.batch_generate(asked, lambda prompt: F.concat(
         prompt, F.lit(" "), toy_answer(F.col("docs")), F.lit("\nQuestion: next")))
     return replied.withColumn("generated_answer", extract_answer("generated_text"))
 
@@ -158,18 +166,20 @@ def toy_selected_answer(prompt: Column) -> Column:
         G.without_special_tokens(prompt), F.lit("\n"), toy_answer(G.selected_docs()))
 
 
-def selected_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selected_run(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
     """Selector, rebuilt prompt, answer."""
-    asked = contexts(spark, sf_dir, template="answer_always")
+    asked = contexts(spark, sf_dir, template="answer_always", results=results)
     return G.selection_then_answer(asked, toy_selector, toy_selected_answer)
 
 
-def scored_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.score(retrieved_run(spark, sf_dir)).withColumn("row_pos", F.col("example_pos"))
+def scored_retrieved(spark, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+    return E.score(retrieved_run(spark, sf_dir, results)).withColumn(
+        "row_pos", F.col("example_pos"))
 
 
-def scored_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.score(selected_run(spark, sf_dir)).withColumn("row_pos", F.col("example_pos"))
+def scored_selected(spark, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+    return E.score(selected_run(spark, sf_dir, results)).withColumn(
+        "row_pos", F.col("example_pos"))
 
 
 def mined(spark: SparkSession, sf_dir: str, rounds: int = K) -> DataFrame:

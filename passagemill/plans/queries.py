@@ -545,7 +545,7 @@ def gold_insert_random(spark, sf):
     LEFT JOIN hashed_corpus d ON d.full_corpus_idx = l.doc_id""",
           "search_results", "hashed_corpus")
 def context_lookup(spark, sf):
-    listed = X.search_results(spark, sf).select(
+    listed = X.stored_results(spark, sf).select(
         "example_pos", C.topk_reversed("doc_ids", X.K).alias("ids"))
     return C.lookup_documents(listed, X.corpus(spark, sf)).select(
         "example_pos", "pos", "doc_id", "title", "text", "doc_hash")
@@ -563,7 +563,7 @@ def context_dedup(spark, sf):
     """Gold document put in at position 1, so k+1 ids compete for k = 4 places."""
     known = X.examples(spark, sf).where(F.col("gold_document_idx") != fv.NO_GOLD)
     docs = C.assemble_documents(
-        known, X.search_results(spark, sf), X.corpus(spark, sf), 4, gold_position=1)
+        known, X.stored_results(spark, sf), X.corpus(spark, sf), 4, gold_position=1)
     return docs.select(
         "example_pos", F.size("docs").alias("n_docs"),
         joined(F.transform("docs", lambda d: d["doc_id"])).alias("ids"))
@@ -635,8 +635,9 @@ def _two_runs(spark, sf):
     """Both scored runs as stored tables: results of a generator are kept, not recomputed."""
     kept = ("example_id", "row_pos", "generated_answer", "document_indices",
             "ans_match_after_norm", "ans_in_documents", "is_no_res", "is_correct")
-    run_a = X.scored_selected(spark, sf).select(*kept, "selected_ids_raw")
-    run_b = X.scored_retrieved(spark, sf).select(*kept)
+    results = X.stored_results(spark, sf)
+    run_a = X.scored_selected(spark, sf, results).select(*kept, "selected_ids_raw")
+    run_b = X.scored_retrieved(spark, sf, results).select(*kept)
     return stored(run_a, "run-a"), stored(run_b, "run-b")
 
 
@@ -751,7 +752,7 @@ def evaluate_run(spark, sf):
     examples = X.examples(spark, sf)
     gold = examples.select("example_id", "example_pos", "answers")
     contexts = C.assemble_context(
-        E.attach_gold(examples, gold), X.search_results(spark, sf), X.corpus(spark, sf), X.K)
+        E.attach_gold(examples, gold), X.stored_results(spark, sf), X.corpus(spark, sf), X.K)
     replied = G.batch_generate(contexts, lambda prompt: F.concat(
         prompt, F.lit(" "), X.toy_answer(F.col("docs")), F.lit("\nQuestion: next")))
     scored = E.score(replied.withColumn("generated_answer", M.extract_answer("generated_text")))
@@ -811,9 +812,10 @@ _metric("correct_no_context_rate", _LUCKY, E.correct_without_context_rate)
     for run in ("retrieved", "selected")), "scored_retrieved", "scored_selected")
 def metrics_by_run(spark, sf):
     needed = ("ans_in_documents", "ans_match_after_norm", "generated_answer")
-    runs = X.scored_retrieved(spark, sf).select(F.lit("retrieved").alias("run"), *needed)
+    results = X.stored_results(spark, sf)
+    runs = X.scored_retrieved(spark, sf, results).select(F.lit("retrieved").alias("run"), *needed)
     runs = runs.unionByName(
-        X.scored_selected(spark, sf).select(F.lit("selected").alias("run"), *needed))
+        X.scored_selected(spark, sf, results).select(F.lit("selected").alias("run"), *needed))
     return E.metrics_by(runs, "run")
 
 
