@@ -64,15 +64,18 @@ def _with_model(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame
 
 def batch_generate(
     prompts: DataFrame, generate: Generator, prompt: str = "prompt",
-    out: str = "generated_text", partitions: int | None = None,
+    out: str = "generated_text", partitions: int | None = None, durable: bool = True,
 ) -> DataFrame:
     """Adds the generated text; `partitions` evens out slow prompts by row count.
 
+    A model's replies are written to the shared checkpoint folder at once (`durable`), so
+    that neither a second use of the result nor a lost executor calls the model again.
     Select only the columns a model run has to keep: they all pass through its tasks.
     """
     spread = prompts.repartition(partitions) if partitions else prompts
     if isinstance(generate, Model):
-        return _with_model(spread, generate, prompt, out)
+        replied = _with_model(spread, generate, prompt, out)
+        return reliable_checkpoint(replied) if durable else replied
     return spread.withColumn(out, F.when(
         F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
 
@@ -111,17 +114,11 @@ def selected_docs(docs: Column | str = "docs", raw: Column | str = "selected_ids
 
 
 def selection_then_answer(
-    contexts: DataFrame, select: Generator, answer: Generator,
-    durable: bool = False, **options,
+    contexts: DataFrame, select: Generator, answer: Generator, **options,
 ) -> DataFrame:
-    """Selection run followed by the answering generator and answer extraction.
-
-    With `durable` the selections are written to the shared checkpoint folder first.
-    """
+    """Selection run followed by the answering generator and answer extraction."""
     options.setdefault("rebuild_instruction", fv.INSTRUCTION_ANSWER)
     chosen = selection_run(contexts, select, **options)
-    if durable:
-        chosen = reliable_checkpoint(chosen)
     replied = batch_generate(chosen, answer)
     return replied.withColumn(
         "generated_answer", M.extract_answer("generated_text", fv.ADAPTER_ANSWER_MARKER))

@@ -19,7 +19,6 @@ from passagemill.functions.match import answer_match
 from passagemill.functions.text import col, first_line, let
 from passagemill.operators.generate import Model, batch_generate
 from passagemill.schemas import TRACE
-from passagemill.session import reliable_checkpoint
 
 Generator = Callable[[Column], Column]
 _IDS = "array<bigint>"
@@ -170,16 +169,16 @@ def mine_silver_with_model(
 ) -> DataFrame:
     """The same search with a model, which gets the prompts of a round in batches.
 
-    With `durable` each round is written to the shared checkpoint folder, so that a lost
-    executor never calls the model again for a finished round, and the search ends as
-    soon as no example is active.
+    With `durable` the replies of each round are written to the shared checkpoint folder,
+    so that a lost executor never calls the model again for a finished round, and the
+    search ends as soon as no example is active.
     """
     docs, answers = F.col("docs"), F.col("answers")
 
     def judged(df: DataFrame, candidates: Column) -> DataFrame:
         asked = df.withColumn("_candidates", candidates)
         asked = asked.withColumn("_prompts", F.transform("_candidates", lambda c: c["prompt"]))
-        replied = batch_generate(asked, model, "_prompts", "_replies")
+        replied = batch_generate(asked, model, "_prompts", "_replies", durable=durable)
         return replied.withColumn("_results", _results(
             F.col("_candidates"), F.col("_replies"), answers, extract)).drop(
             "_candidates", "_prompts", "_replies")
@@ -189,10 +188,8 @@ def mine_silver_with_model(
     rows = judged(rows, _no_documents(base, docs))
     rows = rows.withColumn("state", _first_state(F.col("_results"))).drop("_results")
     for _ in range(rounds):
-        if durable:
-            rows = reliable_checkpoint(rows)
-            if rows.where("state.active").isEmpty():
-                break
+        if durable and rows.where("state.active").isEmpty():
+            break
         rows = judged(rows, _one_more_document(base, docs, F.col("state")))
         rows = rows.withColumn("state", F.when(
             F.col("state.active"), _next_state(F.col("state"), F.col("_results")))

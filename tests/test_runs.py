@@ -238,7 +238,7 @@ def test_pipeline_with_models(spark):
             p.replace("<start_of_turn>", "").replace("<end_of_turn>", "") + " yes" for p in prompts]
 
     rows = {r.example_id: r for r in G.selection_then_answer(
-        contexts, G.Model(load_selector), G.Model(load_answerer), durable=True).collect()}
+        contexts, G.Model(load_selector), G.Model(load_answerer)).collect()}
     assert "P [Id_1] [Id_2]" in rows["a"].selector_prompt
     assert rows["a"].selected_ids_raw == "8" and rows["a"].generated_answer == "yes"
     assert "Document [8](Title: t) y" in rows["a"].prompt
