@@ -127,37 +127,35 @@ def metrics_by(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _histogram(sized: DataFrame, relevant: Column) -> DataFrame:
-    """Counts per selection size, one row per size 0..5, empty sizes included."""
-    found = sized.groupBy("n_docs").agg(
-        F.count("*").alias("examples"), F.count_if(relevant).alias("with_answer"))
-    sizes = sized.sparkSession.range(6).select(F.col("id").cast("int").alias("n_docs"))
-    return sizes.join(found, "n_docs", "left").na.fill(0, ["examples", "with_answer"])
+TOTAL = -1
+
+
+def _histogram(sized: DataFrame) -> DataFrame:
+    """One row per size 0..5, empty ones included, and the total over all sizes, in one pass."""
+    rolled = sized.rollup("n_docs").agg(
+        F.grouping("n_docs").alias("_all"), F.count("*").alias("examples"),
+        F.count_if("hit").alias("with_answer"))
+    size = F.when(F.col("_all") == 1, F.lit(TOTAL)).otherwise(F.col("n_docs"))
+    counted = rolled.select(size.alias("n_docs"), "examples", "with_answer")
+    sizes = sized.sparkSession.range(TOTAL, 6).select(F.col("id").cast("int").alias("n_docs"))
+    return sizes.join(counted, "n_docs", "left").na.fill(0, ["examples", "with_answer"])
 
 
 def selection_histogram(selected: DataFrame) -> DataFrame:
-    """Strict sizes 0..5 with answer-present counts, and a total row (n_docs = -1).
+    """Strict sizes 0..5 with answer-present counts, and the total (n_docs = -1).
 
     Larger selections appear only in the total.
     """
-    sized = selected.select(
+    return _histogram(selected.select(
         S.valid_id_count("selected_ids_raw").alias("n_docs"),
-        M.answer_after_marker("prompt", "answers").alias("hit"))
-    total = sized.agg(
-        F.lit(-1).alias("n_docs"), F.count("*").alias("examples"),
-        F.count_if("hit").alias("with_answer"))
-    return _histogram(sized, F.col("hit")).unionByName(total)
+        M.answer_after_marker("prompt", "answers").alias("hit")))
 
 
 def selection_histogram_loose(scored: DataFrame) -> DataFrame:
     """Loose sizes 0..5; the total row counts relevant rows of every size."""
-    sized = scored.select(
+    return _histogram(scored.select(
         S.valid_id_count_loose("selected_ids_raw").alias("n_docs"),
-        F.col("ans_in_documents").alias("hit"))
-    total = sized.agg(
-        F.lit(-1).alias("n_docs"), F.count("*").alias("examples"),
-        F.count_if("hit").alias("with_answer"))
-    return _histogram(sized, F.col("hit")).unionByName(total)
+        F.col("ans_in_documents").alias("hit")))
 
 
 def selection_audit(selected: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.operators import (
