@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from passagemill.llm.common import spans, worker_state
 
-MEMO_WORDS = 400_000  # the memo is emptied beyond this; its words are then encoded again
+MEMO_WORDS = 700_000  # the memo is emptied beyond this; its words are then encoded again
 
 
 def default_tokenizer() -> str:
@@ -31,13 +31,13 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.slot_of: dict[str, int] = {}
-        self.letters: dict[str, list[int]] = {}
+        self.letters: dict[str, tuple[int, ...]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
 
-    def _encode(self, word: str) -> list[int]:
+    def _encode(self, word: str) -> tuple[int, ...]:
         """Ids of a word; the letters of a plain word with end marks are looked up alone.
 
         ASCII letters are one pattern match whatever follows, and so are the marks after
@@ -46,15 +46,15 @@ class WordEncoder:
         core = word.rstrip(".,")
         if core.isascii() and core.isalpha():
             core_ids = self._known(core.lower(), plain=True)
-            return core_ids if len(core) == len(word) else [
-                *core_ids, *self._known(word[len(core):])]
+            return core_ids if len(core) == len(word) else \
+                core_ids + self._known(word[len(core):])
         return self._known(word)
 
-    def _known(self, part: str, plain: bool = False) -> list[int]:
+    def _known(self, part: str, plain: bool = False) -> tuple[int, ...]:
         ids = self.letters.get(part)
         if ids is None:
-            ids = ([t.id for t in self.tokenizer.model.tokenize(part)] if plain
-                   else self.tokenizer.encode(part, add_special_tokens=False).ids)
+            ids = tuple([t.id for t in self.tokenizer.model.tokenize(part)] if plain
+                        else self.tokenizer.encode(part, add_special_tokens=False).ids)
             if plain or len(part) < 4:
                 self.letters[part] = ids
         return ids
