@@ -36,13 +36,14 @@ PAIR_SHARE, WORD_SHARE = 0.6, 0.35  # the rest is uniform
 
 def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word of the texts its slot, its left neighbour's and their pair's; words per text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     words = lists.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # an edge of white space gives ""
     ends = np.concatenate([[0], np.cumsum(full)])[np.concatenate(
         [[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
     coded = words.dictionary_encode()
-    distinct = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    distinct = np.array([  # bytes.lower touches ASCII letters only
+        xxhash.xxh3_64_intdigest(w.encode().lower()) for w in coded.dictionary.to_pylist()], np.uint64)
     hashes = distinct[coded.indices.to_numpy()[full]] if len(distinct) else np.empty(0, np.uint64)
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]

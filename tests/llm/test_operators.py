@@ -356,6 +356,15 @@ def test_lm_scores(spark, rows):
         assert math.isclose(got[i].difference, loss[1] - loss[0], rel_tol=1e-3, abs_tol=1e-4)
 
 
+def test_words_of_slices(rows):
+    import pyarrow as pa
+    texts = pa.array([t for _, t in rows])
+    whole = lm_score.word_slots(texts)
+    parts = [lm_score.word_slots(texts.slice(i, 30)) for i in range(0, len(texts), 30)]
+    for k in range(4):
+        assert np.concatenate([p[k] for p in parts]).tolist() == whole[k].tolist()
+
+
 # 7 ---------------------------------------------------------------------------------------
 def plain_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
