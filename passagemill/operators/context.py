@@ -40,10 +40,13 @@ def insert_at(ids: Column | str, value: Column, position: Column | int) -> Colum
 
 def insert_gold(ids: Column | str, gold: Column | str, position: int) -> Column:
     """Gold document at a fixed position; a missing gold document is an error."""
+    return insert_at(ids, _present(gold), position)
+
+
+def _present(gold: Column | str) -> Column:
     gold = col(gold)
-    checked = F.when(gold == fv.NO_GOLD, F.raise_error(
+    return F.when(gold == fv.NO_GOLD, F.raise_error(
         F.lit("gold document index not present")).cast("bigint")).otherwise(gold)
-    return insert_at(ids, checked, position)
 
 
 def insert_gold_random(
@@ -51,7 +54,7 @@ def insert_gold_random(
 ) -> Column:
     """Gold document at a seeded position in 0..k-1, the same again on a retry."""
     position = F.pmod(stable_hash(col(example_id), seed), F.lit(k)).cast("int")
-    return insert_at(ids, col(gold), position)
+    return insert_at(ids, _present(gold), position)
 
 
 def context_ids(
@@ -81,23 +84,15 @@ def explode_hits(search_results: DataFrame) -> DataFrame:
         F.col("_hit.doc_ids").alias("doc_id"), F.col("_hit.scores").alias("score"))
 
 
-def lookup_documents(
-    listed: DataFrame, corpus: DataFrame, ids: str = "ids", few_hits: int | None = None
-) -> DataFrame:
+def lookup_documents(listed: DataFrame, corpus: DataFrame, ids: str = "ids") -> DataFrame:
     """One row per (example, list position) with the document's title, text and hash.
 
     `listed` needs `example_pos` and the id list; its other columns are kept. Unknown ids
     give null documents and empty lists give one row with a null position, so no example
-    is lost. Give `few_hits` for a small question set on a huge corpus: when the distinct
-    ids turn out to be no more than that, they are broadcast, and only those documents
-    leave the corpus scan; otherwise the plan is the plain shuffled join.
+    is lost.
     """
     hits = listed.select("*", F.posexplode_outer(ids).alias("pos", "doc_id")).drop(ids)
     documents = corpus.select(F.col("full_corpus_idx").alias("doc_id"), "title", "text")
-    if few_hits is not None:
-        wanted = hits.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-        if wanted.limit(few_hits + 1).count() <= few_hits:
-            documents = documents.join(F.broadcast(wanted), "doc_id", "left_semi")
     found = lookup(hits, documents, "doc_id", F.col("example_pos"))
     return found.withColumn("doc_hash", P.content_hash("title", "text"))
 
@@ -130,7 +125,7 @@ def gather_context(found: DataFrame, k: int) -> DataFrame:
 def assemble_documents(
     examples: DataFrame, search_results: DataFrame, corpus: DataFrame, k: int = 5,
     gold_position: int | None = None, random_gold_seed: int | None = None,
-    normalize_query: bool = True, few_hits: int | None = None,
+    normalize_query: bool = True,
 ) -> DataFrame:
     """Examples with `docs`, the structured context; extra example columns are kept."""
     ids = context_ids(k, gold_position, random_gold_seed)
@@ -140,7 +135,7 @@ def assemble_documents(
     listed = listed.withColumn("ids", ids).drop("doc_ids")
     if normalize_query:
         listed = listed.withColumn("query", norm_text("query"))
-    return gather_context(lookup_documents(listed, corpus, few_hits=few_hits), k)
+    return gather_context(lookup_documents(listed, corpus), k)
 
 
 def with_prompt(contexts: DataFrame, template: P.Template, count_tokens=P.token_len) -> DataFrame:

@@ -36,7 +36,10 @@ Generator = Callable[[Column], Column] | Model
 def _replies(model: Callable[[list[str]], list[str]], prompts: list[str]) -> list[str]:
     """Model texts; blank prompts get an empty text and never reach the model."""
     asked = [p for p in prompts if p and p.strip()]
-    texts = iter(model(asked) if asked else [])
+    found = list(model(asked)) if asked else []
+    if len(found) != len(asked):
+        raise ValueError(f"the model gave {len(found)} texts for {len(asked)} prompts")
+    texts = iter(found)
     return [next(texts) if p and p.strip() else "" for p in prompts]
 
 

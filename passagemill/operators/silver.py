@@ -137,16 +137,31 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 
 def mine_silver(
-    contexts: DataFrame, generate: Generator, rounds: int, extract=first_line,
+    contexts: DataFrame, generate: Generator, extract=first_line,
     base_prompt: Column | None = None,
 ) -> DataFrame:
-    """Greedy selection with a column generator; adds `silver`, `silver_score`, `trace`
-    and the search state.
+    """Greedy selection with a column generator, until nothing improves; adds `silver`,
+    `silver_score`, `trace` and the search state.
 
     `contexts` needs query, answers and docs (doc_id, title, text). `generate` maps an
-    array of candidates (doc_id, ids, docs, prompt) to their replies. `rounds` is the
-    largest number of documents per example.
+    array of candidates (doc_id, ids, docs, prompt) to their replies. Each round but the
+    last adds a document, so an example has at most one round more than documents.
     """
+    every = F.sequence(F.lit(0), F.coalesce(F.size("docs"), F.lit(0)))
+    return _mined(contexts, generate, every, extract, base_prompt)
+
+
+def silver_round(
+    contexts: DataFrame, generate: Generator, extract=first_line,
+    base_prompt: Column | None = None,
+) -> DataFrame:
+    """The evaluation without documents and one round of the search."""
+    return _mined(contexts, generate, F.array(F.lit(0)), extract, base_prompt)
+
+
+def _mined(
+    contexts: DataFrame, generate: Generator, rounds: Column, extract, base_prompt: Column | None,
+) -> DataFrame:
     docs, answers = F.col("docs"), F.col("answers")
     prepared = contexts.withColumn("base_prompt", _base_prompt(base_prompt))
     base = F.col("base_prompt")
@@ -155,30 +170,29 @@ def mine_silver(
         return let(candidates, lambda c: let(_results(c, generate(c), answers, extract), then))
 
     search = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
+        rounds,
         judged(_no_documents(base, docs), _first_state),
         lambda state, _: F.when(state["active"], judged(
             _one_more_document(base, docs, state), lambda r: _next_state(state, r)))
-        .otherwise(state)) if rounds else judged(_no_documents(base, docs), _first_state)
+        .otherwise(state))
     return _unpacked(prepared.withColumn("state", search))
 
 
 def mine_silver_with_model(
-    contexts: DataFrame, model: Model, rounds: int, extract=first_line,
-    base_prompt: Column | None = None, durable: bool = True,
+    contexts: DataFrame, model: Model, extract=first_line, base_prompt: Column | None = None,
 ) -> DataFrame:
     """The same search with a model, which gets the prompts of a round in batches.
 
-    With `durable` the replies of each round are written to the shared checkpoint folder,
-    so that a lost executor never calls the model again for a finished round, and the
-    search ends as soon as no example is active.
+    The replies of each round are written to the shared checkpoint folder, so that a lost
+    executor never calls the model again for a finished round; the search ends when no
+    example is active any more.
     """
     docs, answers = F.col("docs"), F.col("answers")
 
     def judged(df: DataFrame, candidates: Column) -> DataFrame:
         asked = df.withColumn("_candidates", candidates)
         asked = asked.withColumn("_prompts", F.transform("_candidates", lambda c: c["prompt"]))
-        replied = batch_generate(asked, model, "_prompts", "_replies", durable=durable)
+        replied = batch_generate(asked, model, "_prompts", "_replies")
         return replied.withColumn("_results", _results(
             F.col("_candidates"), F.col("_replies"), answers, extract)).drop(
             "_candidates", "_prompts", "_replies")
@@ -187,9 +201,7 @@ def mine_silver_with_model(
     rows = contexts.withColumn("base_prompt", _base_prompt(base_prompt))
     rows = judged(rows, _no_documents(base, docs))
     rows = rows.withColumn("state", _first_state(F.col("_results"))).drop("_results")
-    for _ in range(rounds):
-        if durable and rows.where("state.active").isEmpty():
-            break
+    while not rows.where("state.active").isEmpty():
         rows = judged(rows, _one_more_document(base, docs, F.col("state")))
         rows = rows.withColumn("state", F.when(
             F.col("state.active"), _next_state(F.col("state"), F.col("_results")))

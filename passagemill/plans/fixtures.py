@@ -182,8 +182,8 @@ def scored_selected(spark, sf_dir: str, results: DataFrame | None = None) -> Dat
         "row_pos", F.col("example_pos"))
 
 
-def mined(spark: SparkSession, sf_dir: str, rounds: int = K) -> DataFrame:
-    return V.mine_silver(contexts(spark, sf_dir), toy_candidates, rounds)
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.mine_silver(contexts(spark, sf_dir), toy_candidates)
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,8 +92,7 @@ def shards_union(spark, sf):
     path = scratch_path(spark, "shards")
     rows = X.examples(spark, sf).select("example_pos", "example_id", "query")
     tables.write_shards(rows, path, 250)
-    return spark.read.parquet(path).withColumn("shard", F.col("shard").cast("bigint")).orderBy(
-        "shard", "example_pos")
+    return tables.read_shards(spark, path).orderBy("shard", "example_pos")
 
 
 @register("result_sink", f"""
@@ -116,10 +115,19 @@ def result_sink(spark, sf):
 def resume_anti_join(spark, sf):
     finished = X.load(spark, sf, "labels").select(
         F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("example_id"))
-    return tables.pending(X.examples(spark, sf), finished).select(
+    return tables.pending(X.examples(spark, sf), finished, "example_id").select(
         "example_pos", "example_id", "query")
 
 
+@register("resume_by_position", """
+    SELECT e.example_pos, 'id' AS example_id, e.query FROM examples e
+    WHERE e.example_pos NOT IN (SELECT doc_id FROM labels)""", "examples")
+def resume_by_position(spark, sf):
+    nameless = X.examples(spark, sf).withColumn("example_id", F.lit(fv.DEFAULT_EXAMPLE_ID))
+    finished = X.load(spark, sf, "labels").select(F.col("doc_id").alias("example_pos"))
+    return tables.pending(nameless, finished).select("example_pos", "example_id", "query")
+
+
 @register("ordinal_slice", """
     SELECT example_pos, example_id, query FROM examples
     WHERE example_pos >= 150 AND example_pos < 3000""", "examples")
@@ -532,9 +540,11 @@ _SQL_PLACE = f"({O.stable_hash('example_id', 7)} % {X.K})"
 
 @register("gold_insert_random", f"""
     SELECT example_pos, {O.ids_text(_insert_sql(_SQL_PLACE))} AS ids
-    FROM examples JOIN search_results USING (example_pos)""", "examples", "search_results")
+    FROM examples JOIN search_results USING (example_pos) WHERE gold_document_idx <> -1""",
+          "examples", "search_results")
 def gold_insert_random(spark, sf):
-    return _with_hits(spark, sf).select(
+    known = _with_hits(spark, sf).where(F.col("gold_document_idx") != fv.NO_GOLD)
+    return known.select(
         "example_pos", joined(C.context_ids(X.K, random_gold_seed=7)).alias("ids"))
 
 
@@ -916,7 +926,7 @@ def selection_audit_rollup(spark, sf):
       {O.ids_text('silver')} AS selected, active, len(trace)::INT AS evaluations
     FROM silver_1""", "silver_1")
 def silver_round(spark, sf):
-    return X.mined(spark, sf, rounds=1).select(
+    return V.silver_round(X.contexts(spark, sf), X.toy_candidates).select(
         "example_id", "best_doc", "best_ok", F.round("best_score", 6).alias("best_score"),
         joined("silver").alias("selected"), "active", F.size("trace").alias("evaluations"))
 

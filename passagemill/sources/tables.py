@@ -16,9 +16,12 @@ def import_corpus_array(
     """One-off import of one JSON array file; write the result as parquet and use that.
 
     A multi-line file is one unsplittable partition, so the row number inside it is the
-    array position. With a non-empty map the position is a subset index.
+    array position; several files would each begin at 0 and are refused. With a non-empty
+    map the position is a subset index.
     """
     rows = spark.read.schema(schemas.CORPUS_JSON).json(path, multiLine=True)
+    if len(rows.inputFiles()) > 1:
+        raise ValueError("one array file at a time: positions count from the start of a file")
     rows = rows.withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     if id_map is None or id_map.isEmpty():
         return rows.select(F.col("_pos").alias("full_corpus_idx"), "title", "text")
@@ -90,9 +93,12 @@ def read_shards(
 ) -> DataFrame:
     """All shards whose file name contains `prefix`, with their number as `shard`.
 
-    Sort by (shard, position) only where the order matters.
+    Shards of `write_shards` bring their number as a partition column; other files have it
+    in their name. Sort by (shard, position) only where the order matters.
     """
     rows = spark.read.option("pathGlobFilter", f"*{prefix}*.parquet").parquet(path)
+    if "shard" in rows.columns:
+        return rows.withColumn("shard", F.col("shard").cast("bigint"))
     return rows.withColumn(
         "shard", shard_number(F.col("_metadata.file_name"), pattern, missing))
 
@@ -100,15 +106,20 @@ def read_shards(
 def write_shards(df: DataFrame, path: str, save_every: int = 250, position: str = "example_pos") -> None:
     """One directory per `save_every` positions, named by the position after its last one.
 
-    Rows are range-partitioned by shard first, so a shard is one file, not one per task.
+    Rows meet by shard first, so a shard is one file, not one per task. Hash partitioning
+    needs no sample of the rows, so the input is evaluated once.
     """
     shard = (F.floor(F.col(position) / save_every) + 1) * save_every
-    sharded = df.withColumn("shard", shard.cast("bigint")).repartitionByRange("shard")
+    sharded = df.withColumn("shard", shard.cast("bigint")).repartition("shard")
     sharded.write.mode("append").partitionBy("shard").parquet(path)
 
 
-def pending(examples: DataFrame, finished: DataFrame, key: str = "example_id") -> DataFrame:
-    """Examples without a finished row: resuming is safe however often it runs."""
+def pending(examples: DataFrame, finished: DataFrame, key: str = "example_pos") -> DataFrame:
+    """Examples without a finished row: resuming is safe however often it runs.
+
+    Positions tell all examples apart; ids do so only where every example has one, as
+    those without an id share the default id.
+    """
     return examples.join(finished.select(key).distinct(), key, "left_anti")
 
 

@@ -52,8 +52,10 @@ def test_gold_goes_in_and_the_last_falls_out(examples, results, corpus):
 
 
 def test_random_gold_is_stable(examples, results, corpus):
+    known = examples.where("gold_document_idx >= 0")
+
     def run():
-        return ids(C.assemble_documents(examples, results, corpus, 4, random_gold_seed=3))
+        return ids(C.assemble_documents(known, results, corpus, 4, random_gold_seed=3))
 
     assert run() == run()
     assert 5 in run()["a"]
@@ -78,10 +80,10 @@ def test_prompts_and_length_split(examples, results, corpus):
     assert "b" in out and kept | out == {"a", "b", "c"} and not kept & out
 
 
-def test_few_hits_filter_changes_nothing(examples, results, corpus):
-    plain = ids(C.assemble_documents(examples, results, corpus, 5))
-    for few in (100, 2):
-        assert ids(C.assemble_documents(examples, results, corpus, 5, few_hits=few)) == plain
+def test_random_gold_needs_a_gold_document(spark):
+    frame = spark.createDataFrame([("a", [1, 2], -1)], "example_id STRING, ids ARRAY<BIGINT>, gold BIGINT")
+    with pytest.raises(Exception, match="gold document"):
+        frame.select(C.insert_gold_random("ids", "gold", 3, 1)).collect()
 
 
 def test_hot_keys_are_split(spark):

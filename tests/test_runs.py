@@ -189,6 +189,33 @@ def test_shards_by_file_number(spark, tmp_path):
     assert [r.v for r in last] == [250, 500, 0]
 
 
+def test_shards_round_trip(spark, tmp_path):
+    rows = spark.range(1000).withColumnRenamed("id", "example_pos")
+    tables.write_shards(rows, str(tmp_path / "own"), 250)
+    got = tables.read_shards(spark, str(tmp_path / "own")).groupBy("shard").count().orderBy("shard").collect()
+    assert [tuple(r) for r in got] == [(250, 250), (500, 250), (750, 250), (1000, 250)]
+
+
+def test_resume_without_ids(spark):
+    rows = spark.createDataFrame([(i, "id") for i in range(4)], "example_pos INT, example_id STRING")
+    assert tables.pending(rows, rows.where("example_pos = 1")).count() == 3
+
+
+def test_corpus_import_refuses_two_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text('[{"title": "t", "text": "x"}]')
+    assert tables.import_corpus_array(spark, str(tmp_path / "a.json")).count() == 1
+    with pytest.raises(ValueError, match="one array file"):
+        tables.import_corpus_array(spark, str(tmp_path))
+
+
+def test_model_must_answer_every_prompt(spark):
+    from passagemill.operators.generate import Model, batch_generate
+    rows = spark.createDataFrame([("a",), ("b",)], "prompt STRING").coalesce(1)
+    with pytest.raises(Exception, match="3 texts for 2 prompts"):
+        batch_generate(rows, Model(lambda: lambda p: [*p, "more"]))
+
+
 def test_sink_modes_and_resume(spark, tmp_path):
     path = str(tmp_path / "run")
     rows = spark.createDataFrame([(i, f"e{i}") for i in range(10)], "example_pos INT, example_id STRING")

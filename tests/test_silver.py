@@ -81,8 +81,8 @@ def test_search_equals_the_sequential_model(spark):
     def result(mined):
         return {r.example_pos: (r.silver, len(r.trace)) for r in mined.collect()}
 
-    assert result(V.mine_silver(frame, by_column, 4)) == want
-    assert result(V.mine_silver_with_model(frame, crc_model(), 4)) == want
+    assert result(V.mine_silver(frame, by_column)) == want
+    assert result(V.mine_silver_with_model(frame, crc_model())) == want
     assert len({len(s) for s, _ in want.values()}) > 2  # the cases are varied
 
 
@@ -98,7 +98,7 @@ def test_model_is_called_once_per_candidate(spark):
     rows = [(i, "q", GOLD, [(1, "t", "x"), (2, "t", "y")]) for i in range(20)]
     frame = spark.createDataFrame(
         rows, f"example_pos BIGINT, query STRING, answers ARRAY<STRING>, docs {DOCS}")
-    mined = V.mine_silver_with_model(frame, Model(load), 2)
+    mined = V.mine_silver_with_model(frame, Model(load))
     assert [r.silver for r in mined.collect()] == [[]] * 20
     assert calls.value == 20 * 3
 
@@ -125,4 +125,33 @@ def test_equal_documents_are_never_added_twice(spark):
         return F.transform(candidates, lambda c: F.when(
             F.exists(c["docs"], lambda d: d["text"] == "same"), "red fox").otherwise("none"))
 
-    assert V.mine_silver(frame, generate, 3).collect()[0].silver == [1]
+    assert V.mine_silver(frame, generate).collect()[0].silver == [1]
+
+
+def test_search_goes_on_while_it_improves(spark):
+    """Eight documents that each raise the score: all are selected."""
+    words = "one two three four five six seven eight".split()
+    docs = [(i, "t", w) for i, w in enumerate(words)]
+    answers = [" ".join(words)]
+    frame = spark.createDataFrame(
+        [(0, "q", answers, docs), (1, "q", answers, [])],
+        f"example_pos BIGINT, query STRING, answers ARRAY<STRING>, docs {DOCS}")
+    whole = F.lit(answers[0])
+
+    def generate(candidates):
+        # a right answer that grows nearer to the expected one with each document
+        return F.transform(candidates, lambda c: F.concat(whole, F.repeat(
+            F.lit(" filler"), F.lit(20) - F.size(c["docs"]))))
+
+    rows = {r.example_pos: r for r in V.mine_silver(frame, generate).collect()}
+    assert sorted(rows[0].silver) == list(range(8)) and not rows[0].active
+    assert rows[1].silver == []
+    one = {r.example_pos: r for r in V.silver_round(frame, generate).collect()}
+    assert len(one[0].silver) == 1 and one[0].active
+
+    def load():
+        return lambda prompts: [
+            answers[0] + " filler" * (20 - sum(f"Document [{i}]" in p for i in range(8))) for p in prompts]
+
+    by_model = {r.example_pos: r for r in V.mine_silver_with_model(frame, Model(load)).collect()}
+    assert {i: r.silver for i, r in by_model.items()} == {i: r.silver for i, r in rows.items()}
