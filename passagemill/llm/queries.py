@@ -76,7 +76,7 @@ def op5(spark, sf):
 def op6(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return lm_score.score(docs, lm_score.train(docs.join(good, "doc_id", "left")))
+    return lm_score.score(docs, lm_score.train(docs.join(good.hint("merge"), "doc_id", "left")))
 
 
 @register("op7_simhash")
