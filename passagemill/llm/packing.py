@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from passagemill.llm.common import chunks, column, id_and_text
+from passagemill.llm.common import CHUNK_BYTES, chunks, column, id_and_text
 from passagemill.llm.tokens import default_tokenizer, encoder
 from passagemill.session import stored
 
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES // 2):
             ids, counts = encode(column(batch, "text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")  # one end id behind each text

@@ -27,6 +27,7 @@ from passagemill.llm.common import (
 )
 
 SLOTS = 1 << 17
+SCORE_BYTES = 1 << 20  # text scored at a time: a feature takes some 50 bytes of arrays
 SHAPES = np.full(1 << 16, 4, np.uint8)
 for _first, _last, _kind in ((65, 90, 1), (97, 122, 2), (48, 57, 3), (0xC0, 0xDE, 1),
                              (0xDF, 0x24F, 2), (0x370, 0xFFFF, 2)):
@@ -188,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     slot_scores, bias = model.slot_scores(), model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SCORE_BYTES):
             p = 1 / (1 + np.exp(-log_odds(column(batch, "text").to_pylist(), slot_scores, bias)))
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "held_out"),
@@ -204,7 +205,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     slot_scores, bias = model.slot_scores(), model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=SCORE_BYTES):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             p = 1 / (1 + np.exp(-log_odds(texts, slot_scores, bias)))
             yield batch.filter(pa.array(p >= threshold))

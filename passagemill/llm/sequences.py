@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill.llm.common import (
-    chunks, column, filesystem, id_and_text, parts_for, shared_folder, write_once,
+    CHUNK_BYTES, chunks, column, filesystem, id_and_text, parts_for, shared_folder, write_once,
 )
 from passagemill.llm.tokens import default_tokenizer, encoder
 
@@ -87,7 +87,7 @@ def write_sequences(docs: DataFrame, length: int = 2048, tokenizer: str | None =
 
         def write(out) -> None:
             writer = SequenceWriter(out, length, dtype)
-            for batch in chunks(batches):
+            for batch in chunks(batches, limit=CHUNK_BYTES // 2):
                 ids, counts = own.encode(column(batch, "text"))
                 writer.add(np.insert(ids, np.cumsum(counts), end_id))
                 ids_of.append(column(batch, "doc_id"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from passagemill.llm.common import spans, worker_state
 
-MEMO_WORDS = 700_000  # the memo is emptied beyond this; its words are then encoded again
+MEMO_WORDS = 550_000  # the memo is emptied beyond this; its words are then encoded again
 
 
 def default_tokenizer() -> str:
