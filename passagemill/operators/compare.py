@@ -10,24 +10,25 @@ from passagemill.operators.joins import last_per_key, lookup, semi_lookup
 
 
 def common_answerable(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
-    """Examples of both runs with the answer in the context of both; later duplicates win.
+    """Whole rows of A, and B's `match_b`, where both have the answer in the context.
 
-    Both need example_id, row_pos, ans_in_documents, ans_match_after_norm.
+    Both need example_id, row_pos, ans_in_documents, ans_match_after_norm; the last row of
+    an example counts.
     """
     flags = ["example_id", "row_pos", "ans_in_documents", "ans_match_after_norm"]
-    a = last_per_key(run_a.select(*flags), "example_id", "row_pos").where("ans_in_documents")
+    a = last_per_key(run_a, "example_id", "row_pos").where("ans_in_documents")
     b = last_per_key(run_b.select(*flags), "example_id", "row_pos").where("ans_in_documents")
-    return a.select("example_id", F.col("ans_match_after_norm").alias("match_a")).join(
-        b.select("example_id", F.col("ans_match_after_norm").alias("match_b")), "example_id")
+    return a.join(b.select("example_id", F.col("ans_match_after_norm").alias("match_b")), "example_id")
 
 
 def compare_common(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     def share(flag: str):
         return F.coalesce(F.avg(F.col(flag).cast("int")), F.lit(0.0))
 
-    return common_answerable(run_a, run_b).agg(
+    flags = ["example_id", "row_pos", "ans_in_documents", "ans_match_after_norm"]
+    return common_answerable(run_a.select(*flags), run_b).agg(
         F.count("*").alias("common_examples"),
-        F.round(share("match_a"), 6).alias("accuracy_a"),
+        F.round(share("ans_match_after_norm"), 6).alias("accuracy_a"),
         F.round(share("match_b"), 6).alias("accuracy_b"))
 
 

@@ -87,13 +87,16 @@ def explode_hits(search_results: DataFrame) -> DataFrame:
 def lookup_documents(listed: DataFrame, corpus: DataFrame, ids: str = "ids") -> DataFrame:
     """One row per (example, list position) with the document's title, text and hash.
 
+    Only hits cross the network when the corpus is a table bucketed by `full_corpus_idx`
+    (`sources.tables.store_corpus`).
+
     `listed` needs `example_pos` and the id list; its other columns are kept. Unknown ids
     give null documents and empty lists give one row with a null position, so no example
     is lost.
     """
     hits = listed.select("*", F.posexplode_outer(ids).alias("pos", "doc_id")).drop(ids)
     documents = corpus.select(F.col("full_corpus_idx").alias("doc_id"), "title", "text")
-    found = lookup(hits, documents, "doc_id", F.col("example_pos"))
+    found = lookup(hits, documents, "doc_id")
     return found.withColumn("doc_hash", P.content_hash("title", "text"))
 
 
@@ -109,13 +112,17 @@ def dedup_documents(docs: Column | str, k: int) -> Column:
 
 
 def gather_context(found: DataFrame, k: int) -> DataFrame:
-    """Back to one row per example with `docs`: at most k+1 list entries per example."""
+    """Back to one row per example with `docs` and the number of hits the corpus lacks.
+
+    A group is one id list: at most k+1 entries per example.
+    """
     carried = [c for c in found.columns if c not in (
         "example_pos", "pos", "doc_id", "title", "text", "doc_hash")]
     document = F.when(F.col("text").isNotNull(), F.struct(
         "pos", "doc_id", "title", "text", "doc_hash"))
     gathered = found.groupBy("example_pos").agg(
         *[F.first(c).alias(c) for c in carried],
+        F.count_if(F.col("doc_id").isNotNull() & F.col("text").isNull()).alias("lost_hits"),
         F.array_sort(F.collect_list(document)).alias("_docs"))
     docs = F.transform(dedup_documents("_docs", k), lambda d: F.struct(
         d["doc_id"].alias("doc_id"), d["title"].alias("title"), d["text"].alias("text")))
@@ -127,7 +134,7 @@ def assemble_documents(
     gold_position: int | None = None, random_gold_seed: int | None = None,
     normalize_query: bool = True,
 ) -> DataFrame:
-    """Examples with `docs`, the structured context; extra example columns are kept."""
+    """Examples with `docs`, the structured context, and `lost_hits`; other columns are kept."""
     ids = context_ids(k, gold_position, random_gold_seed)
     listed = with_search_results(examples, search_results.select("example_pos", "doc_ids"))
     no_hits = F.array().cast("array<bigint>")
@@ -170,8 +177,10 @@ def length_excluded(prompts: DataFrame, max_tokens: int) -> DataFrame:
         "example_pos", "example_id")
 
 
-def short_context_count(contexts: DataFrame, k: int) -> DataFrame:
-    return contexts.agg(F.count_if(F.size("docs") != k).alias("short_contexts"))
+def short_context_count(prompts: DataFrame, k: int, max_tokens: int) -> DataFrame:
+    """Number of kept rows whose context is not k documents; too long rows do not count."""
+    return length_filter(prompts, max_tokens).agg(
+        F.count_if(F.size("docs") != k).alias("short_contexts"))
 
 
 def query_only_prompts(

@@ -10,15 +10,17 @@ from passagemill.functions.text import first_line
 from passagemill.operators.joins import first_per_key, lookup
 
 
-def attach_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
+def attach_gold(results: DataFrame, gold: DataFrame, is_stored: bool = False) -> DataFrame:
     """Left join of gold `answers` by example id; the first gold row of an id wins.
 
     `gold` has example_pos, example_id, answers. Rows without gold keep null answers.
-    Run it on narrow rows, before prompts are built, when you can.
+    Run it on narrow rows, before prompts are built, when you can; `is_stored` spares a run
+    that is a stored table from being written once more.
     """
     single = first_per_key(
         gold.select("example_id", "example_pos", "answers"), "example_id", "example_pos")
-    return lookup(results.drop("answers"), single.select("example_id", "answers"), "example_id")
+    answers = single.select("example_id", "answers")
+    return lookup(results.drop("answers"), answers, "example_id", is_stored=is_stored)
 
 
 def score(results: DataFrame, with_proof: bool = False) -> DataFrame:

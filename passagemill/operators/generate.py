@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from passagemill import fixed_values as fv
 from passagemill.functions import match as M, prompts as P, selection as S
 from passagemill.functions.text import let
-from passagemill.session import reliable_checkpoint
+from passagemill.session import stored
 
 # Executors need not have this package installed: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
@@ -43,44 +43,51 @@ def _replies(model: Callable[[list[str]], list[str]], prompts: list[str]) -> lis
     return [next(texts) if p and p.strip() else "" for p in prompts]
 
 
-def _with_model(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
-    """Adds `out` for a text column or a column of text lists; other columns stay in Arrow."""
-    of_lists = isinstance(df.schema[prompt].dataType, T.ArrayType)
-    kind = T.ArrayType(T.StringType()) if of_lists else T.StringType()
+def replies(
+    asked: DataFrame, model: Model, prompt: str = "prompt", out: str = "generated_text",
+    batch_size: int | None = None,
+) -> DataFrame:
+    """The rows of `asked` with the model's text in place of the prompt, lazily.
+
+    Every column of `asked` passes through the model's tasks: give keys and prompts only.
+    The model gets at most `batch_size` prompts at once (default: a whole Arrow batch).
+    """
+    kept = [f for f in asked.schema.fields if f.name != prompt]
+    names = [f.name for f in kept]
     load = model.load
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = load()
         for batch in batches:
-            asked = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
-            if of_lists:
-                texts = iter(_replies(answer, [p for prompts in asked for p in prompts]))
-                found = pa.array(
-                    [[next(texts) for _ in prompts] for prompts in asked], pa.list_(pa.string()))
-            else:
-                found = pa.array(_replies(answer, asked), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, found], [*batch.schema.names, out])
+            step = batch_size or max(batch.num_rows, 1)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                found = pa.array(_replies(answer, part.column(prompt).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(n) for n in names], found], [*names, out])
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(out, kind)]))
+    return asked.mapInArrow(run, T.StructType(kept + [T.StructField(out, T.StringType())]))
 
 
 def batch_generate(
     prompts: DataFrame, generate: Generator, prompt: str = "prompt",
-    out: str = "generated_text", partitions: int | None = None, durable: bool = True,
+    out: str = "generated_text", partitions: int | None = None, batch_size: int | None = None,
 ) -> DataFrame:
     """Adds the generated text; `partitions` evens out slow prompts by row count.
 
-    A model's replies are written to the shared checkpoint folder at once (`durable`), so
-    that neither a second use of the result nor a lost executor calls the model again.
-    Select only the columns a model run has to keep: they all pass through its tasks.
+    For a model the rows are written once with a row number; only that number and the
+    prompt reach the model's tasks. The replies are written at once too and joined back,
+    so that neither a second use nor a lost executor calls the model again.
     """
-    spread = prompts.repartition(partitions) if partitions else prompts
-    if isinstance(generate, Model):
-        replied = _with_model(spread, generate, prompt, out)
-        return reliable_checkpoint(replied) if durable else replied
-    return spread.withColumn(out, F.when(
-        F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
+    if not isinstance(generate, Model):
+        spread = prompts.repartition(partitions) if partitions else prompts
+        return spread.withColumn(out, F.when(
+            F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
+    rows = stored(prompts.withColumn("_row", F.monotonically_increasing_id()), "prompts")
+    asked = rows.select("_row", prompt)
+    asked = asked.repartition(partitions) if partitions else asked
+    replied = stored(replies(asked, generate, prompt, out, batch_size), "replies")
+    return rows.drop(out).join(replied, "_row").drop("_row")
 
 
 def selection_run(

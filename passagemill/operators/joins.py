@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from passagemill.session import stored
 
 HOT_ROWS = 1_000_000
 
@@ -23,52 +25,48 @@ def _pick(df: DataFrame, key: str, order: str, pick) -> DataFrame:
     return df.groupBy(key).agg(chosen).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def _row_hash(df: DataFrame, key: str) -> Column:
-    """A value that varies over the rows of one key and is the same on every retry."""
-    plain = [f.name for f in df.schema.fields if f.name != key and not isinstance(
-        f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    return F.xxhash64(*plain) if plain else F.lit(0)
-
-
 def lookup(
-    hits: DataFrame, table: DataFrame, key: str, spread: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    hits: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Left equi-join of `hits` with a table that has unique keys.
 
     The adaptive skew rule does not help here: it looks at input bytes, while each narrow
-    hit may copy a wide row, and it needs a plain shuffle below both sides, which a table
-    made by an aggregation does not have. So keys with more than `hot_rows` hits are split
-    over several salts by `spread` (default: a hash of the row), and only those rows of
-    the table are repeated. There are at most |hits| / hot_rows such keys, which bounds
-    the broadcast of the key list.
+    hit may copy a wide row. So `hits` is written once (`is_stored` says it is a scan of a
+    stored table already), keys with more than `hot_rows` hits are counted from its key
+    column, and only their rows take a salted join with repeated table rows. All others
+    take a plain join, which leaves a table bucketed by the key where it is. Without hot
+    keys the salted branch is empty, and the adaptive planner drops it before it reads the
+    table again. Rows without a key are spread like those of a hot one.
+
+    The list of hot keys has at most |hits| / hot_rows pairs of numbers; it is a stored
+    table, so the session's size threshold decides whether it is broadcast.
     """
-    spread = _row_hash(hits, key) if spread is None else spread
-    hot = (
-        hits.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    hot = F.broadcast(hot)
-    salted_hits = (
-        hits.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")))
-        .drop("_salts")
-    )
-    salted_table = (
-        table.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(
-            F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return salted_hits.join(salted_table, [key, "_salt"], "left").drop("_salt")
+    if hits.schema[key].dataType != table.schema[key].dataType:
+        raise ValueError(f"{key} has different types in the two tables")
+    if not is_stored:
+        hits = stored(hits, "hits")
+    digest = F.xxhash64(key).alias("_digest")
+    hot = stored(
+        hits.groupBy(digest).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+        .select("_digest", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")),
+        "hot-keys")
+    # The row number of a stored table is the same on every retry, also for equal rows.
+    numbered = hits.select("*", digest, F.monotonically_increasing_id().alias("_number"))
+    salted_hits = numbered.join(hot, "_digest").withColumn(
+        "_salt", F.pmod(F.xxhash64("_number"), F.col("_salts")).cast("int"),
+    ).drop("_digest", "_number", "_salts")
+    salted_table = table.select("*", digest).join(hot, "_digest").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_digest", "_salts")
+    ordinary = hits.select("*", digest).join(hot, "_digest", "left_anti").drop("_digest")
+    return ordinary.join(table, key, "left").unionByName(
+        salted_hits.join(salted_table, [key, "_salt"], "left").drop("_salt"))
 
 
 def semi_lookup(
-    hits: DataFrame, keys: DataFrame, key: str, spread: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    hits: DataFrame, keys: DataFrame, key: str, hot_rows: int = HOT_ROWS,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Rows of `hits` whose key is among the unique `keys`."""
     known = keys.select(key, F.lit(True).alias("_known"))
-    return lookup(hits, known, key, spread, hot_rows).where("_known").drop("_known")
+    return lookup(hits, known, key, hot_rows, is_stored).where("_known").drop("_known")

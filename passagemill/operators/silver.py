@@ -3,12 +3,13 @@
 Every step of the search for one example needs only that example's few retrieved
 documents, so the search is row-local: no shuffle, and no per-example loop on the
 driver. With a column generator the whole search is one expression over a row; with a
-model each round is one narrow map over all examples, so that the model sees batches.
+model each round is one batch job over the candidates of all active examples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,8 +18,9 @@ from passagemill.functions import prompts as P
 from passagemill.functions.bleu import bleu_max
 from passagemill.functions.match import answer_match
 from passagemill.functions.text import col, first_line, let
-from passagemill.operators.generate import Model, batch_generate
+from passagemill.operators.generate import Model, replies
 from passagemill.schemas import TRACE
+from passagemill.session import stored
 
 Generator = Callable[[Column], Column]
 _IDS = "array<bigint>"
@@ -66,18 +68,20 @@ def _one_more_document(base: Column, docs: Column, state: Column) -> Column:
         F.concat(picked, F.array(d)))))
 
 
-def _results(candidates: Column, replies: Column, answers: Column, extract) -> Column:
-    """Judged replies, one per candidate, in order."""
+def _result(candidate: Column, reply: Column, answers: Column, extract) -> Column:
+    """Judged reply to one candidate (doc_id, ids)."""
+    return let(extract(reply), lambda answer: F.struct(
+        candidate["doc_id"].alias("doc_id"),
+        candidate["ids"].alias("candidate_documents"),
+        answer.alias("generated_answer"),
+        answer_match(answer, answers).alias("is_correct"),
+        bleu_max(answer, answers).alias("bleu_score")))
 
-    def judge(candidate: Column, reply: Column) -> Column:
-        return let(extract(reply), lambda answer: F.struct(
-            candidate["doc_id"].alias("doc_id"),
-            candidate["ids"].alias("candidate_documents"),
-            answer.alias("generated_answer"),
-            answer_match(answer, answers).alias("is_correct"),
-            bleu_max(answer, answers).alias("bleu_score")))
 
-    return F.zip_with(candidates, replies, judge)
+def _results(candidates: Column, replied: Column, answers: Column, extract) -> Column:
+    """Judged replies, one per candidate, in order."""
+    return F.zip_with(
+        candidates, replied, lambda candidate, reply: _result(candidate, reply, answers, extract))
 
 
 def _trace_of(results: Column) -> Column:
@@ -180,33 +184,44 @@ def _mined(
 
 def mine_silver_with_model(
     contexts: DataFrame, model: Model, extract=first_line, base_prompt: Column | None = None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """The same search with a model, which gets the prompts of a round in batches.
 
-    The replies of each round are written to the shared checkpoint folder, so that a lost
-    executor never calls the model again for a finished round; the search ends when no
-    example is active any more.
+    The contexts are written once. A round flattens the candidates of the active examples
+    to one row each, sends row number, candidate ids and prompt to the model, and writes
+    its replies and the new states to the shared folder, so that a lost executor never
+    calls the model again for a finished round. Finished examples leave the search; it
+    ends when none is active.
     """
-    docs, answers = F.col("docs"), F.col("answers")
-
-    def judged(df: DataFrame, candidates: Column) -> DataFrame:
-        asked = df.withColumn("_candidates", candidates)
-        asked = asked.withColumn("_prompts", F.transform("_candidates", lambda c: c["prompt"]))
-        replied = batch_generate(asked, model, "_prompts", "_replies")
-        return replied.withColumn("_results", _results(
-            F.col("_candidates"), F.col("_replies"), answers, extract)).drop(
-            "_candidates", "_prompts", "_replies")
-
-    base = F.col("base_prompt")
-    rows = contexts.withColumn("base_prompt", _base_prompt(base_prompt))
-    rows = judged(rows, _no_documents(base, docs))
-    rows = rows.withColumn("state", _first_state(F.col("_results"))).drop("_results")
-    while not rows.where("state.active").isEmpty():
-        rows = judged(rows, _one_more_document(base, docs, F.col("state")))
-        rows = rows.withColumn("state", F.when(
-            F.col("state.active"), _next_state(F.col("state"), F.col("_results")))
-            .otherwise(F.col("state"))).drop("_results")
-    return _unpacked(rows)
+    rows = stored(
+        contexts.withColumn("base_prompt", _base_prompt(base_prompt))
+        .withColumn("_row", F.monotonically_increasing_id()), "silver-contexts")
+    answers = rows.select("_row", "answers")
+    base, docs, state = F.col("base_prompt"), F.col("docs"), F.col("state")
+
+    def judged(asked: DataFrame) -> DataFrame:
+        """(_row, _results) of rows that have candidates; as many results as candidates."""
+        flat = asked.select("_row", F.posexplode("_candidates").alias("_n", "_c")).select(
+            "_row", "_n", "_c.doc_id", "_c.ids", "_c.prompt")
+        replied = stored(replies(flat, model, "prompt", "_reply", batch_size), "silver-replies")
+        result = _result(F.struct("doc_id", "ids"), F.col("_reply"), F.col("answers"), extract)
+        return replied.join(answers, "_row").groupBy("_row").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("_n", result.alias("_result")))),
+            lambda r: r["_result"]).alias("_results"))
+
+    found = judged(rows.select("_row", _no_documents(base, docs).alias("_candidates")))
+    nothing = F.array().cast(found.schema["_results"].dataType)
+    states = [stored(found.select(
+        "_row", _first_state(F.col("_results")).alias("state")), "silver-state")]
+    while not (active := states[-1].where("state.active")).isEmpty():
+        found = judged(rows.join(active, "_row").select(
+            "_row", _one_more_document(base, docs, state).alias("_candidates")))
+        grown = active.join(found, "_row", "left").select("_row", _next_state(
+            state, F.coalesce("_results", nothing)).alias("state"))
+        states.append(stored(grown, "silver-state"))
+    finished = [s.where("NOT state.active") for s in states]
+    return _unpacked(rows.join(reduce(DataFrame.unionByName, finished), "_row").drop("_row"))
 
 
 def best_answer(trace: Column | str, selected: Column | str) -> Column:

@@ -7,6 +7,9 @@ document, and cost one aggregation by content hash; no pair of documents is comp
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagemill import fixed_values as fv
@@ -67,8 +70,9 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight neighbours by id, rotated per block; a later copy finds its first copy best."""
-    hashed = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("example_pos"), P.content_hash("title", "text").alias("doc_hash"))
+    hashed = stored(documents(spark, sf_dir).select(
+        F.col("doc_id").alias("example_pos"), P.content_hash("title", "text").alias("doc_hash")),
+        "hashed")
     firsts = hashed.groupBy("doc_hash").agg(F.min("example_pos").alias("first_copy"))
     own = F.col("example_pos")
     base = F.array(*[F.lit(n).cast("bigint") for n in NEIGHBOURS])
@@ -77,7 +81,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.transform(rotated, lambda n: own.bitwiseXOR(n))
     ids = F.when(F.col("first_copy") == own, block).otherwise(F.concat(
         F.array("first_copy"), F.filter(block, lambda i: i != F.col("first_copy"))))
-    found = lookup(hashed, firsts, "doc_hash", F.col("example_pos"))
+    found = lookup(hashed, firsts, "doc_hash", is_stored=True)
     return found.select(
         "example_pos", ids.alias("doc_ids")).withColumn(
         "scores", F.transform("doc_ids", lambda _, i: F.lit(1.0) / (i + 1)))
@@ -130,24 +134,100 @@ def toy_selector(prompt: Column) -> Column:
     return F.concat(prompt, F.when(F.col("example_pos") % 13 == 5, F.lit("")).otherwise(turn))
 
 
+# --- the same stand-ins as models, which see nothing but the prompt ----------------
+_DOCUMENT_LINE = r"^Document \[\d+\]\(Title: [^)]*\) ?(.*)$"
+
+
+def task_line() -> Column:
+    """First prompt line that tells a stand-in model what the column form reads from the row."""
+    return F.concat(F.to_json(F.struct(
+        F.col("example_pos").alias("pos"), "query", F.get("answers", F.lit(0)).alias("first"))),
+        F.lit("\n"))
+
+
+def _toy_reply(prompt: str) -> str:
+    lines = prompt.split("\n")
+    task = json.loads(lines[0])
+    pos, query, first = task["pos"], task["query"], task.get("first")
+    texts = [m[1] for m in (re.match(_DOCUMENT_LINE, line) for line in lines[1:]) if m]
+    hit = next((t for t in texts if query in t), None)
+    if not texts:
+        guess = f"{first} indeed" if pos % 7 == 3 and first is not None else None
+        return guess or fv.ABSTAIN_TOKEN
+    last = " ".join(texts[-1].split(" ")[:6])
+    if pos % 11 == 4:
+        return last
+    if hit is not None:
+        after = hit[hit.find(query) + len(query):].strip(" ").split(" ")[:7]
+        return " ".join(after[:max(3, 9 - 2 * len(texts)) if pos % 2 == 0 else 5])
+    if pos % 5 == 0:
+        return fv.ABSTAIN_TOKEN
+    if pos % 7 == 3:
+        return f"{first} perhaps" if first is not None else fv.ABSTAIN_TOKEN
+    return last
+
+
+def load_toy_answer_model():
+    """`toy_answer` read from prompts that begin with `task_line`."""
+    return lambda prompts: [_toy_reply(p) for p in prompts]
+
+
+def with_selector_task(contexts: DataFrame) -> DataFrame:
+    """Puts position and ids before the prompt, where a stand-in selector finds them."""
+    task = F.concat(
+        F.lit("<task "), F.col("example_pos").cast("string"), F.lit(" "),
+        F.array_join(F.transform("document_indices", lambda i: i.cast("string")), "+"),
+        F.lit(">\n"))
+    return contexts.withColumn("prompt", F.concat(task, "prompt"))
+
+
+def _toy_selection(prompt: str) -> str:
+    found = re.search(r"<task (\d+) ([\d+]*)>", prompt)
+    pos, ids = int(found[1]), [i for i in found[2].split("+") if i]
+    named = [f"{fv.ALIAS_PREFIX}{n}" for n, i in enumerate(ids, 1) if int(i) % 3]
+    text = ", ".join(reversed(named)) + (" Id_9" if pos % 6 == 0 else "")
+    if pos % 13 == 5:
+        return prompt
+    return f"{prompt}{fv.ASSISTANT_MARKER}\n{text or fv.NO_DOCS}{fv.END_MARKER}"
+
+
+def load_toy_selector_model():
+    """`toy_selector` for prompts made by `with_selector_task`."""
+    return lambda prompts: [_toy_selection(p) for p in prompts]
+
+
+def load_last_words_model():
+    """Prompt without turn marks, then the first six words of its last document."""
+    def reply(prompt: str) -> str:
+        texts = re.findall(_DOCUMENT_LINE, prompt, re.MULTILINE)
+        told = " ".join(texts[-1].split(" ")[:6]) if texts else fv.ABSTAIN_TOKEN
+        return re.sub("<start_of_turn>|<end_of_turn>", "", prompt) + "\n" + told
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
 # --- runs ------------------------------------------------------------------------
-def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked lists as a stored table, the form a retriever leaves them in."""
-    return stored(search_results(spark, sf_dir), "search-results")
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples with their documents, before any template."""
+    return C.assemble_documents(
+        examples(spark, sf_dir), search_results(spark, sf_dir), corpus(spark, sf_dir), K)
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembled documents as a table, for several runs over the same contexts."""
+    return stored(assembled(spark, sf_dir), "assembled")
 
 
 def contexts(
-    spark: SparkSession, sf_dir: str, template: str = "answer", k: int = K,
-    results: DataFrame | None = None,
+    spark: SparkSession, sf_dir: str, template: str = "answer", docs: DataFrame | None = None,
 ) -> DataFrame:
-    results = stored_results(spark, sf_dir) if results is None else results
-    return C.assemble_context(
-        examples(spark, sf_dir), results, corpus(spark, sf_dir), k, P.TEMPLATES[template])
+    docs = assembled(spark, sf_dir) if docs is None else docs
+    return C.with_prompt(docs, P.TEMPLATES[template])
 
 
-def retrieved_run(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+def retrieved_run(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Answers from the retrieved documents; text after the first line is noise."""
-    asked = contexts(spark, sf_dir, results=results)
+    asked = contexts(spark, sf_dir, docs=docs)
     replied = G.batch_generate(asked, lambda prompt: F.concat(
         prompt, F.lit(" "), toy_answer(F.col("docs")), F.lit("\nQuestion: next")))
     return replied.withColumn("generated_answer", extract_answer("generated_text"))
@@ -166,19 +246,19 @@ def toy_selected_answer(prompt: Column) -> Column:
         G.without_special_tokens(prompt), F.lit("\n"), toy_answer(G.selected_docs()))
 
 
-def selected_run(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+def selected_run(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Selector, rebuilt prompt, answer."""
-    asked = contexts(spark, sf_dir, template="answer_always", results=results)
+    asked = contexts(spark, sf_dir, template="answer_always", docs=docs)
     return G.selection_then_answer(asked, toy_selector, toy_selected_answer)
 
 
-def scored_retrieved(spark, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
-    return E.score(retrieved_run(spark, sf_dir, results)).withColumn(
+def scored_retrieved(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    return E.score(retrieved_run(spark, sf_dir, docs)).withColumn(
         "row_pos", F.col("example_pos"))
 
 
-def scored_selected(spark, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
-    return E.score(selected_run(spark, sf_dir, results)).withColumn(
+def scored_selected(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    return E.score(selected_run(spark, sf_dir, docs)).withColumn(
         "row_pos", F.col("example_pos"))
 
 

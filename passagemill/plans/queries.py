@@ -555,7 +555,7 @@ def gold_insert_random(spark, sf):
     LEFT JOIN hashed_corpus d ON d.full_corpus_idx = l.doc_id""",
           "search_results", "hashed_corpus")
 def context_lookup(spark, sf):
-    listed = X.stored_results(spark, sf).select(
+    listed = X.search_results(spark, sf).select(
         "example_pos", C.topk_reversed("doc_ids", X.K).alias("ids"))
     return C.lookup_documents(listed, X.corpus(spark, sf)).select(
         "example_pos", "pos", "doc_id", "title", "text", "doc_hash")
@@ -573,12 +573,20 @@ def context_dedup(spark, sf):
     """Gold document put in at position 1, so k+1 ids compete for k = 4 places."""
     known = X.examples(spark, sf).where(F.col("gold_document_idx") != fv.NO_GOLD)
     docs = C.assemble_documents(
-        known, X.stored_results(spark, sf), X.corpus(spark, sf), 4, gold_position=1)
+        known, X.search_results(spark, sf), X.corpus(spark, sf), 4, gold_position=1)
     return docs.select(
         "example_pos", F.size("docs").alias("n_docs"),
         joined(F.transform("docs", lambda d: d["doc_id"])).alias("ids"))
 
 
+@register("lost_hits", f"""
+    SELECT l.example_pos, count(*) FILTER (WHERE c.full_corpus_idx IS NULL) AS lost_hits
+    FROM (SELECT example_pos, unnest(doc_ids[1:{X.K}]) AS hit FROM search_results) l
+    LEFT JOIN corpus c ON c.full_corpus_idx = l.hit GROUP BY 1""", "search_results", "corpus")
+def lost_hits(spark, sf):
+    return X.assembled(spark, sf).select("example_pos", "lost_hits")
+
+
 _CONTEXT_OUT = f"""
     SELECT example_id, query, prompt, {O.ids_text('document_indices')} AS document_indices,
       gold_document_idx, {O.token_len('prompt')}::INT AS prompt_tokens_len,
@@ -611,10 +619,11 @@ def length_excluded(spark, sf):
 
 
 @register("short_context_count", f"""
-    SELECT count(*) FILTER (WHERE len(docs) <> {X.K}) AS short_contexts FROM contexts""",
+    SELECT count(*) FILTER (WHERE len(docs) <> {X.K}) AS short_contexts FROM contexts
+    WHERE {O.token_len('prompt')} < {_MAX_TOKENS}""",
           "contexts")
 def short_context_count(spark, sf):
-    return C.short_context_count(X.contexts(spark, sf), X.K)
+    return C.short_context_count(X.contexts(spark, sf), X.K, _MAX_TOKENS)
 
 
 @register("query_only_prompts", """
@@ -645,24 +654,28 @@ def _two_runs(spark, sf):
     """Both scored runs as stored tables: results of a generator are kept, not recomputed."""
     kept = ("example_id", "row_pos", "generated_answer", "document_indices",
             "ans_match_after_norm", "ans_in_documents", "is_no_res", "is_correct")
-    results = X.stored_results(spark, sf)
-    run_a = X.scored_selected(spark, sf, results).select(*kept, "selected_ids_raw")
-    run_b = X.scored_retrieved(spark, sf, results).select(*kept)
+    docs = X.stored_documents(spark, sf)
+    run_a = X.scored_selected(spark, sf, docs).select(*kept, "selected_ids_raw")
+    run_b = X.scored_retrieved(spark, sf, docs).select(*kept)
     return stored(run_a, "run-a"), stored(run_b, "run-b")
 
 
-_COMMON = """(SELECT a.example_id, a.ans_match_after_norm AS match_a,
-    b.ans_match_after_norm AS match_b FROM scored_selected a
+_COMMON = """(SELECT a.*, b.ans_match_after_norm AS match_b FROM scored_selected a
     JOIN scored_retrieved b USING (example_id) WHERE a.ans_in_documents AND b.ans_in_documents)"""
 
 
-@register("compare_common_rows", f"SELECT * FROM {_COMMON}", "scored_selected", "scored_retrieved")
+@register("compare_common_rows", f"""
+    SELECT example_id, example_pos AS row_pos, generated_answer, selected_ids_raw,
+      {O.ids_text('document_indices')} AS document_indices, ans_match_after_norm,
+      ans_in_documents, is_no_res, is_correct, match_b FROM {_COMMON}""",
+          "scored_selected", "scored_retrieved")
 def compare_common_rows(spark, sf):
-    return J.common_answerable(*_two_runs(spark, sf))
+    return J.common_answerable(*_two_runs(spark, sf)).withColumn(
+        "document_indices", joined("document_indices"))
 
 
 @register("compare_common", f"""
-    SELECT count(*) AS common_examples, round(coalesce(avg(match_a::INT), 0), 6) AS accuracy_a,
+    SELECT count(*) AS common_examples, round(coalesce(avg(ans_match_after_norm::INT), 0), 6) AS accuracy_a,
       round(coalesce(avg(match_b::INT), 0), 6) AS accuracy_b FROM {_COMMON}""",
           "scored_selected", "scored_retrieved")
 def compare_common(spark, sf):
@@ -762,7 +775,7 @@ def evaluate_run(spark, sf):
     examples = X.examples(spark, sf)
     gold = examples.select("example_id", "example_pos", "answers")
     contexts = C.assemble_context(
-        E.attach_gold(examples, gold), X.stored_results(spark, sf), X.corpus(spark, sf), X.K)
+        E.attach_gold(examples, gold), X.search_results(spark, sf), X.corpus(spark, sf), X.K)
     replied = G.batch_generate(contexts, lambda prompt: F.concat(
         prompt, F.lit(" "), X.toy_answer(F.col("docs")), F.lit("\nQuestion: next")))
     scored = E.score(replied.withColumn("generated_answer", M.extract_answer("generated_text")))
@@ -822,10 +835,10 @@ _metric("correct_no_context_rate", _LUCKY, E.correct_without_context_rate)
     for run in ("retrieved", "selected")), "scored_retrieved", "scored_selected")
 def metrics_by_run(spark, sf):
     needed = ("ans_in_documents", "ans_match_after_norm", "generated_answer")
-    results = X.stored_results(spark, sf)
-    runs = X.scored_retrieved(spark, sf, results).select(F.lit("retrieved").alias("run"), *needed)
+    docs = X.stored_documents(spark, sf)
+    runs = X.scored_retrieved(spark, sf, docs).select(F.lit("retrieved").alias("run"), *needed)
     runs = runs.unionByName(
-        X.scored_selected(spark, sf, results).select(F.lit("selected").alias("run"), *needed))
+        X.scored_selected(spark, sf, docs).select(F.lit("selected").alias("run"), *needed))
     return E.metrics_by(runs, "run")
 
 
@@ -931,22 +944,37 @@ def silver_round(spark, sf):
         joined("silver").alias("selected"), "active", F.size("trace").alias("evaluations"))
 
 
-@register("silver_greedy", f"""
+_GREEDY = f"""
     SELECT example_id, {O.ids_text('silver')} AS selected, silver_ok,
       round(silver_score, 6) AS silver_score, len(trace)::INT AS evaluations,
       array_to_string(list_transform(trace, lambda t: {O.ids_text('t.docs', '+')} || ':' || t.answer
         || ':' || t.ok::VARCHAR), '|') AS trace
-    FROM silver_{X.K}""", f"silver_{X.K}")
-def silver_greedy(spark, sf):
+    FROM silver_{X.K}"""
+
+
+def _greedy_out(mined):
     trace = F.transform("trace", lambda t: F.concat_ws(
         ":", joined(t["candidate_documents"], "+"), t["generated_answer"],
         t["is_correct"].cast("string")))
-    return X.mined(spark, sf).select(
+    return mined.select(
         "example_id", joined("silver").alias("selected"), "silver_ok",
         F.round("silver_score", 6).alias("silver_score"), F.size("trace").alias("evaluations"),
         F.array_join(trace, "|").alias("trace"))
 
 
+@register("silver_greedy", _GREEDY, f"silver_{X.K}")
+def silver_greedy(spark, sf):
+    return _greedy_out(X.mined(spark, sf))
+
+
+@register("silver_greedy_model", _GREEDY, f"silver_{X.K}")
+def silver_greedy_model(spark, sf):
+    """The search in batch rounds with a model that only sees prompts."""
+    return _greedy_out(V.mine_silver_with_model(
+        X.contexts(spark, sf), G.Model(X.load_toy_answer_model), base_prompt=X.task_line(),
+        batch_size=256))
+
+
 @register("silver_best_answer", f"""
     SELECT example_id, are_answer, generated_answer, {O.ids_text('selected_documents')} AS selected,
       number_documents_selected FROM silver""", "silver")
@@ -1141,6 +1169,29 @@ def selection_then_answer(spark, sf):
         "example_id", "selected_ids_raw", "prompt", "generated_answer")
 
 
+@register("selection_run_model", f"""
+    SELECT example_id, selected_ids_raw,
+      {O.rebuilt(fv.INSTRUCTION_ALWAYS_ANSWER, 'query', 'picked')} AS prompt
+    FROM selection""", "selection")
+def selection_run_model(spark, sf):
+    asked = X.with_selector_task(X.contexts(spark, sf, template="answer_always"))
+    return G.selection_run(asked, G.Model(X.load_toy_selector_model)).select(
+        "example_id", "selected_ids_raw", "prompt")
+
+
+@register("selection_then_answer_model", f"""
+    SELECT example_id, selected_ids_raw,
+      {O.rebuilt(fv.INSTRUCTION_ANSWER, 'query', 'picked')} AS prompt,
+      {O.strip(f"CASE WHEN len(picked) = 0 THEN {O.s(fv.ABSTAIN_TOKEN)} ELSE "
+               f"{O.words_at('picked[-1].text', 1, 6)} END")} AS generated_answer
+    FROM selection""", "selection")
+def selection_then_answer_model(spark, sf):
+    asked = X.with_selector_task(X.contexts(spark, sf, template="answer_always"))
+    return G.selection_then_answer(
+        asked, G.Model(X.load_toy_selector_model), G.Model(X.load_last_words_model),
+    ).select("example_id", "selected_ids_raw", "prompt", "generated_answer")
+
+
 @register("reanswer_run", f"""
     SELECT example_id, {O.rebuilt(fv.INSTRUCTION_ANSWER, 'query', 'picked')} AS prompt,
       {O.strip(O.toy_answer('picked'))} AS generated_answer FROM selection""", "selection")

@@ -32,6 +32,18 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CORPUS).parquet(path)
 
 
+def store_corpus(corpus: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Keep the corpus as a table bucketed and sorted by id, so that lookups never shuffle it.
+
+    Choose `buckets` so that one bucket fits into a task: corpus bytes / 256 MB or so.
+    """
+    writer = corpus.repartition(buckets, "full_corpus_idx").write.mode("errorifexists")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "full_corpus_idx").sortBy("full_corpus_idx").saveAsTable(table)
+    return corpus.sparkSession.table(table)
+
+
 def subset_corpus(subset: DataFrame, id_map: DataFrame) -> DataFrame:
     """Subset rows (subset_idx, title, text) under their index in the full corpus."""
     return subset.join(id_map, "subset_idx").select("full_corpus_idx", "title", "text")

@@ -7,6 +7,7 @@ from passagemill.functions import prompts as P
 from passagemill.operators import context as C
 from passagemill.operators.joins import first_per_key, last_per_key, lookup, semi_lookup
 from passagemill.operators.ranking import global_rank
+from passagemill.sources.tables import store_corpus
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +41,7 @@ def test_order_dedup_and_missing(examples, results, corpus):
     # best last; documents 3, 2 and 0 have equal content, the first in the list stays
     assert ids(docs) == {"a": [4, 3, 1], "b": [4], "c": []}
     assert {r.query for r in docs.collect()} == {"q's", "r", "s"}
-    assert C.short_context_count(docs, 5).collect()[0][0] == 3
+    assert {r.example_id: r.lost_hits for r in docs.collect()} == {"a": 0, "b": 1, "c": 0}
 
 
 def test_gold_goes_in_and_the_last_falls_out(examples, results, corpus):
@@ -75,6 +76,8 @@ def test_prompts_and_length_split(examples, results, corpus):
     row = {r.example_id: r for r in prompts.collect()}["b"]
     assert row.prompt == "I\nQuestion: r\nDocuments:\nDocument [4](Title: t) delta\nAnswer:"
     limit = row.prompt_tokens_len
+    assert C.short_context_count(prompts, 5, 10_000).collect()[0][0] == 3
+    assert C.short_context_count(prompts, 5, limit).collect()[0][0] < 3
     kept = {r.example_id for r in C.length_filter(prompts, limit).collect()}
     out = {r.example_id for r in C.length_excluded(prompts, limit).collect()}
     assert "b" in out and kept | out == {"a", "b", "c"} and not kept & out
@@ -93,7 +96,7 @@ def test_hot_keys_are_split(spark):
     table = spark.range(0, 2000, 2).select(
         F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
     table = table.unionByName(spark.createDataFrame([(7, "v7")], "key BIGINT, value STRING"))
-    spread = lookup(hits, table, "key", F.col("row"), hot_rows=20)
+    spread = lookup(hits, table, "key", hot_rows=20)
     plain = hits.join(table, "key", "left")
     assert sorted(map(tuple, spread.select("row", "key", "value").collect())) == sorted(
         map(tuple, plain.select("row", "key", "value").collect()))
@@ -124,3 +127,65 @@ def test_semi_lookup_with_hot_keys(spark):
     got = semi_lookup(hits, keys, "k", hot_rows=10)
     assert got.columns == ["k", "id"]
     assert sorted(r.id for r in got.collect()) == sorted([i for i in range(300) if i % 3 == 0] + [4])
+
+
+def counted(spark, frame):
+    """`frame` with a pass through Python tasks that counts its rows each time it runs."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(run, frame.schema), calls
+
+
+def test_lookup_evaluates_its_hits_once(spark):
+    hits, calls = counted(spark, spark.range(1000).select("id", (F.col("id") % 7).alias("k")))
+    table = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert lookup(hits, table, "k", hot_rows=100).where("v IS NOT NULL").count() == 715
+    assert calls.value == 1000
+
+
+def test_hot_rows_are_spread_whatever_their_columns(spark):
+    hits = spark.range(1000).select(F.lit(1).alias("k"), F.array(F.lit("a")).alias("list"))
+    table = spark.createDataFrame([(1, "v")], "k INT, v STRING")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = lookup(hits, table, "k", hot_rows=50).groupBy(
+            F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in placed) == 1000 and len(placed) > 1
+
+
+def test_lookup_keeps_rows_without_a_key_and_refuses_mixed_types(spark):
+    hits = spark.createDataFrame([(None, i) for i in range(30)] + [(4, 99)], "k BIGINT, i INT")
+    table = spark.createDataFrame([(4, "v")], "k BIGINT, v STRING")
+    got = lookup(hits, table, "k", hot_rows=10).collect()
+    assert sorted(r.i for r in got) == [*range(30), 99]
+    assert [r.v for r in got if r.i == 99] == ["v"] and all(r.v is None for r in got if r.i != 99)
+    with pytest.raises(ValueError, match="different types"):
+        lookup(hits, table.withColumn("k", F.col("k").cast("int")), "k")
+
+
+def test_a_bucketed_corpus_is_not_shuffled(spark, tmp_path):
+    corpus = spark.range(20000).select(
+        F.col("id").alias("full_corpus_idx"), F.lit("t").alias("title"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    kept = store_corpus(corpus, "bucketed_corpus", 4, str(tmp_path / "corpus"))
+    listed = spark.range(50).select(
+        F.col("id").alias("example_pos"), F.array("id", F.col("id") + 1).alias("ids"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        found = C.lookup_documents(listed, kept)
+        assert len(found.collect()) == 100
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_corpus")
+    final = plan.split("== Initial Plan ==")[0]
+    above_scan = final[:final.index("bucketed_corpus")].splitlines()[-6:]
+    assert "Bucketed: true" in final
+    assert not any("Exchange" in line for line in above_scan), final

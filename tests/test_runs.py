@@ -269,3 +269,34 @@ def test_pipeline_with_models(spark):
     assert rows["a"].selected_ids_raw == "8" and rows["a"].generated_answer == "yes"
     assert "Document [8](Title: t) y" in rows["a"].prompt
     assert rows["b"].selector_text == "" and rows["b"].selected_ids_raw == "NO_DOCS"
+
+
+def test_only_number_and_prompt_reach_the_model(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(10).select("id", F.concat(F.lit("p"), "id").alias("prompt"),
+                                  F.repeat(F.lit("x"), F.lit(1000)).alias("wide")).coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def load():
+        def answer(prompts):
+            assert len(prompts) <= 4
+            sizes.add(len(prompts))
+            return [p.upper() for p in prompts]
+        return answer
+
+    got = G.batch_generate(rows, G.Model(load), batch_size=4)
+    assert got.columns == ["id", "prompt", "wide", "generated_text"]
+    for _ in range(2):  # a second use does not call the model again
+        assert {r.id: r.generated_text for r in got.collect()} == {i: f"P{i}" for i in range(10)}
+    assert sizes.value == 10
+    asked = G.replies(rows.select("id", "prompt"), G.Model(load))
+    assert asked.columns == ["id", "generated_text"]
+
+
+def test_common_rows_are_whole(spark):
+    schema = ("example_id STRING, row_pos INT, ans_in_documents BOOLEAN, "
+              "ans_match_after_norm BOOLEAN, prompt STRING")
+    run_a = spark.createDataFrame([("a", 0, True, False, "old"), ("a", 1, True, True, "new")], schema)
+    run_b = spark.createDataFrame([("a", 0, True, False, "other")], schema)
+    row = J.common_answerable(run_a, run_b).collect()[0]
+    assert (row.prompt, row.ans_match_after_norm, row.match_b) == ("new", True, False)
