@@ -39,9 +39,9 @@ def _clipped(hyp: Column, ref: Column) -> Column:
 
 
 def _score(hyp: Column, ref: Column) -> Column:
+    """Without a shared word the score is 0, and no longer n-grams are built."""
     hyp_len, ref_len = F.size(hyp), F.size(ref)
-    orders = F.sequence(F.lit(1), F.lit(MAX_ORDER))
-    shared = F.transform(orders, lambda n: let(
+    longer = F.transform(F.sequence(F.lit(2), F.lit(MAX_ORDER)), lambda n: let(
         F.struct(_ngrams(hyp, n).alias("h"), _ngrams(ref, n).alias("r")),
         lambda g: _clipped(g["h"], g["r"])))
 
@@ -51,9 +51,10 @@ def _score(hyp: Column, ref: Column) -> Column:
 
     penalty = F.when(hyp_len > ref_len, F.lit(0.0)).otherwise(
         1.0 - ref_len / F.greatest(hyp_len, F.lit(1)))
-    return let(shared, lambda counts: F.when(counts[0] == 0, F.lit(0.0)).otherwise(
+    return let(_clipped(hyp, ref), lambda words: F.when(words == 0, F.lit(0.0)).otherwise(
         F.exp(penalty + F.aggregate(
-            F.transform(counts, log_precision), F.lit(0.0), lambda a, x: a + x) / MAX_ORDER)))
+            F.transform(F.concat(F.array(words), longer), log_precision), F.lit(0.0),
+            lambda a, x: a + x) / MAX_ORDER)))
 
 
 def bleu_max(hypothesis: Column | str, references: Column | str) -> Column:

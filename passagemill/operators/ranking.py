@@ -10,30 +10,43 @@ BUCKET_BITS = 20
 def global_rank(
     df: DataFrame, group: str, order: str, out: str, bits: int = BUCKET_BITS,
     tie: str | None = None, group_size: str | None = None,
+    running: dict[str, Column] | None = None,
 ) -> DataFrame:
     """1-based rank of each row in its group by the BIGINT column `order`.
 
     Rows are cut into key ranges of 2^bits; a window numbers the rows inside one
     range, and a small running sum over the range counts supplies the offset. No
     window ever sees more than one range, however large a group is. `order` must be
-    unique in a group unless `tie` breaks ties.
+    unique in a group unless `tie` breaks ties. `running` adds for each of its flags the
+    number of rows of the group that have it, up to and with the row.
     """
+    running = running or {}
     bucketed = df.withColumn("_bucket", F.shiftright(F.col(order), bits))
-    counts = bucketed.groupBy(group, "_bucket").agg(F.count("*").alias("_rows"))
+    counts = bucketed.groupBy(group, "_bucket").agg(
+        F.count("*").alias("_rows"),
+        *[F.count_if(flag).alias(f"_flag_{name}") for name, flag in running.items()])
     by_group = Window.partitionBy(group)
     before = by_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         group, "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(by_group).alias("_total"),
+        *[F.coalesce(F.sum(f"_flag_{name}").over(before), F.lit(0)).alias(f"_flag_{name}")
+          for name in running],
     )
     ordering: list[Column] = [F.col(order)] + ([F.col(tie)] if tie else [])
     inside = Window.partitionBy(group, "_bucket").orderBy(*ordering)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        bucketed.withColumn("_inside", F.row_number().over(inside))
+        bucketed.withColumns({
+            "_inside": F.row_number().over(inside),
+            **{name: F.count_if(flag).over(upto) for name, flag in running.items()}})
         .join(offsets, [group, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
+        .withColumns({
+            out: F.col("_before") + F.col("_inside"),
+            **{name: F.col(f"_flag_{name}") + F.col(name) for name in running}})
     )
     if group_size:
         ranked = ranked.withColumn(group_size, F.col("_total"))
-    return ranked.drop("_bucket", "_inside", "_before", "_total")
+    return ranked.drop(
+        "_bucket", "_inside", "_before", "_total", *[f"_flag_{name}" for name in running])

@@ -9,6 +9,7 @@ from passagemill.functions import prompts as P
 from passagemill.functions.selection import alias_map
 from passagemill.functions.text import stable_hash
 from passagemill.operators.ranking import global_rank
+from passagemill.session import stored
 
 _NO_MAP = "map<string,bigint>"
 
@@ -137,23 +138,24 @@ def quota_sample_global(
     def quota(case: str) -> Column:
         return _quota(F.col("_all_rows"), shares[case])
 
-    # 60-bit hashes: 2^20 ranges of equal expected size.
-    ranked = global_rank(valid, "_group", "_order", "_rank", bits=40, tie="example_pos")
+    # 60-bit hashes: 2^20 ranges of equal expected size. Written once, as the sample needs
+    # it twice.
+    ranked = stored(global_rank(
+        valid, "_group", "_order", "_rank", bits=40, tie="example_pos",
+        running={"_long": size > 2}), "ranked")
     rank, group = F.col("_rank"), F.col("_group")
-    first = ranked.withColumn(
+    in_case_2 = (group == 2) & (rank <= quota("case_2_multiple_docs"))
+    # Rank among the left-over rows with more than two documents: those up to the row less
+    # those that went into case 2.
+    gone = ranked.where(in_case_2).agg(F.coalesce(F.max("_long"), F.lit(0))).scalar()
+    left_over = F.col("_long") - gone
+    cased = ranked.withColumn(
         "sample_case",
         F.when((group == 0) & (rank <= quota("case_3_no_docs")), F.lit("case_3_no_docs"))
         .when((group == 1) & (rank <= quota("case_1_single_doc")), F.lit("case_1_single_doc"))
-        .when((group == 2) & (rank <= quota("case_2_multiple_docs")),
-              F.lit("case_2_multiple_docs")))
-    taken = first.where(F.col("sample_case").isNotNull())
-    leftover = first.where(
-        F.col("sample_case").isNull() & (F.col("_group") == 2) & (size > 2)).drop("_rank")
-    again = global_rank(leftover, "_group", "_order", "_rank", bits=40, tie="example_pos")
-    second = again.withColumn(
-        "sample_case",
-        F.when(F.col("_rank") <= quota("case_4_less_docs"), F.lit("case_4_less_docs"))
-        .when(F.col("_rank") <= quota("case_4_less_docs") + quota("case_5_reranking"),
+        .when(in_case_2, F.lit("case_2_multiple_docs"))
+        .when((size > 2) & (left_over <= quota("case_4_less_docs")), F.lit("case_4_less_docs"))
+        .when((size > 2) & (left_over <= quota("case_4_less_docs") + quota("case_5_reranking")),
               F.lit("case_5_reranking")))
     mixed = _shuffled(F.col("selected_documents"), F.col("example_id"), seed)
-    return _sampled(taken.unionByName(second), mixed)
+    return _sampled(cased, mixed)

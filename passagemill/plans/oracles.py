@@ -6,8 +6,6 @@ Derived tables are common table expressions; `query(...)` pulls in the ones it n
 from __future__ import annotations
 
 from passagemill import fixed_values as fv
-from passagemill.functions import prompts as P
-from passagemill.functions.text import norm_replacements, norm_table
 from passagemill.plans.fixtures import K, NEIGHBOURS
 
 
@@ -38,11 +36,19 @@ def strip(x: str) -> str:
 
 
 def norm_text(x: str) -> str:
-    source, target = norm_table()
-    out = f"translate({x}, {s(source)}, {s(target)})"
-    for old, new in norm_replacements():
-        out = f"replace({out}, {s(old)}, {s(new)})"
-    return out
+    """One step for each character class; classes do not overlap."""
+    apostrophes = fv.SINGLE_QUOTES + fv.APOSTROPHES + fv.ACCENTS + fv.SINGLE_PRIMES
+    out = f"translate({x}, {s(fv.DELETED_CONTROLS + fv.SOFT_HYPHEN)}, '')"
+    for chars, new in (
+            (fv.SPACE_LIKE, " "), (fv.HYPHENS, "-"), (fv.MINUSES, "-"), (fv.DOUBLE_QUOTES, '"'),
+            (apostrophes, "'"), (fv.SLASHES, "/"), (fv.TILDES, "~")):
+        out = f"translate({out}, {s(chars)}, {s(new * len(chars))})"
+    for chars, new in (
+            (fv.DOUBLE_PRIMES, "''"), (fv.TRIPLE_PRIMES, "'''"),
+            (fv.QUADRUPLE_PRIMES, "''''"), (fv.ELLIPSIS, "...")):
+        for char in chars:
+            out = f"replace({out}, {s(char)}, {s(new)})"
+    return f"replace({out}, {s(fv.SPACED_DOTS)}, {s(fv.CLOSED_DOTS)})"
 
 
 def norm_answer(x: str, lowercase: bool = True) -> str:
@@ -122,9 +128,26 @@ def render_aliased(docs: str) -> str:
             f"{document(label, 'd.title', 'd.text')}), chr(10))")
 
 
-def fill(template: P.Template, query: str, context: str = "''") -> str:
-    form = s(template.text()).replace("{query}", f"' || {query} || '")
-    return form.replace("{context}", f"' || {context} || '")
+def prompt(instruction: str, query: str, context: str | None = None) -> str:
+    """Prompt with the question first; without a context only the question."""
+    documents = "" if context is None else f" || chr(10) || 'Documents:' || chr(10) || {context}"
+    return (f"{s(instruction)} || chr(10) || 'Question: ' || {query}{documents} "
+            f"|| chr(10) || 'Answer:'")
+
+
+def prompt_query_last(instruction: str, query: str, context: str) -> str:
+    return (f"{s(instruction)} || chr(10) || 'Documents:' || chr(10) || {context} || chr(10) "
+            f"|| 'Question: ' || {query} || chr(10) || 'Answer:'")
+
+
+def prompt_open(instruction: str, query: str) -> str:
+    """Up to the place where the documents begin."""
+    return f"{s(instruction)} || chr(10) || 'Question: ' || {query} || chr(10) || 'Documents:' || chr(10)"
+
+
+def in_turns(text: str) -> str:
+    return ("'<start_of_turn>user' || chr(10) || " + text
+            + " || '<end_of_turn>' || chr(10) || '<start_of_turn>model'")
 
 
 def token_len(x: str) -> str:
@@ -299,12 +322,12 @@ _SELECTOR_REPLY = (
 )
 
 
-def context_cte(k: int, ids: str, template: str) -> str:
+def context_cte(k: int, ids: str, instruction: str) -> str:
     """Contexts from an id-list expression over examples and search_results."""
     return f"""
     SELECT e.example_pos, e.example_id, e.query, e.answers, e.gold_document_idx, c.docs,
       list_transform(c.docs, lambda d: d.doc_id) AS document_indices,
-      {fill(P.TEMPLATES[template], 'e.query', render('c.docs'))} AS prompt
+      {prompt(instruction, 'e.query', render('c.docs'))} AS prompt
     FROM (SELECT * REPLACE ({norm_text('query')} AS query) FROM examples) e
     JOIN (
       SELECT example_pos, coalesce(list(struct_pack(doc_id := doc_id, title := title,
@@ -350,9 +373,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
           || {_BASE}[1 : (full_corpus_idx // 8) % 8], lambda n: xor(full_corpus_idx, n)) AS block
       FROM (SELECT doc_id AS full_corpus_idx, sha256({content('title', 'text')}) AS doc_hash
             FROM docs))""", ("docs",)),
-    "contexts": (context_cte(K, _TOP, "answer"), ("examples", "search_results", "hashed_corpus")),
+    "contexts": (context_cte(K, _TOP, fv.INSTRUCTION_ANSWER), ("examples", "search_results", "hashed_corpus")),
     "contexts_always": (
-        context_cte(K, _TOP, "answer_always"), ("examples", "search_results", "hashed_corpus")),
+        context_cte(K, _TOP, fv.INSTRUCTION_ALWAYS_ANSWER), ("examples", "search_results", "hashed_corpus")),
     "retrieved": (f"""
     SELECT *, {strip(after('generated_text', fv.ANSWER_MARKER))} AS generated_full FROM (
       SELECT *, prompt || ' ' || {toy_answer('docs')} || chr(10) || 'Question: next'
@@ -361,7 +384,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     SELECT *, {strip(after('generated_text', fv.ANSWER_MARKER))} AS generated_full FROM (
       SELECT *, prompt || ' ' || {toy_answer('docs')} AS generated_text FROM (
         SELECT * REPLACE ({norm_text('query')} AS query),
-          {fill(P.TEMPLATES['query_only'], norm_text('query'))} AS prompt,
+          {prompt(fv.INSTRUCTION_QUERY_ONLY, norm_text('query'))} AS prompt,
           []::STRUCT(doc_id BIGINT, title VARCHAR, text VARCHAR)[] AS docs FROM examples))""",
                    ("examples",)),
     "selector": (f"""

@@ -273,7 +273,7 @@ def _proved(spark, sf):
     answer = cases(
         text, F.concat(sq, F.lit(" Proof:  "), text),
         F.concat(F.lit("Proof:\n "), text, F.lit(" Proof: x")))
-    return X.documents(spark, sf).select("doc_id", "sq", answer.alias("answer"))
+    return X.documents(spark, sf).select("doc_id", "text", "sq", answer.alias("answer"))
 
 
 @register("proof_extract", f"""
@@ -285,12 +285,12 @@ def proof_extract(spark, sf):
 
 @register("answer_in_proof", f"""
     SELECT doc_id, {O.answer_in_text('proof', '[generated]')} AS ans_in_proof FROM (
-      SELECT doc_id, {O.proof_of('answer')} AS proof, {O.words_at('sq', 1, 3)} AS generated
-      FROM (SELECT doc_id, sq, {_SQL_PROVED} AS answer FROM docs))""", "docs")
+      SELECT doc_id, {O.proof_of('answer')} AS proof, {O.first_line('text')} AS generated
+      FROM (SELECT doc_id, text, sq, {_SQL_PROVED} AS answer FROM docs))""", "docs")
 def answer_in_proof(spark, sf):
+    """The generated answer is the first line of the document, whole."""
     return _proved(spark, sf).select(
-        "doc_id", M.proof_of("answer").alias("proof"),
-        T.words_at(F.col("sq"), 1, 3).alias("generated"),
+        "doc_id", M.proof_of("answer").alias("proof"), T.first_line("text").alias("generated"),
     ).select("doc_id", M.answer_in_proof("proof", "generated").alias("ans_in_proof"))
 
 
@@ -332,9 +332,15 @@ _FORMS = {
 }
 
 
-@register("prompt_build", "SELECT doc_id, " + ", ".join(
-    f"{O.fill(form, O.words_at('sq', 1, 8), 'sq')} AS {name}" for name, form in _FORMS.items())
-    + " FROM docs", "docs")
+_ASKED = O.words_at("sq", 1, 8)
+
+
+@register("prompt_build", f"""
+    SELECT doc_id, {O.prompt(fv.INSTRUCTION_ANSWER, _ASKED, 'sq')} AS query_first,
+      {O.prompt_query_last(fv.INSTRUCTION_ANSWER, _ASKED, 'sq')} AS query_last,
+      {O.prompt_open(fv.INSTRUCTION_ALWAYS_ANSWER, _ASKED)} AS open_context,
+      {O.prompt(fv.INSTRUCTION_QUERY_ONLY, _ASKED)} AS query_only,
+      {O.prompt(fv.INSTRUCTION_PROOF, _ASKED, 'sq')} AS with_proof FROM docs""", "docs")
 def prompt_build(spark, sf):
     question = T.words_at(F.col("sq"), 1, 8)
     return X.documents(spark, sf).select("doc_id", *[
@@ -347,8 +353,9 @@ _CHAT_QUERY = P.Template(fv.INSTRUCTION_QUERY_ONLY, P.QUERY_ONLY, chat_model=_CH
 
 
 @register("prompt_chat_wrap", f"""
-    SELECT doc_id, {O.fill(_CHAT, O.words_at('sq', 1, 8), 'sq')} AS prompt,
-      {O.fill(_CHAT_QUERY, O.words_at('sq', 1, 8))} AS query_prompt FROM docs""", "docs")
+    SELECT doc_id, {O.in_turns(O.prompt(fv.INSTRUCTION_ANSWER, _ASKED, 'sq'))} AS prompt,
+      {O.in_turns(O.prompt(fv.INSTRUCTION_QUERY_ONLY, _ASKED))} AS query_prompt FROM docs""",
+          "docs")
 def prompt_chat_wrap(spark, sf):
     question = T.words_at(F.col("sq"), 1, 8)
     return X.documents(spark, sf).select(
@@ -567,7 +574,7 @@ _GOLD_SECOND = ("list_reverse(r.doc_ids[1:4])[1:1] || [e.gold_document_idx] "
 
 @register("context_dedup", f"""
     SELECT example_pos, len(docs)::INT AS n_docs, {O.ids_text('document_indices')} AS ids
-    FROM ({O.context_cte(4, _GOLD_SECOND, 'answer')}) WHERE gold_document_idx <> -1""",
+    FROM ({O.context_cte(4, _GOLD_SECOND, fv.INSTRUCTION_ANSWER)}) WHERE gold_document_idx <> -1""",
           "examples", "search_results", "hashed_corpus")
 def context_dedup(spark, sf):
     """Gold document put in at position 1, so k+1 ids compete for k = 4 places."""
