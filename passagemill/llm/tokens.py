@@ -7,6 +7,8 @@ order. Words recur, so each Python worker keeps the ids of the words it has met.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,19 +61,20 @@ class WordEncoder:
                 self.letters[part] = ids
         return ids
 
-    def _slot(self, word: str) -> int:
-        ids = self._encode(word)
-        slot, n = len(self.slot_of), len(ids)
-        while self.used + n > len(self.ids):
+    def _add(self, words: list[str]) -> None:
+        """Put the ids of new words, in their order, behind those already held."""
+        found = [self._encode(word) for word in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        slots, total = len(self.slot_of) - len(words), int(sizes.sum())
+        while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        if slot == len(self.starts):
+        while slots + len(words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.ids[self.used:self.used + n] = ids
-        self.starts[slot], self.lengths[slot] = self.used, n
-        self.used += n
-        self.slot_of[word] = slot
-        return slot
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.starts[slots:slots + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[slots:slots + len(words)] = sizes
+        self.used += total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
@@ -79,12 +82,13 @@ class WordEncoder:
             self._clear()
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = words.flatten().dictionary_encode()
-        found, get = [], self.slot_of.get
-        for word in coded.dictionary.to_pylist():
-            slot = get(word)
-            found.append(self._slot(word) if slot is None else slot)
-        slots = np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] \
-            if found else np.empty(0, np.int64)
+        distinct = coded.dictionary.to_pylist()
+        slot_of = self.slot_of
+        fresh = [word for word in distinct if word not in slot_of]
+        slot_of.update(zip(fresh, range(len(slot_of), len(slot_of) + len(fresh))))
+        self._add(fresh)
+        found = np.fromiter(map(slot_of.__getitem__, distinct), np.int64, len(distinct))
+        slots = found[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.lengths[slots]
         ids = self.ids[spans(self.starts[slots], sizes)]
         per_text = words.offsets.to_numpy()
