@@ -15,6 +15,10 @@ import pyarrow.compute as pc
 
 from passagemill.llm.common import spans, worker_state
 
+LAST_LATIN = "\u024f"
+# The byte-level alphabet: a printable byte stands for itself, the others for 256, 257, ...
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 MEMO_WORDS = 550_000  # the memo is emptied beyond this; its words are then encoded again
 
 
@@ -42,15 +46,22 @@ class WordEncoder:
     def _encode(self, word: str) -> tuple[int, ...]:
         """Ids of a word; the letters of a plain word with end marks are looked up alone.
 
-        ASCII letters are one pattern match whatever follows, and so are the marks after
-        them, so both parts may be encoded apart.
+        Letters are one pattern match whatever follows, and so are the marks after them,
+        so both parts may be encoded apart. Latin letters need no more than lower case and
+        the byte alphabet before the merges.
         """
         core = word.rstrip(".,")
-        if core.isascii() and core.isalpha():
-            core_ids = self._known(core.lower(), plain=True)
-            return core_ids if len(core) == len(word) else \
-                core_ids + self._known(word[len(core):])
-        return self._known(word)
+        if not core.isalpha():
+            return self._known(word)
+        low = core.lower()
+        if low.isascii() and core.isascii():
+            core_ids = self._known(low, plain=True)
+        elif max(core) <= LAST_LATIN and low.isalpha():
+            in_bytes = low.encode().decode("latin-1").translate(BYTE_LETTERS)
+            core_ids = tuple([t.id for t in self.tokenizer.model.tokenize(in_bytes)])
+        else:
+            return self._known(word)
+        return core_ids if len(core) == len(word) else core_ids + self._known(word[len(core):])
 
     def _known(self, part: str, plain: bool = False) -> tuple[int, ...]:
         ids = self.letters.get(part)

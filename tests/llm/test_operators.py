@@ -502,3 +502,12 @@ def test_line_dedup_sql(spark):
     names = [d[0] for d in cursor.description]
     got = queries.QUERIES["op10_line_dedup"](spark, SF_MORE).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
+
+
+def test_words_have_the_tokenizers_ids():
+    from passagemill.llm.tokens import WordEncoder, default_tokenizer
+    words = [chr(c) + end for c in range(33, 0x300) if chr(c).strip() for end in ("", "a", "É.", ",.")]
+    words += ["İstanbul.", "ŒUVRE,", "Σας", "ªº", "ﬁn", "áb.", "ß,", "don't.", "x1,"]
+    encoder = WordEncoder(default_tokenizer())
+    whole = encoder.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, e in zip(words, whole) if list(encoder._encode(w)) != e.ids] == []
