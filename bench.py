@@ -22,14 +22,19 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     names = os.environ.get("BENCH_QUERIES", "").split(",")
     names = [n for n in names if n] or list(HEADLINE)
+    # Start-up and the first Python worker belong to no query.
+    QUERIES["batch_generate"](spark, sf_dir).limit(1).collect()
     seconds: dict[str, float] = {}
+    building: dict[str, float] = {}
     for name in names:
         start = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        df = QUERIES[name](spark, sf_dir)  # includes the tables a query stores on its way
+        building[name] = round(time.time() - start, 3)
+        df.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "total_wall_clock", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "queries": seconds, "building": building, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cpus": cpus,
     }))
 
