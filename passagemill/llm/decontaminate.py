@@ -187,7 +187,7 @@ class Index:
         for item, at in hits:
             text = self.items[item][1]
             reach = int(len(text) * self.max_share)
-            if item in best and best[item][0] == 0 or done.get(item, -1) >= at:
+            if item in best and best[item][0] == 0 or item in done and done[item] >= at:
                 continue
             low = max(0, at - 2 * reach)
             window = data[low:max(0, at) + len(text) + 2 * reach]
