@@ -4,8 +4,9 @@ Text is compared as lower-case ASCII letters, other bytes as they are, with each
 ASCII white space as one space. The CGK random walk embeds a string so that edit distance
 becomes Hamming distance: step j writes the byte under the pointer and moves the pointer
 on by a random bit that depends on j and on that byte. All windows that start at a word,
-in items and in documents, are embedded with the same walk; each of `repeats` LSH tables
-samples positions of the embedding and compares the sampled bytes. A hit lines an item up
+in items and in documents, are embedded with the same walk, and those that start at any
+character beyond ASCII or right behind one, since many scripts put no space between words.
+Each of `repeats` LSH tables samples positions of the embedding and compares the sampled bytes. A hit lines an item up
 with its place in the document, where the item-sized window is verified with the exact
 edit distance (bit-parallel, the best end within reach). A copy without edits hits on
 every table; one with edits needs one stretch of the item that a table samples unharmed.
@@ -38,10 +39,13 @@ def normal_bytes(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
-    """Where words begin in bytes whose only white space is single spaces."""
-    spaces = np.flatnonzero(data == 32) + 1
-    return np.concatenate([[0], spaces]) if len(data) else spaces
+def window_starts(data: np.ndarray) -> np.ndarray:
+    """Where windows begin in bytes whose only ASCII white space is single spaces.
+
+    At words, at every character that is not ASCII, and at an ASCII one right behind such.
+    """
+    before = np.concatenate([np.full(1, 32, np.uint8), data[:-1]])[:len(data)]
+    return np.flatnonzero((before == 32) | (data >= 0xC0) | (before >= 0x80) & (data < 0x80) & (data != 32))
 
 
 def edit_window(item: bytes, text: bytes) -> tuple[int, int]:
@@ -93,7 +97,7 @@ class Index:
             own = [i for i, (_, b) in enumerate(self.items) if steps <= len(b) < longer]
             if not own:
                 continue
-            anchors = [(i, int(s)) for i in own for s in word_starts(np.frombuffer(self.items[i][1], np.uint8))
+            anchors = [(i, int(s)) for i in own for s in window_starts(np.frombuffer(self.items[i][1], np.uint8))
                        if s + steps <= len(self.items[i][1])]
             walked = self._walk(
                 np.frombuffer(b"".join(self.items[i][1][s:s + steps] for i, s in anchors), np.uint8),
@@ -147,7 +151,7 @@ class Index:
         """
         ends = np.cumsum(lengths + 1) - 1
         begins = ends - lengths
-        starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])[:-1]
+        starts = window_starts(data)
         text = np.searchsorted(ends, starts, "left")
         found = [np.empty((0, 3), np.int64)]
         for steps, anchors, tables in self.scales:

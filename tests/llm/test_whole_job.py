@@ -1,5 +1,7 @@
 """Cases that an operator once left out: edges of texts, other scripts, tables of any size."""
 
+import random
+
 from passagemill.llm import decontaminate
 
 SF = "/root/testdata/sf0.01"
@@ -24,3 +26,23 @@ def test_edited_items_at_both_ends_of_a_document(spark):
         at_end = found_in([f"{around}{tail}" for _, tail in part], items)
         for i in range(len(items)):
             assert i in at_start[i] and i in at_end[i]
+
+
+def test_items_inside_unspaced_text(spark):
+    rng = random.Random(3)
+
+    def prose(first, last, n):
+        return "".join(chr(rng.randrange(first, last)) for _ in range(n))
+
+    scripts = [(0x4E00, 0x9FA5), (0x3041, 0x3097), (0x0E01, 0x0E2F)]
+    items = [prose(*s, 50) for s in scripts for _ in range(10)]
+    texts = [f"{prose(*s, 300)}{items[10 * k + j]}{prose(*s, 300)}" for k, s in enumerate(scripts) for j in range(10)]
+    edited = [t.replace(x, x[:7] + x[8:25] + "q" + x[26:]) for t, x in zip(texts, items)]  # 2 of 50 characters
+    for space in (" ", "　"):
+        for t in benchmark_items(spark)[:10]:
+            items.append(t.replace(" ", space))
+            texts.append(f"one paragraph and{' another word' * 9} {items[-1]} and more words".replace(" ", space))
+    for cases in (texts, edited):
+        got = found_in(cases, items)
+        assert [i for i in range(len(cases)) if i not in got[i]] == []
+    assert found_in(["2024年" + items[0]], ["年" + items[0]]) == found_in([f"全部abc{items[0]}"], ["abc" + items[0]]) == [{0}]
