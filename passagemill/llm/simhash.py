@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from passagemill.llm import minhash
 from passagemill.llm.common import chunks, column, id_and_text
 from passagemill.session import reliable_checkpoint, stored
 
@@ -189,9 +190,14 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, within: int = 2) -> Da
     first_hash is the text hash that goes with the smallest id, for picking one row.
     """
     rows = stored(fingerprints(docs, words_each), "simhash")
+    return _grouped(rows, links(rows.select("fp").distinct(), within))
+
+
+def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, fp) with the component_id and first_hash of their linked group."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("text_hash").alias("h"))).alias("first")
     distinct = rows.groupBy("fp").agg(first)
-    roots = components(links(distinct.select("fp"), within))
+    roots = components(edges)
     # only linked fingerprints take part in the group join; all others are their own group
     linked = distinct.join(roots, F.col("fp") == F.col("node"), "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -205,13 +211,18 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, within: int = 2) -> Da
             F.col("least.h").alias("first_hash"))
 
 
-def keep_one(docs: DataFrame, words_each: int = 3, within: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with all its columns.
 
+    Groups here are linked by the similarity of whole texts, not by close fingerprints, which
+    miss most copies with a few changed words: at least `similarity` (Jaccard) between the
+    sets of shingles of `words_each` words. Texts without words are one group.
+
     Rows equal in doc_id and text are one document and leave one row; which of their other
     columns stays is the choice of the aggregation.
     """
-    found = near_duplicates(docs, words_each, within)
+    rows = stored(minhash.sketches(docs, words_each), "sketches")
+    found = _grouped(rows.select("doc_id", "text_hash", "fp"), minhash.links(docs, rows, words_each, similarity))
     wanted = found.where(
         F.coalesce("doc_id", F.lit(2**63 - 1)).eqNullSafe(F.coalesce("component_id", F.lit(2**63 - 1)))
         & (F.col("text_hash") == F.col("first_hash"))

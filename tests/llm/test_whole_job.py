@@ -2,7 +2,7 @@
 
 import random
 
-from passagemill.llm import decontaminate
+from passagemill.llm import decontaminate, minhash, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,3 +46,44 @@ def test_items_inside_unspaced_text(spark):
         got = found_in(cases, items)
         assert [i for i in range(len(cases)) if i not in got[i]] == []
     assert found_in(["2024年" + items[0]], ["年" + items[0]]) == found_in([f"全部abc{items[0]}"], ["abc" + items[0]]) == [{0}]
+
+
+def test_near_copies_of_a_few_words_go(spark):
+    rng = random.Random(5)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    docs = {i: t for i, t in enumerate(texts)}
+    for i, text in enumerate(texts):
+        words = text.split()
+        for k in range(int(0.035 * len(words) * rng.random())):
+            words[rng.randrange(len(words))] = f"w{i}x{k}"
+        docs[1000 + i] = " ".join(words)
+    words = [f"base{k}" for k in range(200)]
+    for i in range(300):  # one large group of copies, each of its own
+        docs[5000 + i] = " ".join([*words[:150], f"own{i}", *words[151:]])
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return frozenset(b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, root = {i: shingles(t) for i, t in docs.items()}, {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    want = {i for i in docs if find(i) == i}
+    assert len(want) < len(docs) - 500
+    frame = spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING")
+    kept = [r.doc_id for r in simhash.keep_one(frame).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want
+    # blocks far smaller than the group
+    rows = minhash.sketches(frame, 5).cache()
+    edges = minhash.links(frame, rows, 5, 0.8, block_shingles=20_000)
+    assert {r.component_id for r in simhash._grouped(rows.drop("size", "bands"), edges).collect()} == want
