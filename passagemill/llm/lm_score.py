@@ -1,11 +1,12 @@
 """Cross-entropy difference: documents scored by a target and a background language model.
 
 Both are interpolated bigram models over one shared vocabulary, the slots of a hash of the
-lower-case word: unigrams have 2**WORD_BITS slots, bigrams 2**PAIR_BITS, the same for both
-models. The background is counted over all documents, the target over those that a column
-marks, each whole. Tasks add up their own slots first, so the shuffle carries each slot
-once per task, and the reduced counts (bounded by the number of slots, whatever the
-corpus) are a table in the shared folder, which every Python worker loads into flat arrays.
+lower-case word, the same for both models. The background is counted over all documents,
+the target over those that a column marks, each whole. Counting goes by the 64-bit hashes of
+words and pairs, each added up within a task before the shuffle. The slots then grow with the
+square of their numbers (2**WORD_BITS and 2**PAIR_BITS at least), so only some hundred keys
+share a slot whatever the corpus. Slots in use are sorted shards of about `keys_per_shard` in the shared folder;
+documents probe them chunk by chunk, and a worker keeps a few open, whatever the corpus.
 A document's score is the mean over its tokens of target loss minus background loss:
 below zero, it reads more like the target.
 
@@ -16,26 +17,32 @@ count each. With an empty target its model is uniform.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
 import xxhash
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from passagemill.llm.common import chunks, column, filesystem, mix64, sums, worker_state
-from passagemill.session import scratch_path
+from passagemill.llm.common import (
+    chunks, column, filesystem, mix64, shared_folder, sums, worker_state, write_once,
+)
+from passagemill.session import stored
 
-WORD_BITS, PAIR_BITS = 20, 22
+WORD_BITS, PAIR_BITS = 20, 22  # at least
+SHARED_BITS = 10  # about 2**(SHARED_BITS - 1) pairs of keys may share a slot, whatever their number
+KEYS_PER_SHARD = 1 << 19
+HELD_SHARDS = 12  # shards a worker keeps open
+HELD_KEYS = 1 << 20  # keys a task adds up before it sends them
 BEGIN = 0x5851F42D4C957F2D  # stands before the first word of a text
 PAIR_SHARE, WORD_SHARE = 0.6, 0.35  # the rest is uniform
 
 
-def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of the texts its slot, its left neighbour's and their pair's; words per text."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the texts its hash, its left neighbour's and their pair's; words per text."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     words = lists.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # an edge of white space gives ""
@@ -49,99 +56,154 @@ def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     before[1:] = hashes[:-1]
     lengths = np.diff(ends)
     before[ends[:-1][lengths > 0]] = BEGIN
-    pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + hashes) >> np.uint64(64 - PAIR_BITS)
-    word, left = (x >> np.uint64(64 - WORD_BITS) for x in (hashes, before))
-    return word.astype(np.int64), left.astype(np.int64), pair.astype(np.int64), lengths
+    return hashes, before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + hashes), lengths
 
 
-def count_slots(docs: DataFrame) -> DataFrame:
-    """slot, n, n_target over (text, target); pair slots follow the word slots."""
+def word_slots(texts: pa.Array, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS,
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same as slots of so many bits."""
+    *hashes, lengths = word_hashes(texts)
+    return *((x >> np.uint64(64 - bits)).astype(np.int64) for x, bits in zip(hashes, (word_bits, word_bits, pair_bits))), lengths
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-        n = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-        for batch in chunks(batches):
-            word, left, pair, lengths = word_slots(column(batch, "text"))
-            marked = np.repeat(np.array(column(batch, "target").to_pylist(), bool), lengths)
-            first = np.flatnonzero(lengths)
-            begins = left[np.cumsum(lengths)[first] - lengths[first]]
-            for out, rows, starts in (
-                (n[0], slice(None), begins),
-                (n[1], marked, begins[marked[np.cumsum(lengths)[first] - 1]] if len(first) else begins),
-            ):
-                for slots in (word[rows], pair[rows] + (1 << WORD_BITS), starts):
-                    found, times = np.unique(slots, return_counts=True)
-                    out[found] += times
-        slots = np.flatnonzero(n[0])
-        for a in range(0, len(slots), 1 << 18):
-            s = slots[a:a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.astype(np.int32)), pa.array(n[0][s]), pa.array(n[1][s])], ["slot", "n", "n_target"])
-
-    return docs.select("text", "target").mapInArrow(run, "slot INT, n LONG, n_target LONG") \
-        .groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class Bigrams:
-    """One model's counts as flat arrays."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray) -> None:
-        self.words, self.pairs = words, pairs
-        # the begin mark is a context only
-        self.total = max(1.0, float(words.sum()) - float(words[BEGIN >> (64 - WORD_BITS)]))
+def _added(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return [(keys, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(keys)).astype(np.int64) for k in (1, 2)))]
 
-    def losses(self, word: np.ndarray, left: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Nats of each token."""
-        context = self.words[left]
-        by_pair = np.minimum(self.pairs[pair], context) / np.maximum(context, 1)
-        by_word = self.words[word] / self.total
-        share = np.where(context > 0, PAIR_SHARE, 0.0)
-        p = share * by_pair + (PAIR_SHARE + WORD_SHARE - share) * by_word \
-            + (1 - PAIR_SHARE - WORD_SHARE) / (1 << WORD_BITS)
-        return -np.log(p)
 
+def count_keys(docs: DataFrame) -> DataFrame:
+    """key, n, n_target over (text, target): hashes whose lowest bit tells pairs (1) from words."""
 
-def load(folder: str) -> tuple[Bigrams, Bigrams]:
-    """Background and target model from a stored count table."""
-    files, root = filesystem(folder)
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    counts = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
-    for info in files.get_file_info(fs.FileSelector(root)):
-        if info.base_name.endswith(".parquet") and info.base_name[0] not in "_.":
-            with files.open_input_file(info.path) as source:
-                part = pq.read_table(source)
-            slots = part["slot"].to_numpy()
-            for out, name in zip(counts, ("n", "n_target")):
-                out[slots] = part[name].to_numpy()
-    return tuple(Bigrams(c[:1 << WORD_BITS], c[1 << WORD_BITS:]) for c in counts)
-
+    def sent(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(part[0]), 1 << 18):
+            key, n, n_target = (x[i:i + (1 << 18)] for x in part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(n), pa.array(n_target)], ["key", "n", "n_target"])
 
-def train(docs: DataFrame, target: Column | str = "target") -> str:
-    """Count both models over all rows; the folder of the count table.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in chunks(batches):
+            word, left, pair, lengths = word_hashes(column(batch, "text"))
+            marked = np.repeat(np.array(column(batch, "target").to_pylist(), bool), lengths)
+            first = (np.cumsum(lengths) - lengths)[lengths > 0]
+            keys = np.concatenate([word & ~np.uint64(1), pair | np.uint64(1), left[first] & ~np.uint64(1)])
+            marks = np.concatenate([marked, marked, marked[first]])
+            held = _added([*held, *_added([(keys, np.ones(len(keys), np.int64), marks)])])
+            if len(held[0][0]) > HELD_KEYS:
+                yield from sent(held.pop())
+        for part in held:
+            yield from sent(part)
+
+    return docs.select("text", "target").mapInArrow(run, "key LONG, n LONG, n_target LONG") \
+        .groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Where the counts of both models are."""
+
+    bits: tuple[int, int]  # of word slots and of pair slots
+    shards: tuple[tuple[str | None, ...], ...]  # for words and pairs, files by equal ranges of slots
+    totals: tuple[float, float]  # words of the background and of the target
+    vocabulary: int  # what the uniform share is spread over
+
+
+class Shards:
+    """Shard files, a few of them open at a time."""
+
+    def __init__(self) -> None:
+        self.open: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+    def get(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        if path in self.open:
+            self.open.move_to_end(path)
+        else:
+            while len(self.open) >= HELD_SHARDS:
+                self.open.popitem(last=False)
+            files, local = filesystem(path)
+            with files.open_input_file(local) as source:
+                part = pa.ipc.open_file(source).get_batch(0)
+            self.open[path] = (column(part, "slot").to_numpy(), np.stack(
+                [column(part, x).to_numpy().astype(np.float32) for x in ("n", "n_target")]))
+        return self.open[path]
+
+    def counts(self, model: Model, kind: int, slots: np.ndarray) -> np.ndarray:
+        """Background and target counts of the slots, read shard by shard."""
+        asked, at = np.unique(slots, return_inverse=True)
+        paths, found = model.shards[kind], np.zeros((2, len(asked)), np.float32)
+        width = 1 << model.bits[kind] - (len(paths).bit_length() - 1)
+        edges = np.searchsorted(asked, np.arange(len(paths) + 1) * width)
+        for path, a, b in zip(paths, edges[:-1], edges[1:]):
+            if path is not None and a < b:
+                known, n = self.get(path)
+                place = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
+                found[:, a:b] = np.where(known[place] == asked[a:b], n[:, place], 0)
+        return found[:, at]
+
+
+def losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
+    """Nats of each token from one model's counts of it, of its left neighbour and of both."""
+    by_pair = np.minimum(pair, context) / np.maximum(context, 1)
+    by_word = word / total
+    share = np.where(context > 0, PAIR_SHARE, 0.0)
+    p = share * by_pair + (PAIR_SHARE + WORD_SHARE - share) * by_word \
+        + (1 - PAIR_SHARE - WORD_SHARE) / vocabulary
+    return -np.log(p)
+
+
+def train(docs: DataFrame, target: Column | str = "target", keys_per_shard: int = KEYS_PER_SHARD) -> Model:
+    """Count both models over all rows.
 
     `target` is a boolean column, or its name, that marks the documents of the target.
     """
     mark = F.col(target) if isinstance(target, str) else target
-    folder = scratch_path(docs.sparkSession, "lm-counts")
-    count_slots(docs.select(
-        F.coalesce("text", F.lit("")).alias("text"), F.coalesce(mark, F.lit(False)).alias("target"),
-    )).write.parquet(folder)
-    return folder
-
-
-def score(docs: DataFrame, folder: str) -> DataFrame:
+    keys = stored(count_keys(docs.select(
+        F.coalesce("text", F.lit("")).alias("text"), F.coalesce(mark, F.lit(False)).alias("target"))), "lm-keys")
+    kind = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    distinct = {r.kind: r["count"] for r in keys.groupBy(kind.alias("kind")).count().collect()}
+    bits = tuple(min(62, max(least, 2 * distinct.get(k, 0).bit_length() - SHARED_BITS))
+                 for k, least in enumerate((WORD_BITS, PAIR_BITS)))
+    parts = [(-(-distinct.get(k, 0) // keys_per_shard) - 1).bit_length() if distinct.get(k) else 0 for k in (0, 1)]
+    folder = shared_folder(docs.sparkSession, "lm-shards")
+
+    def write(group: pa.Table) -> pa.Table:
+        group = group.sort_by("slot").combine_chunks()
+        batch = group.select(["slot", "n", "n_target"]).to_batches()[0]
+        number = group["kind"][0].as_py(), group["shard"][0].as_py()
+
+        def put(out) -> None:
+            with pa.ipc.new_file(out, batch.schema) as sink:
+                sink.write_batch(batch)
+
+        path = write_once(folder, f"shard-{number[0]}-{number[1]}", put)
+        return pa.table({
+            "kind": pa.array([number[0]], pa.int32()), "shard": pa.array([number[1]], pa.int32()), "path": [path]})
+
+    of_pair = kind == 1
+    slots = keys.select(kind.alias("kind"), F.when(of_pair, F.shiftrightunsigned("key", 64 - bits[1])).otherwise(
+        F.shiftrightunsigned("key", 64 - bits[0])).alias("slot"), "n", "n_target") \
+        .groupBy("kind", "slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    shard = F.when(F.col("kind") == 1, F.shiftright("slot", bits[1] - parts[1])).otherwise(
+        F.shiftright("slot", bits[0] - parts[0])).cast("int")
+    path_of = {(r.kind, r.shard): r.path for r in slots.withColumn("shard", shard).groupBy("kind", "shard").applyInArrow(
+        write, "kind INT, shard INT, path STRING").collect()}
+    # the begin mark is a context only
+    begin = F.shiftrightunsigned("key", 64 - bits[0]) == BEGIN >> (64 - bits[0])
+    n = keys.where(~of_pair & ~begin).agg(F.sum("n"), F.sum("n_target")).first()
+    return Model(bits, tuple(tuple(path_of.get((k, i)) for i in range(1 << parts[k])) for k in (0, 1)),
+                 tuple(max(1.0, float(x or 0)) for x in n), max(1 << WORD_BITS, distinct.get(0, 0)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and their difference, per token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = worker_state("lm_models", dict)
-        if folder not in held:
-            held.clear()
-            held[folder] = load(folder)
-        background, target = held[folder]
+        shards = worker_state("lm_shards", Shards)
         for batch in chunks(batches):
-            word, left, pair, lengths = word_slots(column(batch, "text"))
+            word, left, pair, lengths = word_slots(column(batch, "text"), *model.bits)
             n = np.maximum(lengths, 1)
-            own, other = (sums(m.losses(word, left, pair), lengths) / n for m in (target, background))
+            found = [shards.counts(model, kind, x) for kind, x in ((0, word), (0, left), (1, pair))]
+            other, own = (sums(losses(*(x[k] for x in found), model.totals[k], model.vocabulary), lengths) / n for k in (0, 1))
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), pa.array(lengths), pa.array(own), pa.array(other), pa.array(own - other)],
                 ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])

@@ -1,8 +1,9 @@
 """Cases that an operator once left out: edges of texts, other scripts, tables of any size."""
 
+import math
 import random
 
-from passagemill.llm import decontaminate, minhash, simhash
+from passagemill.llm import decontaminate, lm_score, minhash, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,3 +88,19 @@ def test_near_copies_of_a_few_words_go(spark):
     rows = minhash.sketches(frame, 5).cache()
     edges = minhash.links(frame, rows, 5, 0.8, block_shingles=20_000)
     assert {r.component_id for r in simhash._grouped(rows.drop("size", "bands"), edges).collect()} == want
+
+
+def test_slots_grow_with_the_words(spark):
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{1000 * i + k}" for k in range(1000)), i % 2 == 0) for i in range(600)],
+        "doc_id LONG, text STRING, target BOOLEAN")
+    one = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs)).collect()}
+    model = lm_score.train(docs, keys_per_shard=50_000)
+    assert all(len(s) >= 12 for s in model.shards)
+    for r in lm_score.score(docs, model).collect():
+        assert r == one[r.doc_id]
+    # every word and pair once: counts that unrelated ones share would change the losses
+    alone = -math.log(0.6 + 0.35 / 600_000 + 0.05 / 2**20)
+    first = -math.log(0.6 / 600 + 0.35 / 600_000 + 0.05 / 2**20)
+    mean = sum(r.background_loss for r in one.values()) / 600
+    assert abs(mean - (999 * alone + first) / 1000) < 0.005
