@@ -51,7 +51,10 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters and single spaces of all texts, each text behind one space; their lengths
     (with that space) and the number of letters. Letters outside the first plane are one symbol."""
     points, lengths = code_points([" " + t for t in texts])
-    symbols = np.where(points < 1 << 16, FOLD[np.minimum(points, 0xFFFF)], np.uint16(0xFFFF))
+    symbols = FOLD[np.minimum(points, 0xFFFF)]
+    if len(high := np.flatnonzero(points >= 1 << 16)):
+        distinct, at = np.unique(points[high], return_inverse=True)
+        symbols[high] = np.array([0xFFFF if chr(c).isalpha() else SPACE for c in distinct.tolist()], np.uint16)[at]
     letter = symbols != SPACE
     keep = letter.copy()
     keep[1:] |= letter[:-1]

@@ -3,7 +3,9 @@
 import math
 import random
 
-from passagemill.llm import decontaminate, lm_score, minhash, simhash
+import numpy as np
+
+from passagemill.llm import decontaminate, language, lm_score, minhash, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -104,3 +106,13 @@ def test_slots_grow_with_the_words(spark):
     first = -math.log(0.6 / 600 + 0.35 / 600_000 + 0.05 / 2**20)
     mean = sum(r.background_loss for r in one.values()) / 600
     assert abs(mean - (999 * alone + first) / 1000) < 0.005
+
+
+def test_emoji_are_no_letters():
+    models = language.estimate({
+        lang: np.unique(language.grams(*language.folded([text])[:2], 4)[1:], return_counts=True)
+        for lang, text in (("de", "ein Haus am See"), ("en", "a house by the lake"))})
+    langs, score, rejected = models.predict(["😀 12 🎉🎉 3", "𐐀𐐁 letters", "a 😀 house"])
+    assert langs[0] == "und" and score[0] == 0 and rejected[0]
+    symbols, lengths, letters = language.folded(["😀 12 🎉🎉 3", "𐐀𐐁 x", "a 😀 house"])
+    assert letters.tolist() == [0, 3, 6] and langs[2] == "en"
