@@ -105,15 +105,16 @@ def _merge_round(items: DataFrame, groups: int, number: int, capacity: int, fill
             "sequence_id": pa.array(ids, mask=totals < fill),
         })
 
-    tie = F.xxhash64("members")
-    dealt = items.select("members", "size", tie.alias("tie"), F.pmod(
-        F.xxhash64(tie, F.lit(number)), F.lit(groups)).alias("grp"))
+    # dealt by row, so that equal members do not meet; `items` is stored, so a retry numbers alike
+    row = F.monotonically_increasing_id()
+    dealt = items.select("members", "size", F.xxhash64("members").alias("tie"), F.pmod(
+        F.xxhash64(row, F.lit(number)), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInArrow(
         pack, f"members {members.simpleString()}, size LONG, sequence_id LONG")
 
 
 def pack(found: DataFrame, max_tokens: int = 2048, group_items: int = 4096, nearly: float = 0.999) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most `max_tokens` tokens."""
+    """Adds sequence_id and offset to pieces of at most `max_tokens` tokens, a stored table."""
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     done = [found.where(F.col("length") == max_tokens).select(
         F.array(member).alias("members"), F.monotonically_increasing_id().alias("sequence_id"))]

@@ -2,10 +2,11 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 
-from passagemill.llm import decontaminate, language, lm_score, minhash, simhash
+from passagemill.llm import decontaminate, language, lm_score, minhash, packing, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -116,3 +117,13 @@ def test_emoji_are_no_letters():
     assert langs[0] == "und" and score[0] == 0 and rejected[0]
     symbols, lengths, letters = language.folded(["😀 12 🎉🎉 3", "𐐀𐐁 x", "a 😀 house"])
     assert letters.tolist() == [0, 3, 6] and langs[2] == "en"
+
+
+def test_equal_pieces_are_dealt_over_all_groups(spark):
+    piece = ("members ARRAY<STRUCT<doc_id: LONG, piece: INT, start: LONG, length: LONG, ids_crc32: LONG>>, size LONG")
+    items = spark.createDataFrame([([(None, 0, 0, 1, 7)], 1)] * 4000, piece)
+    out = packing._merge_round(items, 20, 1, 10, 0).collect()
+    in_group = Counter()
+    for r in out:
+        in_group[r.sequence_id >> 24 & 0xFFFFFFFF] += len(r.members)
+    assert sum(in_group.values()) == 4000 and len(in_group) == 20 and max(in_group.values()) < 400
