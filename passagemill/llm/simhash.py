@@ -78,11 +78,14 @@ def _near_masks(bits: int, within: int) -> np.ndarray:
                      for chosen in combinations(range(bits), k)], np.int64)
 
 
-def forest(values: np.ndarray, masks: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs (parent, child) spanning the graph of values that differ by a mask."""
+def forest(values: np.ndarray, masks: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """Index pairs (parent, child) spanning the graph of values that differ by a mask.
+
+    `masks` are all values of at most `within` bits.
+    """
     at = {int(v): i for i, v in enumerate(values)}
     if len(values) <= 16:
-        near = [[j for j, w in enumerate(values) if (int(v) ^ int(w)).bit_count() <= 2] for v in values]
+        near = [[j for j, w in enumerate(values) if (int(v) ^ int(w)).bit_count() <= within] for v in values]
     else:
         where = np.full(1 << (2 * BLOCK_BITS), -1, np.int64)
         where[values] = np.arange(len(values))
@@ -142,7 +145,7 @@ def links(prints: DataFrame, within: int = 2) -> DataFrame:
                     return blocks % 2**64 | (r & 0xFF) << BLOCK_BITS * low | (r >> 8) << BLOCK_BITS * high
 
                 values = np.array(sorted(rest), np.int64)
-                for i, j in forest(values, masks):
+                for i, j in forest(values, masks, within):
                     a.append(signed(whole(int(values[i]))))
                     b.append(signed(whole(int(values[j]))))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -127,3 +127,16 @@ def test_equal_pieces_are_dealt_over_all_groups(spark):
     for r in out:
         in_group[r.sequence_id >> 24 & 0xFFFFFFFF] += len(r.members)
     assert sum(in_group.values()) == 4000 and len(in_group) == 20 and max(in_group.values()) < 400
+
+
+def test_links_within_one_bit_in_groups_of_any_size(spark):
+    def linked(values, within):
+        return {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp LONG"), within).collect()}
+
+    base = 0x1234567890ABCDE0
+    few = [base, base ^ 1, base ^ 6]
+    many = [base ^ (m << 8) for m in range(64) if m.bit_count() % 2 == 0]  # two bits apart
+    assert linked(few, 2) == {frozenset((base, base ^ 1)), frozenset((base, base ^ 6))}
+    assert linked(few, 1) == {frozenset((base, base ^ 1))} and linked(few, 0) == set()
+    assert len(many) > 16 and linked(many, 1) == linked(many[:10], 1) == set()
+    assert all(bin(min(e) ^ max(e)).count("1") == 1 for e in linked([*many, many[0] ^ 256], 1))
