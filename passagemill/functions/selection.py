@@ -41,8 +41,10 @@ def alias_prompt(prompt: Column | str, ids: Column | str) -> Column:
 
 def _id_of_alias(alias: Column, ids: Column) -> Column:
     """Document id as text for Id_n, null for anything else."""
-    number = F.regexp_extract(alias, f"^{fv.ALIAS_PREFIX}([1-9][0-9]{{0,8}})$", 1)
-    place = F.when(number != "", number.cast("int"))
+    number = F.regexp_extract(alias, f"^{fv.ALIAS_PREFIX}([1-9][0-9]*)$", 1)
+    # null, like no number, where it is more than the list (or an int) holds
+    place = number.try_cast("int")
+    place = F.when(place <= F.size(ids), place)
     found = F.get(ids, place - 1)
     later = F.slice(ids, place + 1, F.size(ids))
     return F.when(~F.array_contains(later, found), found.cast("string"))

@@ -72,6 +72,7 @@ def corpus_subset_join(spark, sf):
     SELECT example_pos, example_id, query, array_to_string(answers, '|') AS answers,
       gold_document_idx FROM examples""", "examples")
 def examples_scan(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     return X.examples(spark, sf).withColumn("answers", F.array_join("answers", "|"))
 
 
@@ -89,6 +90,7 @@ def search_hits_explode(spark, sf):
     SELECT (example_pos // 250 + 1) * 250 AS shard, example_pos, example_id, query
     FROM examples""", "examples")
 def shards_union(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     path = scratch_path(spark, "shards")
     rows = X.examples(spark, sf).select("example_pos", "example_id", "query")
     tables.write_shards(rows, path, 250)
@@ -113,6 +115,7 @@ def result_sink(spark, sf):
     SELECT e.example_pos, e.example_id, e.query FROM examples e
     WHERE e.example_pos NOT IN (SELECT doc_id FROM labels)""", "examples")
 def resume_anti_join(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     finished = X.load(spark, sf, "labels").select(
         F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("example_id"))
     return tables.pending(X.examples(spark, sf), finished, "example_id").select(
@@ -132,6 +135,7 @@ def resume_by_position(spark, sf):
     SELECT example_pos, example_id, query FROM examples
     WHERE example_pos >= 150 AND example_pos < 3000""", "examples")
 def ordinal_slice(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     return tables.ordinal_slice(X.examples(spark, sf), 150, 3000).select(
         "example_pos", "example_id", "query")
 
@@ -140,6 +144,7 @@ def ordinal_slice(spark, sf):
     SELECT example_pos, example_id, query FROM examples ORDER BY example_pos LIMIT 15""",
           "examples")
 def sample_head(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     return tables.sample_head(X.examples(spark, sf)).select("example_pos", "example_id", "query")
 
 
@@ -636,6 +641,7 @@ def short_context_count(spark, sf):
 @register("query_only_prompts", """
     SELECT example_id, query, prompt FROM only_query""", "only_query")
 def query_only_prompts(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     return C.query_only_prompts(X.examples(spark, sf)).select("example_id", "query", "prompt")
 
 
@@ -645,7 +651,10 @@ def query_only_prompts(spark, sf):
       THEN e.answers END, '|') AS answers
     FROM examples e LEFT JOIN labels l ON e.example_pos = l.doc_id""", "examples")
 def eval_join(spark, sf):
-    """Gold rows exist for labelled documents only, each with a later duplicate."""
+    """Gold rows exist for labelled documents only, each with a later duplicate.
+
+    Questions and answers are words 1-13 of a document, by definition of the test table.
+    """
     results = X.examples(spark, sf)
     gold = results.join(
         X.load(spark, sf, "labels").select(F.col("doc_id").alias("example_pos")),
@@ -702,6 +711,7 @@ def common_ids(spark, sf):
     SELECT e.example_pos, e.query, arg_max(o.example_id, o.example_pos) AS example_id
     FROM examples e JOIN examples o USING (query) GROUP BY ALL""", "examples")
 def attach_example_id(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     rows = X.examples(spark, sf).select(
         "example_pos", "query", F.lit(None).cast("string").alias("example_id"))
     questions = X.examples(spark, sf).select(
@@ -798,6 +808,7 @@ def evaluate_run(spark, sf):
     FROM (SELECT *, {O.first_line('generated_full')} AS generated_answer FROM only_query)""",
           "only_query")
 def evaluate_run_query_only(spark, sf):
+    """Questions and answers are words 1-13 of a document, by definition of the test table."""
     return E.score_query_only(X.only_query_run(spark, sf)).select(
         "example_id", "query", "prompt", "generated_answer", "ans_match_after_norm",
         "ans_in_documents")

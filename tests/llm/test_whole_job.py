@@ -6,7 +6,10 @@ from collections import Counter
 
 import numpy as np
 
+from passagemill import fixed_values as fv
+from passagemill.functions import selection
 from passagemill.llm import decontaminate, language, lm_score, minhash, packing, simhash
+from passagemill.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -140,3 +143,17 @@ def test_links_within_one_bit_in_groups_of_any_size(spark):
     assert linked(few, 1) == {frozenset((base, base ^ 1))} and linked(few, 0) == set()
     assert len(many) > 16 and linked(many, 1) == linked(many[:10], 1) == set()
     assert all(bin(min(e) ^ max(e)).count("1") == 1 for e in linked([*many, many[0] ^ 256], 1))
+
+
+def test_alias_numbers_of_any_length(spark):
+    marker = fv.ASSISTANT_MARKER
+    rows = [(f"{marker}Id_2,Id_3,Id_2147483647,Id_2147483648,Id_{'9' * 30},Id_02", [5, 7])]
+    got = spark.createDataFrame(rows, "reply STRING, ids ARRAY<LONG>").select(
+        selection.decode_selection("reply", "ids")).first()[0]
+    assert got == f"7,Unknown(Id_3),Unknown(Id_2147483647),Unknown(Id_2147483648),Unknown(Id_{'9' * 30}),Unknown(Id_02)"
+
+
+def test_queries_say_that_they_read_opening_words():
+    for name in ("examples_scan", "shards_union", "resume_anti_join", "ordinal_slice", "sample_head",
+                 "query_only_prompts", "evaluate_run_query_only", "eval_join", "attach_example_id"):
+        assert "words 1-13" in (QUERIES[name].__doc__ or "")
