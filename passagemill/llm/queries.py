@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill.llm import (
-    decontaminate, fingerprints, language, line_dedup, lm_score, packing, quality, secret_scan,
-    sequences, simhash,
+    bisectors, decontaminate, fingerprints, language, line_dedup, lm_score, mtree, orchard, packing,
+    quality, secret_scan, sequences, simhash,
 )
 from passagemill.llm.common import column, table
 
@@ -116,3 +116,100 @@ def op9(spark, sf):
 def op10(spark, sf):
     docs = table(spark, sf, "documents")
     return line_dedup.drop_report(docs, line_dedup.build_shards(docs))
+
+
+def _rounds(steps: list[str]) -> str:
+    return ",\n".join(steps)
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of k-means, one after the other; floor division written for negative sums."""
+    steps = ["""
+    vectors AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+    c0 AS MATERIALIZED (
+      SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS c, v FROM vectors
+      QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+      SELECT vec_id, x.v AS v, unnest(min(struct_pack(
+        d := list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)))
+      FROM vectors x, c{i} c GROUP BY vec_id, x.v)""")
+        if i < rounds:
+            steps.append(f"""
+    s{i} AS (
+      SELECT c, pos, (s - ((s % n) + n) % n) // n AS x FROM (
+        SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (
+          SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY c, pos)),
+    c{i + 1} AS MATERIALIZED (
+      SELECT c{i}.c AS c, coalesce(m.v, c{i}.v) AS v FROM c{i}
+      LEFT JOIN (SELECT c, list(x ORDER BY pos) AS v FROM s{i} GROUP BY c) m ON m.c = c{i}.c)""")
+    return f"""
+    WITH {_rounds(steps)}
+    SELECT vec_id, a{rounds}.c AS cluster, d::BIGINT AS distance,
+      (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+      sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
+@register("op11_clusters", _cluster_sql())
+def op11(spark, sf):
+    return bisectors.cluster_report(table(spark, sf, "embeddings"))
+
+
+def _codes_sql(parts: int = 16, size: int = 64, rounds: int = 2) -> str:
+    steps = ["""
+    vectors AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+    parts AS MATERIALIZED (
+      SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+      FROM vectors, range({parts}) r(p)),
+    b0 AS MATERIALIZED (
+      SELECT p, e, x AS y FROM parts JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM vectors QUALIFY e < {size}) f
+      ON f.vec_id = parts.vec_id)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (
+      SELECT vec_id, label, x.p AS p, x, unnest(min(struct_pack(
+        d := list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2]))), e := e)))
+      FROM parts x JOIN b{i} b ON b.p = x.p GROUP BY vec_id, label, x.p, x)""")
+        if i < rounds:
+            steps.append(f"""
+    s{i} AS (
+      SELECT p, e, pos, (s - ((s % n) + n) % n) // n AS z FROM (
+        SELECT p, e, pos, sum(z)::BIGINT AS s, count(*) AS n FROM (
+          SELECT p, e, unnest(x) AS z, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY p, e, pos)),
+    b{i + 1} AS MATERIALIZED (
+      SELECT b{i}.p AS p, b{i}.e AS e, coalesce(m.y, b{i}.y) AS y FROM b{i}
+      LEFT JOIN (SELECT p, e, list(z ORDER BY pos) AS y FROM s{i} GROUP BY p, e) m ON m.p = b{i}.p AND m.e = b{i}.e)""")
+    return f"""
+    WITH {_rounds(steps)},
+    coded AS (
+      SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+      FROM a{rounds} GROUP BY vec_id, label)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+    FROM coded"""
+
+
+@register("op12_codes", _codes_sql())
+def op12(spark, sf):
+    return orchard.compress(table(spark, sf, "embeddings"))
+
+
+@register("op13_top_k", """
+    WITH vectors AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT q.vec_id AS query_id,
+      (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, x.v) DESC, x.vec_id))::INT AS rank,
+      x.vec_id AS vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+    FROM vectors q JOIN vectors x ON q.vec_id <> x.vec_id
+    WHERE q.vec_id % 20 = 0
+    QUALIFY rank <= 20""")
+def op13(spark, sf):
+    return mtree.top_k(table(spark, sf, "embeddings"))
