@@ -18,6 +18,7 @@ from passagemill.operators import (
 from passagemill.plans import fixtures as X, oracles as O
 from passagemill.session import scratch_path, stored
 from passagemill.sources import tables
+from passagemill.sources.json_array import read_json_array, write_json_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +60,37 @@ def corpus_scan(spark, sf):
     return X.corpus(spark, sf)
 
 
+_HARD = '"[', '}\\"{'  # quotes, braces and a backslash around a title
+
+
+@register("corpus_array_import", f"""
+    SELECT row_number() OVER (ORDER BY doc_id) - 1 AS full_corpus_idx,
+      '{_HARD[0]}' || lang || '{_HARD[1]}' AS title, text
+    FROM documents""")
+def corpus_array_import(spark, sf):
+    """The documents as one JSON array with quotes and braces in its texts, read in splits."""
+    path = f"{scratch_path(spark, 'corpus')}.json"
+    rows = X.load(spark, sf, "documents").select("doc_id",
+        F.concat(F.lit(_HARD[0]), "lang", F.lit(_HARD[1])).alias("title"), "text")
+    write_json_list(rows, path, "doc_id")
+    return tables.import_corpus_array(spark, path)
+
+
+@register("json_list_output", f"""
+    SELECT row_number() OVER (ORDER BY example_pos) - 1 AS position, example_id, query,
+      array_to_string(answers, '|') AS answers, {O.ids_text('document_indices')} AS document_indices
+    FROM contexts""", "contexts")
+def json_list_output(spark, sf):
+    """A run as one JSON list in position order, parsed again."""
+    path = f"{scratch_path(spark, 'run')}.json"
+    write_json_list(X.contexts(spark, sf).select(
+        "example_pos", "example_id", "query", "answers", "document_indices"), path, "example_pos")
+    rows = read_json_array(
+        spark, path, "example_id STRING, query STRING, answers ARRAY<STRING>, document_indices ARRAY<LONG>")
+    return rows.select("position", "element.*").withColumns({
+        "answers": F.array_join("answers", "|"), "document_indices": joined("document_indices")})
+
+
 @register("corpus_subset_join", """
     SELECT c.full_corpus_idx, c.title, c.text
     FROM corpus c JOIN labels l ON c.full_corpus_idx = l.doc_id""", "corpus")

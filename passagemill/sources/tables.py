@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagemill import fixed_values as fv, schemas
+from passagemill.sources.json_array import read_json_array
 
 RUN_KEYS = ("dataset", "model", "split", "prompt_type", "k")
 
@@ -15,17 +16,13 @@ def import_corpus_array(
 ) -> DataFrame:
     """One-off import of one JSON array file; write the result as parquet and use that.
 
-    A multi-line file is one unsplittable partition, so the row number inside it is the
-    array position; several files would each begin at 0 and are refused. With a non-empty
-    map the position is a subset index.
+    The array is read in parallel splits, and an object's position in it is its index; with
+    a non-empty map the position is a subset index.
     """
-    rows = spark.read.schema(schemas.CORPUS_JSON).json(path, multiLine=True)
-    if len(rows.inputFiles()) > 1:
-        raise ValueError("one array file at a time: positions count from the start of a file")
-    rows = rows.withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = read_json_array(spark, path, schemas.CORPUS_JSON).select("position", "element.*")
     if id_map is None or id_map.isEmpty():
-        return rows.select(F.col("_pos").alias("full_corpus_idx"), "title", "text")
-    return subset_corpus(rows.withColumnRenamed("_pos", "subset_idx"), id_map)
+        return rows.select(F.col("position").alias("full_corpus_idx"), "title", "text")
+    return subset_corpus(rows.withColumnRenamed("position", "subset_idx"), id_map)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
