@@ -43,50 +43,89 @@ def _replies(model: Callable[[list[str]], list[str]], prompts: list[str]) -> lis
     return [next(texts) if p and p.strip() else "" for p in prompts]
 
 
+def _row_windows(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = rows or max(batch.num_rows, 1)
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def _token_windows(
+    batches: Iterator[pa.RecordBatch], budget: int, rows: int | None,
+) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with ascending `_tokens` whose number times the longest is within budget."""
+    open_: list[pa.RecordBatch] = []
+    held = 0  # rows in open_
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(batch.column("_tokens").to_pylist()):
+            if held + i - start and ((held + i - start + 1) * n > budget or held + i - start == rows):
+                yield pa.concat_batches([*open_, batch.slice(start, i - start)])
+                open_, held, start = [], 0, i
+        open_.append(batch.slice(start))
+        held += batch.num_rows - start
+    if held:
+        yield pa.concat_batches(open_)
+
+
 def replies(
     asked: DataFrame, model: Model, prompt: str = "prompt", out: str = "generated_text",
-    batch_size: int | None = None,
+    batch_size: int | None = None, token_budget: int | None = None, count_tokens=P.token_len,
+    keep_prompt: bool = False,
 ) -> DataFrame:
     """The rows of `asked` with the model's text in place of the prompt, lazily.
 
     Every column of `asked` passes through the model's tasks: give keys and prompts only.
     The model gets at most `batch_size` prompts at once (default: a whole Arrow batch).
+
+    With `token_budget` each task sorts its rows by length and gives the model runs of
+    prompts whose number times the longest one is within the budget, so that little of a
+    padded batch is padding; a longer prompt is a batch of its own. Rows without an answer
+    to give (null or blank prompts) count as one token.
     """
-    kept = [f for f in asked.schema.fields if f.name != prompt]
+    kept = [f for f in asked.schema.fields if keep_prompt or f.name != prompt]
     names = [f.name for f in kept]
     load = model.load
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = load()
-        for batch in batches:
-            step = batch_size or max(batch.num_rows, 1)
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                found = pa.array(_replies(answer, part.column(prompt).to_pylist()), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], found], [*names, out])
-
+        windows = _row_windows(batches, batch_size) if token_budget is None else _token_windows(
+            batches, token_budget, batch_size)
+        for part in windows:
+            found = pa.array(_replies(answer, part.column(prompt).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], found], [*names, out])
+
+    if token_budget is not None:
+        tokens = F.greatest(F.coalesce(count_tokens(F.col(prompt)), F.lit(1)), F.lit(1))
+        asked = asked.withColumn("_tokens", tokens.cast("long")).sortWithinPartitions("_tokens")
     return asked.mapInArrow(run, T.StructType(kept + [T.StructField(out, T.StringType())]))
 
 
 def batch_generate(
     prompts: DataFrame, generate: Generator, prompt: str = "prompt",
     out: str = "generated_text", partitions: int | None = None, batch_size: int | None = None,
+    token_budget: int | None = None, store=None,
 ) -> DataFrame:
     """Adds the generated text; `partitions` evens out slow prompts by row count.
 
     For a model the rows are written once with a row number; only that number and the
     prompt reach the model's tasks. The replies are written at once too and joined back,
-    so that neither a second use nor a lost executor calls the model again.
+    so that neither a second use nor a lost executor calls the model again. With a `store`
+    (replies.ReplyStore) only prompts that it does not know are asked, each once, and all
+    replies are kept there for later runs.
     """
     if not isinstance(generate, Model):
         spread = prompts.repartition(partitions) if partitions else prompts
         return spread.withColumn(out, F.when(
             F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
+    if store is not None:
+        rows = stored(prompts, "prompts")
+        store.ask(rows, generate, prompt, batch_size=batch_size, token_budget=token_budget)
+        return store.attach(rows, prompt, out)
     rows = stored(prompts.withColumn("_row", F.monotonically_increasing_id()), "prompts")
     asked = rows.select("_row", prompt)
     asked = asked.repartition(partitions) if partitions else asked
-    replied = stored(replies(asked, generate, prompt, out, batch_size), "replies")
+    replied = stored(replies(asked, generate, prompt, out, batch_size, token_budget), "replies")
     return rows.drop(out).join(replied, "_row").drop("_row")
 
 
@@ -95,20 +134,20 @@ def selection_run(
     drop_instruction: str = fv.INSTRUCTION_ALWAYS_ANSWER,
     select_instruction: str = fv.INSTRUCTION_SELECT_ALIASES,
     rebuild_instruction: str = fv.INSTRUCTION_ALWAYS_ANSWER,
-    style: S.RebuildStyle = S.TURN_STYLE,
+    style: S.RebuildStyle = S.TURN_STYLE, **batching,
 ) -> DataFrame:
     """Ask a selector which documents to keep, then rebuild the prompt from them.
 
     Needs prompt, query, docs and document_indices; adds selector_prompt,
     selector_text and selected_ids_raw, and replaces prompt. An empty prompt gives an
-    empty selector text.
+    empty selector text. `batching` goes to batch_generate, like a store of replies.
     """
     stripped = P.swap_instruction("prompt", drop_instruction, "")
     chat = P.render_chat(P.messages(
         select_instruction, S.alias_prompt(stripped, "document_indices")))
     asked = contexts.withColumn("selector_prompt", F.when(
         F.trim("prompt") == "", F.lit("")).otherwise(chat))
-    answered = batch_generate(asked, generate, "selector_prompt", "selector_text")
+    answered = batch_generate(asked, generate, "selector_prompt", "selector_text", **batching)
     decoded = answered.withColumn(
         "selected_ids_raw", S.decode_selection("selector_text", "document_indices"))
     return decoded.withColumn("prompt", S.rebuild_prompt(
@@ -124,12 +163,16 @@ def selected_docs(docs: Column | str = "docs", raw: Column | str = "selected_ids
 
 
 def selection_then_answer(
-    contexts: DataFrame, select: Generator, answer: Generator, **options,
+    contexts: DataFrame, select: Generator, answer: Generator,
+    answer_batching: dict | None = None, **options,
 ) -> DataFrame:
-    """Selection run followed by the answering generator and answer extraction."""
+    """Selection run followed by the answering generator and answer extraction.
+
+    `answer_batching` goes to the second batch_generate, as `options` do to the first.
+    """
     options.setdefault("rebuild_instruction", fv.INSTRUCTION_ANSWER)
     chosen = selection_run(contexts, select, **options)
-    replied = batch_generate(chosen, answer)
+    replied = batch_generate(chosen, answer, **(answer_batching or {}))
     return replied.withColumn(
         "generated_answer", M.extract_answer("generated_text", fv.ADAPTER_ANSWER_MARKER))
 
@@ -137,11 +180,11 @@ def selection_then_answer(
 def reanswer_run(
     old_run: DataFrame, answer: Generator,
     old: str = fv.INSTRUCTION_ALWAYS_ANSWER, new: str = fv.INSTRUCTION_ANSWER,
-    prefix: str = fv.ADAPTER_ANSWER_MARKER,
+    prefix: str = fv.ADAPTER_ANSWER_MARKER, **batching,
 ) -> DataFrame:
     """Answer the prompts of an old run again under a new instruction."""
     swapped = old_run.withColumn("prompt", P.swap_instruction("prompt", old, new))
-    return batch_generate(swapped, answer).withColumn(
+    return batch_generate(swapped, answer, **batching).withColumn(
         "generated_answer", M.extract_answer("generated_text", prefix))
 
 

@@ -184,7 +184,7 @@ def _mined(
 
 def mine_silver_with_model(
     contexts: DataFrame, model: Model, extract=first_line, base_prompt: Column | None = None,
-    batch_size: int | None = None,
+    batch_size: int | None = None, token_budget: int | None = None, store=None,
 ) -> DataFrame:
     """The same search with a model, which gets the prompts of a round in batches.
 
@@ -192,7 +192,8 @@ def mine_silver_with_model(
     to one row each, sends row number, candidate ids and prompt to the model, and writes
     its replies and the new states to the shared folder, so that a lost executor never
     calls the model again for a finished round. Finished examples leave the search; it
-    ends when none is active.
+    ends when none is active. With a `store` (replies.ReplyStore) a prompt is asked once
+    across rounds, runs and restarts.
     """
     rows = stored(
         contexts.withColumn("base_prompt", _base_prompt(base_prompt))
@@ -204,7 +205,12 @@ def mine_silver_with_model(
         """(_row, _results) of rows that have candidates; as many results as candidates."""
         flat = asked.select("_row", F.posexplode("_candidates").alias("_n", "_c")).select(
             "_row", "_n", "_c.doc_id", "_c.ids", "_c.prompt")
-        replied = stored(replies(flat, model, "prompt", "_reply", batch_size), "silver-replies")
+        if store is not None:
+            flat = stored(flat, "silver-candidates")
+            store.ask(flat, model, batch_size=batch_size, token_budget=token_budget)
+            replied = store.attach(flat, "prompt", "_reply").drop("prompt")
+        else:
+            replied = stored(replies(flat, model, "prompt", "_reply", batch_size, token_budget), "silver-replies")
         result = _result(F.struct("doc_id", "ids"), F.col("_reply"), F.col("answers"), extract)
         return replied.join(answers, "_row").groupBy("_row").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("_n", result.alias("_result")))),

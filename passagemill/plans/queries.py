@@ -15,6 +15,7 @@ from passagemill.functions.bleu import bleu_max
 from passagemill.operators import (
     compare as J, context as C, evaluate as E, generate as G, silver as V, trainset as R,
 )
+from passagemill.operators.replies import ReplyStore
 from passagemill.plans import fixtures as X, oracles as O
 from passagemill.session import scratch_path, stored
 from passagemill.sources import tables
@@ -1176,15 +1177,40 @@ def load_echo_model():
     return lambda prompts: [p + " " + " ".join(p.split(" ")[-3:]) for p in prompts]
 
 
-@register("batch_generate", """
-    SELECT example_id, prompt || ' ' || array_to_string(string_split(prompt, ' ')[-3:], ' ')
-      AS generated_text FROM contexts""", "contexts")
+_ECHOED = "prompt || ' ' || array_to_string(string_split(prompt, ' ')[-3:], ' ')"
+
+
+@register("batch_generate", f"SELECT example_id, {_ECHOED} AS generated_text FROM contexts", "contexts")
 def batch_generate(spark, sf):
     return G.batch_generate(
         X.contexts(spark, sf).select("example_id", "prompt"), G.Model(load_echo_model),
     ).select("example_id", "generated_text")
 
 
+@register("batch_generate_budget", f"SELECT example_id, {_ECHOED} AS generated_text FROM contexts", "contexts")
+def batch_generate_budget(spark, sf):
+    """Batches of prompts of like length, at most 16,384 tokens with their padding."""
+    return G.batch_generate(
+        X.contexts(spark, sf).select("example_id", "prompt"), G.Model(load_echo_model), token_budget=16384,
+    ).select("example_id", "generated_text")
+
+
+@register("reply_store", f"""
+    SELECT example_id, {_ECHOED} AS generated_text, (SELECT count(DISTINCT prompt) FROM contexts) AS asked,
+      0::BIGINT AS asked_again FROM contexts""", "contexts")
+def reply_store(spark, sf):
+    """Two runs over one store of replies: each distinct prompt is asked once, then none."""
+    path = scratch_path(spark, "replies")
+    rows = stored(X.contexts(spark, sf).select("example_id", "prompt"), "contexts")
+    asked = []
+    for n in range(2):  # the second opens the folder anew, as a later session would
+        store = ReplyStore(spark, path, f"{path.rpartition('/')[2].replace('-', '_')}_{n}", buckets=8)
+        asked.append(store.ask(rows, G.Model(load_echo_model)))
+    return store.attach(rows).select(
+        "example_id", "generated_text", F.lit(asked[0]).cast("long").alias("asked"),
+        F.lit(asked[1]).cast("long").alias("asked_again"))
+
+
 _SQL_STOPPED = sql_cases(
     "text", "sq || chr(10) || 'Human: x'", "sq || '<|endoftext|>' || text",
     "sq || chr(10) || '```' || chr(10)", "sq")
