@@ -71,9 +71,9 @@ class ReplyStore:
     def attach(self, rows: DataFrame, prompt: str = "prompt", out: str = "generated_text") -> DataFrame:
         """The rows with their stored reply; a blank or null prompt has an empty one, an unasked one null."""
         kept = self.known().select(
-            F.col("digest").alias("_digest"), F.col("prompt").alias("_prompt"), F.col("reply").alias("_reply"))
-        keyed = rows.drop(out).withColumn("_asked", self._digest(F.col(prompt)))
-        found = keyed.join(kept, (F.col("_asked") == F.col("_digest")) & self._same(prompt, "_prompt"), "left")
+            F.col("digest").alias("_kept_digest"), F.col("prompt").alias("_kept_prompt"), F.col("reply").alias("_kept_reply"))
+        keyed = rows.drop(out).withColumn("_asked_digest", self._digest(F.col(prompt)))
+        found = keyed.join(kept, (F.col("_asked_digest") == F.col("_kept_digest")) & self._same(prompt, "_kept_prompt"), "left")
         blank = F.coalesce(F.trim(prompt), F.lit("")) == ""
-        return found.withColumn(out, F.when(blank, F.lit("")).otherwise(F.col("_reply"))).drop(
-            "_asked", "_digest", "_prompt", "_reply")
+        return found.withColumn(out, F.when(blank, F.lit("")).otherwise(F.col("_kept_reply"))).drop(
+            "_asked_digest", "_kept_digest", "_kept_prompt", "_kept_reply")
