@@ -5,8 +5,10 @@ Arrays leave as joined text and ratios are rounded, so that both engines print a
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagemill import fixed_values as fv
@@ -18,8 +20,9 @@ from passagemill.operators import (
 from passagemill.operators.replies import ReplyStore
 from passagemill.plans import fixtures as X, oracles as O
 from passagemill.session import scratch_path, stored
-from passagemill.sources import tables
+from passagemill.sources import sink, tables
 from passagemill.sources.json_array import read_json_array, write_json_list
+from passagemill.sources.pickled import decode_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +133,56 @@ def shards_union(spark, sf):
     return tables.read_shards(spark, path).orderBy("shard", "example_pos")
 
 
+@register("foreign_shards", f"""
+    SELECT example_pos // 250 AS shard, row_number() OVER (PARTITION BY example_pos // 250
+      ORDER BY example_pos) - 1 AS position, example_id, query, prompt,
+      {O.ids_text('document_indices')} AS document_indices, 'x' || example_id AS generated_answer,
+      example_pos % 3 = 0 AS flag FROM contexts""", "contexts")
+def foreign_shards(spark, sf):
+    """A run pickled by other code in shards of 250 positions, decoded without unpickling it."""
+    def pickled(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["example_pos"])
+        shard = [{
+            "example_id": r["example_id"], "query": r["query"], "prompt": r["prompt"],
+            "document_indices": r["document_indices"], "generated_answer": ["x" + r["example_id"]],
+            "flag": r["example_pos"] % 3 == 0, "other": (1.5, None)} for r in rows]
+        number = rows[0]["example_pos"] // 250
+        return pa.table({"path": [f"run_{number}.pkl"], "content": [pickle.dumps(shard, protocol=number % 6)]})
+
+    run = X.contexts(spark, sf).select("example_pos", "example_id", "query", "prompt", "document_indices")
+    files = run.groupBy(F.floor(F.col("example_pos") / 250)).applyInArrow(pickled, "path STRING, content BINARY")
+    rows = decode_shards(stored(files, "pickled"), (
+        "example_id STRING, query STRING, prompt STRING, document_indices ARRAY<LONG>, "
+        "generated_answer ARRAY<STRING>, flag BOOLEAN"))
+    return rows.select(
+        tables.shard_number(F.col("path"), r"(\d+)\.pkl$").alias("shard"), "position", "example_id", "query", "prompt",
+        joined("document_indices").alias("document_indices"), F.col("generated_answer")[0].alias("generated_answer"), "flag")
+
+
+@register("guarded_overwrite", """
+    SELECT step, example_pos, example_id, answer FROM (
+      SELECT 'kept' AS step, example_pos, example_id, 'first' AS answer FROM contexts UNION ALL
+      SELECT 'replaced', example_pos, example_id, 'second' FROM contexts UNION ALL
+      SELECT 'extended', example_pos, example_id, 'second' FROM contexts UNION ALL
+      SELECT 'extended', example_pos, example_id, 'third' FROM contexts)""", "contexts")
+def guarded_overwrite(spark, sf):
+    """A result that stays where overwriting is not asked for, is replaced, and is extended."""
+    path = scratch_path(spark, "guarded")
+    run = stored(X.contexts(spark, sf).select("example_pos", "example_id"), "run")
+
+    def step(name: str, df: DataFrame) -> DataFrame:
+        return stored(df.select(F.lit(name).alias("step"), "example_pos", "example_id", "answer"), "step")
+
+    def answered(text: str) -> DataFrame:
+        return run.withColumn("answer", F.lit(text))
+
+    sink.save(answered("first"), path, kind="json")
+    kept = step("kept", sink.save_guarded(answered("second"), path))
+    replaced = step("replaced", sink.save_guarded(answered("second"), path, overwrite=True))
+    sink.extend(answered("third"), path)
+    return kept.unionAll(replaced).unionAll(step("extended", sink.load(spark, path)))
+
+
 @register("result_sink", f"""
     SELECT example_pos, example_id, prompt, {O.ids_text('document_indices')} AS document_indices,
       'documents' AS dataset, 'toy' AS model, 'test' AS split, 'retrieved' AS prompt_type,

@@ -44,10 +44,10 @@ class Files:
         finally:
             out.close()
 
-    def replace_by(self, other: str) -> None:
-        """Rename another path to this one, in one step also where this one exists."""
+    def replace_by(self, other: str, overwrite: bool = True) -> None:
+        """Rename another path to this one, in one step; an existing one goes if `overwrite`."""
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self._new_array(rename, [rename.OVERWRITE])
+        options = self._new_array(rename, [rename.OVERWRITE if overwrite else rename.NONE])
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self._conf)
         context.rename(self.fs.makeQualified(self._path(other)), self.path, options)
 
