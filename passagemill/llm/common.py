@@ -15,7 +15,8 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from passagemill.session import shared_dir
+from passagemill.session import input_bytes, shared_dir
+from passagemill.sources.hadoop import Files
 
 # Executors need not have this package installed: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
@@ -106,24 +107,31 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a table, from its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def parts_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 8) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, for files that tasks write."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, for files that tasks write; a URI that names
+    its file system, as Spark resolves the setting."""
+    return str(Files(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"))
+
+
+# file systems that Spark and Arrow name differently
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "gcs": "gs"}
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI: local, HDFS, S3 or GCS."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
-        fs.LocalFileSystem(), path)
+    """The file system of a URI as Hadoop writes it, and the path in it: local, HDFS (viewfs
+    too), S3, Google or Azure storage."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "dbfs":  # mounted on every machine
+        return fs.LocalFileSystem(), f"/dbfs{rest}"
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} does not name its file system")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def write_once(folder: str, name: str, write: Callable[[Any], None]) -> str:

@@ -74,9 +74,9 @@ def op5(spark, sf):
 
 @register("op6_lm_score")
 def op6(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return lm_score.score(docs, lm_score.train(docs.join(good.hint("merge"), "doc_id", "left")))
+    docs = table(spark, sf, "documents")
+    good = lm_score.mark_ids(table(spark, sf, "labels").where("quality = 1"))
+    return lm_score.score(docs, lm_score.train(docs, good), counted=good)
 
 
 @register("op7_simhash")

@@ -311,8 +311,8 @@ def test_sequence_file_is_random_access(spark, tokenizer):
 # 6 ---------------------------------------------------------------------------------------
 def test_lm_scores(spark, rows):
     docs = [(i, t, i % 3 == 0) for i, t in rows[:60]] + [(9001, "", True), (9002, None, None), (9003, " a  b\n", False)]
+    docs += [docs[0], (None, "no id here", True)]
     df = spark.createDataFrame(docs, "doc_id LONG, text STRING, target BOOLEAN").repartition(5)
-    got = by_id(lm_score.score(df, lm_score.train(df)))
     mask = 2**64 - 1
 
     def mix(x):
@@ -326,41 +326,63 @@ def test_lm_scores(spark, rows):
         before = lm_score.BEGIN
         for w in re.split("[ \t\n\x0b\x0c\r]+", text or ""):
             if w:
-                h = xxhash.xxh3_64_intdigest("".join(c.lower() if c.isascii() else c for c in w))
-                yield h >> 44, before >> 44, mix((before * 0x9E3779B97F4A7C15 + h) & mask) >> 42
+                h = xxhash.xxh3_64_intdigest("".join(c.lower() if c.isascii() else c for c in w)) & ~1
+                yield h, before, mix((before * 0x9E3779B97F4A7C15 + h) & mask) | 1
                 before = h
 
-    models = []
-    for pick in (lambda t: True, bool):
+    def counted(texts):
         words, pairs, total = Counter(), Counter(), 0
-        for _, text, target in docs:
-            if pick(target):
-                steps = list(walk(text))
-                total += len(steps)
-                words.update(w for w, *_ in steps)
-                words.update([lm_score.BEGIN >> 44] * bool(steps))
-                pairs.update(b for *_, b in steps)
-        models.append((words, pairs, total))
-    for i, text, _ in docs:
-        steps, loss = list(walk(text)), []
-        for words, pairs, total in models:
-            one = 0.0
-            for w, left, b in steps:
-                c = words[left]
-                p = (0.6 * min(pairs[b], c) / c + 0.35 * words[w] / total if c else 0.95 * words[w] / total) + 0.05 / 2**20
-                one -= math.log(p)
-            loss.append(one / max(1, len(steps)))
-        assert got[i].n_tokens == len(steps)
-        assert math.isclose(got[i].background_loss, loss[0], rel_tol=1e-4, abs_tol=1e-6)
-        assert math.isclose(got[i].target_loss, loss[1], rel_tol=1e-4, abs_tol=1e-6)
-        assert math.isclose(got[i].difference, loss[1] - loss[0], rel_tol=1e-3, abs_tol=1e-4)
+        for text in texts:
+            steps = list(walk(text))
+            total += len(steps)
+            words.update(w for w, *_ in steps)
+            words.update([lm_score.BEGIN] * bool(steps))
+            pairs.update(b for *_, b in steps)
+        return words, pairs, total
+
+    def check(got, own_out):
+        models = [(mark, counted([t for _, t, m in docs if mark(m)])) for mark in (lambda t: True, bool)]
+        for i, text, target in docs:
+            steps, loss, own = list(walk(text)), [], counted([text])
+            for mark, (words, pairs, total) in models:
+                less_words, less_pairs, less = own if own_out and mark(target) else ({}, {}, 0)
+                one = 0.0
+                for w, left, b in steps:
+                    c, n, both = (x[k] - y.get(k, 0) for x, y, k in (
+                        (words, less_words, left), (words, less_words, w), (pairs, less_pairs, b)))
+                    by_word = n / max(1, total - less)
+                    p = (0.6 * min(both, c) / c + 0.35 * by_word if c else 0.95 * by_word) + 0.05 / 2**20
+                    one -= math.log(p)
+                loss.append(one / max(1, len(steps)))
+            assert got[i].n_tokens == len(steps)
+            assert math.isclose(got[i].background_loss, loss[0], rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(got[i].target_loss, loss[1], rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(got[i].difference, loss[1] - loss[0], rel_tol=1e-6, abs_tol=1e-9)
+
+    check(by_id(lm_score.score(df, lm_score.train(df))), False)
+    check(by_id(lm_score.score(df, lm_score.train(df, keys_per_block=50), counted="target")), True)
+    docs = [(i, t, i is not None and i % 3 == 0) for i, t, _ in docs]  # marks by id: none without one
+    ids = spark.createDataFrame([(i,) for i in range(-3, 9006, 3)] * 2 + [(None,)], "doc_id LONG").repartition(4)
+    marks = lm_score.mark_ids(ids)
+    check(by_id(lm_score.score(df, lm_score.train(df, marks), counted=marks)), True)
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        counts = rng.integers(0, 2**40, len(keys)), np.zeros(len(keys), np.int64)
+        for a, b in zip((keys, *counts), lm_score.unpacked(lm_score.packed(keys, *counts))):
+            assert a.tolist() == b.tolist()
+    dense = np.sort(rng.integers(0, 2**58, 5000).astype(np.uint64))  # a shard of a task with many keys
+    assert len(lm_score.packed(dense, np.ones(5000, np.int64), np.zeros(5000, np.int64))) < 7 * 5000
 
 
 def test_words_of_slices(rows):
     import pyarrow as pa
     texts = pa.array([t for _, t in rows])
-    whole = lm_score.word_slots(texts)
-    parts = [lm_score.word_slots(texts.slice(i, 30)) for i in range(0, len(texts), 30)]
+    whole = lm_score.word_keys(texts)
+    parts = [lm_score.word_keys(texts.slice(i, 30)) for i in range(0, len(texts), 30)]
     for k in range(4):
         assert np.concatenate([p[k] for p in parts]).tolist() == whole[k].tolist()
 

@@ -101,8 +101,8 @@ def test_slots_grow_with_the_words(spark):
         [(i, " ".join(f"w{1000 * i + k}" for k in range(1000)), i % 2 == 0) for i in range(600)],
         "doc_id LONG, text STRING, target BOOLEAN")
     one = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs)).collect()}
-    model = lm_score.train(docs, keys_per_shard=50_000)
-    assert all(len(s) >= 12 for s in model.shards)
+    model = lm_score.train(docs, keys_per_block=50_000)
+    assert len(model.keys.places) >= 24 and (np.diff(model.keys.firsts.astype(float)) > 0).all()
     for r in lm_score.score(docs, model).collect():
         assert r == one[r.doc_id]
     # every word and pair once: counts that unrelated ones share would change the losses
@@ -157,3 +157,33 @@ def test_queries_say_that_they_read_opening_words():
     for name in ("examples_scan", "shards_union", "resume_anti_join", "ordinal_slice", "sample_head",
                  "query_only_prompts", "evaluate_run_query_only", "eval_join", "attach_example_id"):
         assert "words 1-13" in (QUERIES[name].__doc__ or "")
+
+
+def test_shared_files_are_named_by_their_file_system(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from passagemill.llm import common
+    folder = common.shared_folder(spark, "x")
+    assert folder.startswith("file:/")
+    path = common.write_once(folder, "a", lambda out: out.write(b"text"))
+    files, local = common.filesystem(path)
+    assert isinstance(files, fs.LocalFileSystem) and files.open_input_file(local).read() == b"text"
+    hadoop = spark._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    try:  # a path without scheme belongs to the default file system, not to the local one
+        hadoop.set("fs.defaultFS", "viewfs://store/")
+        hadoop.set("fs.viewfs.mounttable.store.link./shared", f"file://{tmp_path}")
+        monkeypatch.setattr(common, "shared_dir", lambda _: "/shared/scratch")
+        assert common.shared_folder(spark, "x").startswith("viewfs://store/shared/scratch/x-")
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    with_credentials = "?region=none&anonymous=true"
+    for uri, kind in (("s3a://bucket/a" + with_credentials, "s3"), ("s3n://bucket/a" + with_credentials, "s3"), ("dbfs:/mnt/a", "local")):
+        assert common.filesystem(uri)[0].type_name == kind
+    assert common.filesystem("dbfs:/mnt/a")[1] == "/dbfs/mnt/a"
+    try:
+        common.filesystem("/a/b")
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a path without file system")
