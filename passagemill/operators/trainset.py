@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.functions import prompts as P
 from passagemill.functions.selection import alias_map
 from passagemill.functions.text import stable_hash
-from passagemill.operators.ranking import global_rank
+from passagemill.operators.ranking import kth_keys, up_to
 from passagemill.session import stored
 
 _NO_MAP = "map<string,bigint>"
@@ -57,10 +59,6 @@ def chat_rows(
         "formatted_chat", P.render_chat(F.col("chat")))
 
 
-def _quota(total: Column, share: float) -> Column:
-    return F.floor(total.cast("double") * F.lit(share)).cast("bigint")
-
-
 def _query_text() -> Column:
     return F.concat(
         F.lit(f"Task Instruction: {fv.INSTRUCTION_SELECT}\nQuestion:"), F.col("query"))
@@ -87,35 +85,45 @@ def _sampled(cased: DataFrame, reranked: Column) -> DataFrame:
         retrieved.alias("retrieved_docs"), selected.alias("output"))
 
 
+def _cut_cases(
+    rows: DataFrame, group: str, order: str, quotas: dict[int, list[tuple[str, int]]], tie: str | None = None,
+) -> tuple[Column, dict]:
+    """The case of each row where the rows of a group fill its cases one after another in
+    key order, and the keys of the cuts. Rows beyond the last quota have none."""
+    ends = {g: [sum(n for _, n in cases[:i + 1]) for i in range(len(cases))] for g, cases in quotas.items()}
+    cuts = kth_keys(rows, group, order, {g: set(e) - {0} for g, e in ends.items()}, tie)
+    case = F.when(F.lit(False), F.lit(None).cast("string"))
+    for g, cases in quotas.items():
+        for (name, n), end in zip(cases, ends[g]):
+            if n:
+                case = case.when((F.col(group) == g) & up_to(cuts[g, end], order, tie), F.lit(name))
+    return case, {(g, name): cuts.get((g, end)) for g in quotas for (name, _), end in zip(quotas[g], ends[g])}
+
+
 def quota_sample(
     silver: DataFrame, seed: int = 10, shares: dict[str, float] | None = None
 ) -> DataFrame:
     """Quota sample by selection size; each group fills its cases in input order.
 
     Quotas are floors of shares of the answerable rows with 0, 1 or several documents.
-    Needs example_pos, example_id, query, document_indices, selected_documents, are_answer.
+    Needs example_pos (which tells rows apart), example_id, query, document_indices,
+    selected_documents, are_answer. `silver` is evaluated once; the cuts between the cases
+    are found by counting, so rows are filtered and never sorted.
     """
     shares = shares or fv.GROUP_SHARES
-    valid = silver.where("are_answer").withColumn(
-        "_group", F.least(F.size("selected_documents"), F.lit(2)))
-    ranked = global_rank(valid, "_group", "example_pos", "_rank", group_size="_size")
-    rank, size, group = F.col("_rank"), F.col("_size"), F.col("_group")
-
-    def fill(*cases: str) -> Column:
-        """Cases filled one after another up to their quotas."""
-        upto, out = F.lit(0), None
-        for case in cases:
-            upto = upto + _quota(size, shares[case])
-            out = (F if out is None else out).when(rank <= upto, F.lit(case))
-        return out
-
-    cased = ranked.withColumn(
-        "sample_case",
-        F.when(group == 0, fill("case_3_no_docs"))
-        .when(group == 1, fill("case_1_single_doc", "case_6_single_doc_unchanged"))
-        .otherwise(fill(
-            "case_2_multiple_docs", "case_4_multi_doc_unchanged", "case_5_reranking")))
-    return _sampled(cased, _reordered(F.col("selected_documents"), F.col("example_id"), seed))
+    valid = stored(silver.where("are_answer").withColumn(
+        "_group", F.least(F.size("selected_documents"), F.lit(2))), "answerable")
+    sizes = {r["_group"]: r["count"] for r in valid.groupBy("_group").count().collect()}
+
+    def quotas(group: int, *cases: str) -> list[tuple[str, int]]:
+        return [(c, math.floor(sizes.get(group, 0) * shares[c])) for c in cases]
+
+    case, _ = _cut_cases(valid, "_group", "example_pos", {
+        0: quotas(0, "case_3_no_docs"),
+        1: quotas(1, "case_1_single_doc", "case_6_single_doc_unchanged"),
+        2: quotas(2, "case_2_multiple_docs", "case_4_multi_doc_unchanged", "case_5_reranking")})
+    return _sampled(valid.withColumn("sample_case", case), _reordered(
+        F.col("selected_documents"), F.col("example_id"), seed))
 
 
 def quota_sample_global(
@@ -124,38 +132,25 @@ def quota_sample_global(
     """Quota sample with quotas on the whole input, taken in a seeded shuffled order.
 
     Rows with several documents fill case 2; what is left over and has more than two
-    documents fills case 4 and then case 5.
+    documents fills case 4 and then case 5. Like the other sample it reads `silver` once
+    and filters its rows by cut keys.
     """
     shares = shares or fv.GLOBAL_SHARES
-    total = silver.agg(F.count("*")).scalar()
     size = F.size("selected_documents")
-    valid = (
-        silver.where("are_answer")
-        .withColumn("_group", F.least(size, F.lit(2)))
-        .withColumn("_order", stable_hash(F.concat_ws("/", "example_id", "example_pos"), seed))
-        .withColumn("_all_rows", total))
-
-    def quota(case: str) -> Column:
-        return _quota(F.col("_all_rows"), shares[case])
-
-    # 60-bit hashes: 2^20 ranges of equal expected size. Written once, as the sample needs
-    # it twice.
-    ranked = stored(global_rank(
-        valid, "_group", "_order", "_rank", bits=40, tie="example_pos",
-        running={"_long": size > 2}), "ranked")
-    rank, group = F.col("_rank"), F.col("_group")
-    in_case_2 = (group == 2) & (rank <= quota("case_2_multiple_docs"))
-    # Rank among the left-over rows with more than two documents: those up to the row less
-    # those that went into case 2.
-    gone = ranked.where(in_case_2).agg(F.coalesce(F.max("_long"), F.lit(0))).scalar()
-    left_over = F.col("_long") - gone
-    cased = ranked.withColumn(
-        "sample_case",
-        F.when((group == 0) & (rank <= quota("case_3_no_docs")), F.lit("case_3_no_docs"))
-        .when((group == 1) & (rank <= quota("case_1_single_doc")), F.lit("case_1_single_doc"))
-        .when(in_case_2, F.lit("case_2_multiple_docs"))
-        .when((size > 2) & (left_over <= quota("case_4_less_docs")), F.lit("case_4_less_docs"))
-        .when((size > 2) & (left_over <= quota("case_4_less_docs") + quota("case_5_reranking")),
-              F.lit("case_5_reranking")))
+    rows = stored(silver.withColumn("_group", F.when(F.col("are_answer"), F.least(size, F.lit(2)))).withColumn(
+        "_order", stable_hash(F.concat_ws("/", "example_id", "example_pos"), seed)), "silver")
+    total = rows.count()
+
+    def quota(case: str) -> tuple[str, int]:
+        return case, math.floor(total * shares[case])
+
+    early, cuts = _cut_cases(rows, "_group", "_order", {
+        0: [quota("case_3_no_docs")], 1: [quota("case_1_single_doc")], 2: [quota("case_2_multiple_docs")],
+    }, "example_pos")
+    several = (F.col("_group") == 2) & (size > 2)
+    if quota("case_2_multiple_docs")[1]:
+        several &= ~up_to(cuts[2, "case_2_multiple_docs"], "_order", "example_pos")
+    left = rows.withColumn("_left", F.when(several, F.lit(3)))
+    late, _ = _cut_cases(left, "_left", "_order", {3: [quota("case_4_less_docs"), quota("case_5_reranking")]}, "example_pos")
     mixed = _shuffled(F.col("selected_documents"), F.col("example_id"), seed)
-    return _sampled(cased, mixed)
+    return _sampled(left.withColumn("sample_case", F.coalesce(early, late)), mixed)
