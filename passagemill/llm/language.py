@@ -170,12 +170,15 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return Models(languages, hashes, log_p, float(np.log(1 / vocabulary)) - 4.0)
 
 
+LEAST_TO_SPARE = 20  # labelled rows of a language from which some are kept back
+
+
 def train(docs: DataFrame, max_docs_per_language: int = 1500) -> Models:
     """Models from labelled rows that are not held out.
 
     A bounded sample fits the models: of each language about `max_docs_per_language` rows,
     by the hash of their id, with their whole texts. A tenth of the sample calibrates
-    sharpness and rejection. N-grams are counted where the rows are and added up by language.
+    sharpness and rejection, but no row of a language with too few to spare. N-grams are counted where the rows are and added up by language.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out())
     rank = F.xxhash64("doc_id")
@@ -184,10 +187,11 @@ def train(docs: DataFrame, max_docs_per_language: int = 1500) -> Models:
     if not n:
         return estimate({})
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, max_docs_per_language / k))])
+    spare = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, k >= LEAST_TO_SPARE)])
     part = F.pmod(rank, F.lit(1 << 30)) / float(1 << 30)  # even in 0..1
     rows = known.where(part < share[F.col("lang")]).select(
         "lang", F.coalesce("text", F.lit("")).alias("text"),
-        (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0).alias("calibrate"))
+        (spare[F.col("lang")] & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0)).alias("calibrate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -5,7 +5,8 @@ long as a sequence are sequences at once. The others are dealt into groups of ab
 `group_items` pieces; each group packs best-fit decreasing and sends out its nearly full
 bins. An underfull bin goes on to the next round as one item that carries its members (no
 more than the sequence has tokens), and rounds of ever fewer groups pack such items until
-one group is left, so no task ever holds more than about one group, whatever the input.
+one group is left or a round has merged nothing, so no task ever holds more than about one
+group, whatever the input. Best fit leaves no two bins of a group that would fit together.
 
 Nulls: a null text is empty and packs as its end id alone. Rows without doc_id are packed
 with a null id; repeated rows are packed once each; an empty table gives no rows.
@@ -26,6 +27,9 @@ from passagemill.llm.tokens import default_tokenizer, encoder
 from passagemill.session import stored
 
 
+MOST_ROUNDS = 100  # what the sequence ids have room for; each round merges items at random partners
+
+
 def pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every text."""
     path = tokenizer or default_tokenizer()
@@ -129,8 +133,8 @@ def pack(found: DataFrame, max_tokens: int = 2048, group_items: int = 4096, near
         done.append(packed.where("sequence_id IS NOT NULL").select("members", "sequence_id"))
         items = packed.where("sequence_id IS NULL").select("members", "size")
         before, left = left, 0 if groups == 1 else items.count()
-        # rounds that no longer shrink: what is left does not fit together any more
-        if left > 0.95 * before:
+        # a round that merged nothing: no two items of any group fit together
+        if left == before or number == MOST_ROUNDS:
             done.append(items.select("members", (F.monotonically_increasing_id()
                         + F.lit((number + 1) << 56)).alias("sequence_id")))
             left = 0

@@ -174,14 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, label: str =
                 pa.array([o[2].tobytes() for o in out], pa.binary()),
             ], ["doc_id", "slots", "shares"])
 
+    # a repeated id counts once: its first features in byte order; max_rows rows at most arrive
     found = id_and_text(docs).where(~held_out() & F.col("doc_id").isNotNull()) \
-        .mapInArrow(extract, "doc_id LONG, slots BINARY, shares BINARY").collect()
-    first = {}  # a repeated id counts once: its first features in byte order
-    for r in sorted(found, key=lambda r: (r.doc_id, bytes(r.slots), bytes(r.shares))):
-        first.setdefault(r.doc_id, r)
+        .mapInArrow(extract, "doc_id LONG, slots BINARY, shares BINARY") \
+        .groupBy("doc_id").agg(F.min(F.struct("slots", "shares")).alias("f")).select("doc_id", "f.*").collect()
     return fit([
-        (np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32), wanted[i])
-        for i, r in sorted(first.items())], **options)
+        (np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32), wanted[r.doc_id])
+        for r in sorted(found, key=lambda r: r.doc_id)], **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> D
     Rows equal in doc_id and text are one document and leave one row; which of their other
     columns stays is the choice of the aggregation.
     """
-    rows = stored(minhash.sketches(docs, words_each), "sketches")
+    rows = stored(minhash.sketches(docs, words_each, similarity), "sketches")
     found = _grouped(rows.select("doc_id", "text_hash", "fp"), minhash.links(docs, rows, words_each, similarity))
     wanted = found.where(
         F.coalesce("doc_id", F.lit(2**63 - 1)).eqNullSafe(F.coalesce("component_id", F.lit(2**63 - 1)))

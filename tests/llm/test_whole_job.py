@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -91,7 +92,7 @@ def test_near_copies_of_a_few_words_go(spark):
     kept = [r.doc_id for r in simhash.keep_one(frame).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == want
     # blocks far smaller than the group
-    rows = minhash.sketches(frame, 5).cache()
+    rows = minhash.sketches(frame, 5, 0.8).cache()
     edges = minhash.links(frame, rows, 5, 0.8, block_shingles=20_000)
     assert {r.component_id for r in simhash._grouped(rows.drop("size", "bands"), edges).collect()} == want
 
@@ -177,7 +178,7 @@ def test_shared_files_are_named_by_their_file_system(spark, tmp_path, monkeypatc
         assert common.shared_folder(spark, "x").startswith("viewfs://store/shared/scratch/x-")
     finally:
         hadoop.set("fs.defaultFS", before)
-    with_credentials = "?region=none&anonymous=true"
+    with_credentials = "?region=none"
     for uri, kind in (("s3a://bucket/a" + with_credentials, "s3"), ("s3n://bucket/a" + with_credentials, "s3"), ("dbfs:/mnt/a", "local")):
         assert common.filesystem(uri)[0].type_name == kind
     assert common.filesystem("dbfs:/mnt/a")[1] == "/dbfs/mnt/a"
@@ -187,3 +188,71 @@ def test_shared_files_are_named_by_their_file_system(spark, tmp_path, monkeypatc
         pass
     else:
         raise AssertionError("a path without file system")
+
+
+def test_bands_follow_from_the_similarity(spark):
+    assert minhash.layout(0.8) == (24, 6) and minhash.layout(1.0) == (1, 144)
+    for wrong in (0.0, -1, 1.1, 0.01):
+        try:
+            minhash.layout(wrong)
+        except ValueError:
+            continue
+        raise AssertionError(wrong)
+    rng = random.Random(9)
+    docs, near = [], []
+    for i in range(150):  # pairs a little above and far below half of their shingles in common
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        changed = list(words)
+        for at in rng.sample(range(120), 6 if i % 2 else 60):
+            changed[at] = "other"
+        a, b = (minhash.shingle_set(" ".join(x), 5) for x in (words, changed))
+        common = len(np.intersect1d(a, b))
+        near.append(common / (len(a) + len(b) - common))
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    frame = spark.createDataFrame(docs, "doc_id LONG, text STRING")
+    for similarity in (0.5, 0.8):
+        kept = {r.doc_id for r in simhash.keep_one(frame, similarity=similarity).collect()}
+        wanted = [i for i, s in enumerate(near) if s >= similarity]
+        gone = [i for i in wanted if 2 * i + 1 not in kept]
+        assert len(gone) >= 0.9 * len(wanted)
+        assert all(2 * i in kept for i in range(150)) and all(2 * i + 1 in kept for i, s in enumerate(near) if s < similarity)
+    assert sum(s >= 0.5 for s in near) > 30
+
+
+def test_a_language_with_few_rows_is_learned(spark):
+    english = [(i, f"the house by the lake number {i} was sold again", "en") for i in range(300)]
+    few = [i for i in range(1000, 3000) if (zlib.crc32(str(i).encode()) % 3) != 1]
+    calibrated = spark.createDataFrame([(i,) for i in few], "doc_id LONG").where("pmod(xxhash64(doc_id, 1), 10) = 0").limit(2).collect()
+    german = [(r.doc_id, "das Haus am See wurde schon wieder verkauft", "de") for r in calibrated]
+    docs = spark.createDataFrame(english + german, "doc_id LONG, text STRING, lang STRING")
+    models = language.train(docs)
+    assert models.languages == ["de", "en"] and models.predict(["das Haus am See"])[0] == ["de"]
+
+
+def test_rounds_end_only_when_nothing_merges(spark):
+    """Pieces that fit together by fours, in groups so small that most rounds merge few."""
+    rng = random.Random(2)
+    sizes = [rng.choice([26, 25, 24]) for _ in range(400)]
+    found = spark.createDataFrame(
+        [(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id LONG, piece INT, start LONG, length LONG, ids_crc32 LONG")
+    from passagemill.session import stored
+    out = packing.pack(stored(found, "pieces"), max_tokens=100, group_items=8).collect()
+    assert sorted(r.doc_id for r in out) == list(range(400))
+    filled = Counter()
+    for r in out:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 100 and len(filled) <= 1.2 * sum(sizes) / 100
+
+
+def test_a_repeated_labelled_id_is_one_row(spark):
+    from passagemill.llm import quality
+    docs = spark.createDataFrame(
+        [(2, f"text of copy {i % 3}") for i in range(3000)] + [(3, "bad " * 9), (5, "good " * 9)], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, i % 2) for i in (2, 3, 5, 6)], "doc_id LONG, quality INT")
+    seen, original = [], quality.fit
+    try:
+        quality.fit = lambda rows, **options: seen.extend(rows) or original(rows, **options)
+        quality.train(docs, labels)
+    finally:
+        quality.fit = original
+    assert len(seen) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (2, 3, 5))
