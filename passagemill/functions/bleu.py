@@ -1,8 +1,9 @@
 """Smoothed sentence BLEU with higher-order functions.
 
 Papineni et al. 2002, orders 1-4 with equal weights; smoothing method 1 of
-Chen & Cherry 2014 (a zero count becomes 0.1). Cost per pair grows with
-|hypothesis| x |reference|; references are short answers.
+Chen & Cherry 2014 (a zero count becomes 0.1). The n-grams that two texts share are counted
+in one walk over both lists, sorted together, so the cost of a pair grows with the sum of
+the two lengths (times the logarithm for sorting).
 """
 
 from __future__ import annotations
@@ -27,15 +28,34 @@ def _ngrams(words: Column, n: Column) -> Column:
     return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _count(grams: Column, gram: Column) -> Column:
-    return F.size(F.filter(grams, lambda g: g == gram))
+_WALK = "struct<gram: string, hyp: int, ref: int, shared: int>"
 
 
 def _clipped(hyp: Column, ref: Column) -> Column:
-    """Size of the shared part of two n-gram lists, each counted as often as both have it."""
-    present = F.filter(F.array_distinct(ref), lambda g: F.array_contains(hyp, g))
-    return F.aggregate(
-        present, F.lit(0), lambda acc, g: acc + F.least(_count(hyp, g), _count(ref, g)))
+    """Size of the shared part of two n-gram lists, each counted as often as both have it.
+
+    Equal n-grams lie side by side in the sorted list of both; the walk holds the counts of
+    the n-gram it is at, and what the ones before it share.
+    """
+    def marked(grams: Column, side: int) -> Column:
+        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(side).alias("side")))
+
+    def step(at: Column, x: Column) -> Column:
+        same = at["gram"] == x["gram"]
+        in_hyp = x["side"] == 0
+        return F.struct(
+            x["gram"].alias("gram"),
+            (F.when(same, at["hyp"]).otherwise(0) + in_hyp.cast("int")).alias("hyp"),
+            (F.when(same, at["ref"]).otherwise(0) + (~in_hyp).cast("int")).alias("ref"),
+            (at["shared"] + F.when(same, 0).otherwise(F.least(at["hyp"], at["ref"]))).alias("shared"))
+
+    both = F.array_sort(F.concat(marked(hyp, 0), marked(ref, 1)))
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("hyp"), F.lit(0).alias("ref"), F.lit(0).alias("shared"))
+    walked = F.aggregate(
+        both, start.cast(_WALK), lambda at, x: step(at, x).cast(_WALK),
+        lambda at: at["shared"] + F.least(at["hyp"], at["ref"]))
+    # most pairs share nothing, which a hash table of the shorter list shows at once
+    return F.when(F.arrays_overlap(hyp, ref), walked).otherwise(F.lit(0))
 
 
 def _score(hyp: Column, ref: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.functions.selection import order_changed
 from passagemill.operators.joins import last_per_key, lookup, semi_lookup
+from passagemill.session import stored
 
 
 def common_answerable(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
@@ -37,30 +40,53 @@ def common_ids(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     return run_a.select("example_id").distinct().intersect(run_b.select("example_id").distinct())
 
 
-def attach_example_id(rows: DataFrame, questions: DataFrame) -> DataFrame:
+def value_by_text(
+    rows: DataFrame, other: DataFrame, text: str, value: Column, out: str,
+    digest: Callable[[Column], Column] = F.md5,
+) -> DataFrame:
+    """The rows with `out`, the value of the last row of `other` (by example_pos) whose text is equal.
+
+    Rows meet by a 128-bit digest, and a value counts only where the texts themselves are
+    equal. So what is shuffled, grouped and counted as a key is short however long the texts
+    are; a text travels once, as a value. Of digests that stand for more than one text, which
+    hardly happens, all texts are kept with their own values.
+    """
+    given = other.select(
+        digest(F.col(text)).alias("_text_digest"), F.struct(F.col(text).alias("text"), value.alias("value")).alias("_option"),
+        "example_pos")
+    latest = stored(given.groupBy("_text_digest").agg(
+        F.max_by("_option", "example_pos").alias("_option"), F.min("_option.text").alias("_first"),
+        F.max("_option.text").alias("_last")), "by-text")
+    shared = latest.where("_first <> _last").select("_text_digest")
+    several = given.join(shared, "_text_digest", "left_semi").groupBy("_text_digest", "_option.text").agg(
+        F.max_by("_option", "example_pos").alias("_option")).groupBy("_text_digest").agg(
+        F.collect_list("_option").alias("_options"))
+    one = latest.where("_first = _last").select("_text_digest", F.array("_option").alias("_options"))
+    found = lookup(rows.withColumn("_text_digest", digest(F.col(text))), one.unionByName(several), "_text_digest")
+    mine = F.filter("_options", lambda o: o["text"] == F.col(text))
+    return found.withColumn(out, F.get(mine, F.lit(0))["value"]).drop("_text_digest", "_options")
+
+
+def attach_example_id(
+    rows: DataFrame, questions: DataFrame, digest: Callable[[Column], Column] = F.md5,
+) -> DataFrame:
     """Set example_id where the query equals a question; the last duplicate question wins."""
-    latest = last_per_key(
-        questions.select(
-            F.col("question").alias("query"), "example_pos",
-            F.col("example_id").alias("_new_id")), "query", "example_pos")
-    return (
-        lookup(rows, latest.select("query", "_new_id"), "query")
-        .withColumn("example_id", F.coalesce("_new_id", "example_id")).drop("_new_id"))
+    asked = questions.withColumnRenamed("question", "query") if "query" not in questions.columns else \
+        questions.drop("query").withColumnRenamed("question", "query")
+    found = value_by_text(rows, asked, "query", F.col("example_id"), "_new_id", digest)
+    return found.withColumn("example_id", F.coalesce("_new_id", "example_id")).drop("_new_id")
 
 
-def attach_doc_indices(rows: DataFrame, other: DataFrame) -> DataFrame:
+def attach_doc_indices(
+    rows: DataFrame, other: DataFrame, digest: Callable[[Column], Column] = F.md5,
+) -> DataFrame:
     """Set document_indices from the last row of `other` with the same query.
 
     A match without a list gives an empty list; no match keeps what was there.
     """
-    latest = last_per_key(
-        other.select(
-            "query", "example_pos",
-            F.coalesce("document_indices", F.array().cast("array<bigint>")).alias("_ids")),
-        "query", "example_pos")
-    return (
-        lookup(rows, latest.select("query", "_ids"), "query")
-        .withColumn("document_indices", F.coalesce("_ids", "document_indices")).drop("_ids"))
+    ids = F.coalesce("document_indices", F.array().cast("array<bigint>"))
+    found = value_by_text(rows, other, "query", ids, "_ids", digest)
+    return found.withColumn("document_indices", F.coalesce("_ids", "document_indices")).drop("_ids")
 
 
 def _last_of(run: DataFrame) -> DataFrame:
