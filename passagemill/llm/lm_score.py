@@ -5,8 +5,9 @@ words and of pairs of them, the same for both models. The background is counted
 documents, the target over those that are marked, each whole. A task adds up its keys and
 sends one packed part for every range of keys it has; the task that receives a range adds
 the parts, sorts and writes them: one shuffle, and its partitions are the shards. Documents
-probe the sorted blocks of the shards chunk by chunk, and a worker keeps a few open. A chunk
-reads every block that it asks, so reading grows with documents times vocabulary.
+probe the sorted blocks of the shards, some million distinct keys at a time, and a worker
+keeps a few open. Each time reads every block that it asks, so reading grows with documents
+times vocabulary.
 
 A document's score is the mean over its tokens of target loss minus background loss: below
 zero, it reads more like the target. Where the scored documents are those that the models
@@ -36,7 +37,8 @@ from passagemill.llm.common import (
 )
 
 KEYS_PER_BLOCK = 1 << 19
-HELD_BLOCKS = 12  # blocks a worker keeps open
+HELD_BLOCKS = 4  # blocks a worker keeps open
+ASKED_KEYS = 3_000_000  # keys of several chunks that are looked up together
 HELD_KEYS = 1 << 20  # distinct keys a task adds up before it sends them
 SHARD_BYTES = 2 << 20  # of input to a shard
 MOST_SHARD_BITS = 20
@@ -112,10 +114,12 @@ class KeyBlocks:
                 files, local = filesystem(place[0])
                 with files.open_input_file(local) as source:
                     part = pa.ipc.open_file(source).get_batch(place[1])
-                held[place] = column(part, "key").to_numpy(), np.stack([column(part, x).to_numpy() for x in ("n", "n_target")])
-            known, n = held[place]
+                held[place] = tuple(column(part, x).to_numpy() for x in ("key", "n", "n_target"))
+            known, *n = held[place]
             at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-            found[:, a:b] = np.where(known[at] == asked[a:b], n[:, at], 0)
+            hit = known[at] == asked[a:b]
+            for k in (0, 1):
+                found[k, a:b] = np.where(hit, n[k][at], 0)
         return found
 
     def holds(self, ids: pa.Array) -> np.ndarray:
@@ -154,7 +158,7 @@ def write_blocks(parts: DataFrame, name: str, keys_per_block: int = KEYS_PER_BLO
         batches = [pa.record_batch({"key": keys[c], "n": n[c], "n_target": n_target[c]}) for c in cuts]
 
         def put(out) -> None:
-            with pa.ipc.new_file(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+            with pa.ipc.new_file(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as sink:
                 for batch in batches:
                     sink.write_batch(batch)
 
@@ -264,29 +268,50 @@ def score(docs: DataFrame, model: Model, counted: Target | None = None) -> DataF
     `counted` says that `docs` are the rows that `train` has counted and is its `target`:
     each document's own counts are then taken out, of the target only where it is marked.
     """
+    def prepared(batch: pa.RecordBatch) -> tuple:
+        """What a chunk asks, and where its tokens stand in it; the text is no longer needed."""
+        word, left, pair, lengths = word_keys(column(batch, "text"))
+        asked, at = np.unique(np.concatenate([word, left, pair]), return_inverse=True)
+        w, l, p = np.split(at.astype(np.uint32), 3)
+        own, marks = None, None
+        if counted is not None:
+            row, begins = row_of(lengths), lengths > 0
+            first = (np.cumsum(lengths) - lengths)[begins]
+            words, rows = np.concatenate([w, l[first]]), np.concatenate([row, row[first]])
+            code = row.astype(np.uint64) << np.uint64(32) | l.astype(np.uint64)
+            own = [x.astype(np.uint32) for x in (_own(rows, words)[:len(w)], _own(rows, words, code), _own(row, p))]
+            marks = _marks(batch, counted)
+        return column(batch, "doc_id"), lengths, asked, (w, l, p), own, marks
+
+    def scored(chunk: tuple, known: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        ids, lengths, asked, places, own, marks = chunk
+        mine, n = found[:, np.searchsorted(known, asked)], np.maximum(lengths, 1)
+        loss = []
+        for k in (0, 1):
+            counts, total = [mine[k][x] for x in places], float(model.totals[k])
+            if own is not None:
+                out = np.repeat(marks if k else np.ones(len(lengths), bool), lengths)
+                counts = [c - np.where(out, o, 0) for c, o in zip(counts, own)]
+                total = total - np.where(out, np.repeat(lengths, lengths), 0)
+            loss.append(sums(losses(*counts, total, model.vocabulary), lengths) / n)
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(lengths), pa.array(loss[1]), pa.array(loss[0]), pa.array(loss[1] - loss[0])],
+            ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    def looked_up(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        known = np.unique(np.concatenate([c[2] for c in waiting]))
+        found = model.keys.counts(known)
+        while waiting:
+            yield scored(waiting.pop(0), known, found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
         for batch in chunks(batches):
-            word, left, pair, lengths = word_keys(column(batch, "text"))
-            n, row = np.maximum(lengths, 1), row_of(lengths)
-            asked, at = np.unique(np.concatenate([word, left, pair]), return_inverse=True)
-            found = model.keys.counts(asked)
-            w, l, p = np.split(at, 3)
-            counts = {k: [found[k][x] for x in (w, l, p)] for k in (0, 1)}
-            totals = {k: np.full(len(w), model.totals[k], np.float64) for k in (0, 1)}
-            if counted is not None:
-                begins = lengths > 0
-                first = (np.cumsum(lengths) - lengths)[begins]
-                words, rows = np.concatenate([w, l[first]]), np.concatenate([row, row[first]])
-                code = row.astype(np.uint64) << np.uint64(32) | l.astype(np.uint64)
-                own = [_own(rows, words)[:len(w)], _own(rows, words, code), _own(row, p)]
-                for k, out in ((0, np.ones(len(batch), bool)), (1, _marks(batch, counted))):
-                    out = np.repeat(out, lengths)
-                    counts[k] = [c - np.where(out, o, 0) for c, o in zip(counts[k], own)]
-                    totals[k] -= np.where(out, lengths[row], 0)
-            other, own_loss = (sums(losses(*counts[k], totals[k], model.vocabulary), lengths) / n for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([
-                column(batch, "doc_id"), pa.array(lengths), pa.array(own_loss), pa.array(other), pa.array(own_loss - other)],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+            waiting.append(prepared(batch))
+            if sum(len(c[2]) for c in waiting) > ASKED_KEYS:
+                yield from looked_up(waiting)
+        if waiting:
+            yield from looked_up(waiting)
 
     return _with_marks(docs, counted).mapInArrow(
         run, "doc_id LONG, n_tokens LONG, target_loss DOUBLE, background_loss DOUBLE, difference DOUBLE")
