@@ -126,6 +126,14 @@ CHAT_WRAPPERS = {
     },
 }
 
+# --- Fixed values: rendering of documents, training rows and chat turns -----------
+DOCUMENT_MARKS = ("Document [", "](Title: ", ") ")
+TRAINING_QUESTION = "Question: "
+TRAINING_DOCUMENTS = "\nDocuments:"
+SAMPLE_OPENING = f"Task Instruction: {INSTRUCTION_SELECT}\nQuestion:"
+TURN_START = "<|im_start|>"
+TURN_END = "<|im_end|>\n"
+
 # --- Fixed values: quota shares ----------------------------------------------
 # Shares of each selection-size group (none / one / several documents).
 GROUP_SHARES = {

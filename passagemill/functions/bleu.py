@@ -28,53 +28,46 @@ def _ngrams(words: Column, n: Column) -> Column:
     return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
-_WALK = "struct<gram: string, hyp: int, ref: int, shared: int>"
-
-
 def _clipped(hyp: Column, ref: Column) -> Column:
     """Size of the shared part of two n-gram lists, each counted as often as both have it.
 
     Equal n-grams lie side by side in the sorted list of both; the walk holds the counts of
     the n-gram it is at, and what the ones before it share.
     """
-    def marked(grams: Column, side: int) -> Column:
-        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(side).alias("side")))
-
     def step(at: Column, x: Column) -> Column:
         same = at["gram"] == x["gram"]
-        in_hyp = x["side"] == 0
         return F.struct(
             x["gram"].alias("gram"),
-            (F.when(same, at["hyp"]).otherwise(0) + in_hyp.cast("int")).alias("hyp"),
-            (F.when(same, at["ref"]).otherwise(0) + (~in_hyp).cast("int")).alias("ref"),
-            (at["shared"] + F.when(same, 0).otherwise(F.least(at["hyp"], at["ref"]))).alias("shared"))
+            (F.when(same, at["hyp"]).otherwise(0) + 1 - x["side"]).alias("hyp"),
+            (F.when(same, at["ref"]).otherwise(0) + x["side"]).alias("ref"),
+            F.when(same, at["shared"]).otherwise(at["shared"] + F.least(at["hyp"], at["ref"])).alias("shared"))
 
-    both = F.array_sort(F.concat(marked(hyp, 0), marked(ref, 1)))
+    # sort_array and plain fields keep the expression shallow: it stands deep inside searches
+    both = F.sort_array(F.transform(F.concat(hyp, ref), lambda g, i: F.struct(
+        g.alias("gram"), F.when(i < F.size(hyp), 0).otherwise(1).alias("side"))))
     start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("hyp"), F.lit(0).alias("ref"), F.lit(0).alias("shared"))
-    walked = F.aggregate(
-        both, start.cast(_WALK), lambda at, x: step(at, x).cast(_WALK),
-        lambda at: at["shared"] + F.least(at["hyp"], at["ref"]))
     # most pairs share nothing, which a hash table of the shorter list shows at once
-    return F.when(F.arrays_overlap(hyp, ref), walked).otherwise(F.lit(0))
+    return F.when(F.arrays_overlap(hyp, ref), F.aggregate(
+        both, start, step, lambda at: at["shared"] + F.least(at["hyp"], at["ref"]))).otherwise(F.lit(0))
 
 
 def _score(hyp: Column, ref: Column) -> Column:
     """Without a shared word the score is 0, and no longer n-grams are built."""
     hyp_len, ref_len = F.size(hyp), F.size(ref)
-    longer = F.transform(F.sequence(F.lit(2), F.lit(MAX_ORDER)), lambda n: let(
-        F.struct(_ngrams(hyp, n).alias("h"), _ngrams(ref, n).alias("r")),
-        lambda g: _clipped(g["h"], g["r"])))
 
-    def log_precision(count: Column, i: Column) -> Column:
-        found = F.when(count == 0, F.lit(EPSILON)).otherwise(count.cast("double"))
-        return F.ln(found / F.greatest(hyp_len - i, F.lit(1)))
+    def log_precision(count: Column, n: int) -> Column:
+        # a count is 0, for which EPSILON stands, or at least 1
+        return F.ln(F.greatest(count.cast("double"), F.lit(EPSILON)) / F.greatest(hyp_len - (n - 1), F.lit(1)))
+
+    def longer(n: int) -> Column:
+        return let(
+            F.struct(_ngrams(hyp, F.lit(n)).alias("h"), _ngrams(ref, F.lit(n)).alias("r")),
+            lambda g: log_precision(_clipped(g["h"], g["r"]), n))
 
     penalty = F.when(hyp_len > ref_len, F.lit(0.0)).otherwise(
         1.0 - ref_len / F.greatest(hyp_len, F.lit(1)))
-    return let(_clipped(hyp, ref), lambda words: F.when(words == 0, F.lit(0.0)).otherwise(
-        F.exp(penalty + F.aggregate(
-            F.transform(F.concat(F.array(words), longer), log_precision), F.lit(0.0),
-            lambda a, x: a + x) / MAX_ORDER)))
+    return let(_clipped(hyp, ref), lambda words: F.when(words == 0, F.lit(0.0)).otherwise(F.exp(
+        penalty + (log_precision(words, 1) + longer(2) + longer(3) + longer(4)) / MAX_ORDER)))
 
 
 def bleu_max(hypothesis: Column | str, references: Column | str) -> Column:

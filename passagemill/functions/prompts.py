@@ -84,9 +84,8 @@ def content_hash(title: Column | str, text: Column | str) -> Column:
 
 
 def render_document(label: Column, title: Column, text: Column) -> Column:
-    return F.concat(
-        F.lit("Document ["), label.cast("string"), F.lit("](Title: "), title, F.lit(") "), text,
-    )
+    before_label, before_title, before_text = (F.lit(x) for x in fv.DOCUMENT_MARKS)
+    return F.concat(before_label, label.cast("string"), before_title, title, before_text, text)
 
 
 def render_context(docs: Column | str) -> Column:
@@ -139,4 +138,4 @@ def messages(instruction: str | Column, user: Column, assistant: Column | None =
 def render_chat(chat: Column) -> Column:
     """Chat markup text of the turns."""
     return F.array_join(F.transform(chat, lambda m: F.concat(
-        F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
+        F.lit(fv.TURN_START), m["role"], F.lit("\n"), m["content"], F.lit(fv.TURN_END))), "")

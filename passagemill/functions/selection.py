@@ -206,3 +206,26 @@ def answer_hits(docs: Column | str, raw: Column | str, answers: Column | str) ->
         _body_of(docs, i), lambda body: F.transform(
             F.filter(answers, lambda a: F.coalesce(F.contains(body, F.lower(a)), F.lit(False))),
             lambda a: F.struct(i.alias("doc_id"), a.alias("answer"))))))
+
+
+def _found_in(docs: Column, found: Column, doc_id: Column) -> Column:
+    """What was found in the first document with that id; null without such a document."""
+    at = F.array_position(F.transform(docs, lambda d: d["doc_id"].cast("string")), doc_id)
+    return F.when(at > 0, F.get(found, (at - 1).cast("int")))
+
+
+def ids_found(docs: Column | str, ids: Column | str, found: Column | str) -> Column:
+    """The same as `ids_with_answer`, where `found` has for each document the positions of the
+    answers in its body."""
+    docs, found = col(docs), col(found)
+    return F.filter(
+        F.transform(col(ids), lambda i: i.cast("string")),
+        lambda i: F.coalesce(F.size(_found_in(docs, found, i)) > 0, F.lit(False)))
+
+
+def hits_found(docs: Column | str, raw: Column | str, answers: Column | str, found: Column | str) -> Column:
+    """The same as `answer_hits` by what was found."""
+    docs, answers, found = col(docs), col(answers), col(found)
+    return F.flatten(F.transform(split_ids(raw), lambda i: F.transform(
+        F.coalesce(_found_in(docs, found, i), F.array().cast("array<int>")),
+        lambda k: F.struct(i.alias("doc_id"), F.get(answers, k).alias("answer")))))

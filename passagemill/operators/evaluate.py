@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.functions import match as M, selection as S
+from passagemill.functions.automaton import answers_in_texts
 from passagemill.functions.text import first_line
 from passagemill.operators.joins import first_per_key, lookup
 
@@ -164,10 +165,14 @@ def selection_audit(selected: DataFrame) -> DataFrame:
     """Answer hits among the documents before and after a selection.
 
     Needs parsed docs (doc_id, block, body), document_indices, selected_ids_raw, answers.
+    Each body is walked once for all answers; both sides of the audit use what it found.
     """
-    hits = selected.withColumn(
-        "_before", S.ids_with_answer("docs", "document_indices", "answers")
-    ).withColumn("_after", S.answer_hits("docs", "selected_ids_raw", "answers"))
+    bodies = F.transform("docs", lambda d: F.lower(d["body"]))
+    lowered = F.transform("answers", F.lower)
+    found = selected.withColumn("_found", answers_in_texts(bodies, lowered))
+    hits = found.withColumn(
+        "_before", S.ids_found("docs", "document_indices", "_found")
+    ).withColumn("_after", S.hits_found("docs", "selected_ids_raw", "answers", "_found"))
     named = F.filter("_after", lambda h: h["answer"] != "")
     return (
         hits.withColumn("has_answer_before", F.size("_before") > 0)
@@ -177,7 +182,7 @@ def selection_audit(selected: DataFrame) -> DataFrame:
             F.get(named, F.lit(0))["answer"], F.when(F.size("_after") > 0, F.lit(""))))
         .withColumn("ids_after", F.transform("_after", lambda h: h["doc_id"]))
         .withColumn("ids_selected", S.split_ids("selected_ids_raw"))
-        .drop("_before", "_after")
+        .drop("_before", "_after", "_found")
     )
 
 

@@ -32,7 +32,7 @@ _STATE = (
 
 def _distinct_content(docs: Column) -> Column:
     def content(d: Column) -> Column:
-        return F.concat_ws(" ", d["title"], d["text"])
+        return P.content_hash(*(F.coalesce(d[c], F.lit("")) for c in ("title", "text")))
 
     return let(F.transform(docs, content), lambda texts: F.filter(
         docs, lambda d, i: F.array_position(texts, content(d)) == i + 1))

@@ -40,7 +40,7 @@ def instruction_rows(
     if shuffle_seed is not None:
         chosen = _shuffled(chosen, F.col("example_id"), shuffle_seed)
     rows = silver.where("are_answer").withColumn("prompt", F.concat(
-        F.lit("Question: "), "query", F.lit("\nDocuments:"), P.render_context_aliased("docs")))
+        F.lit(fv.TRAINING_QUESTION), "query", F.lit(fv.TRAINING_DOCUMENTS), P.render_context_aliased("docs")))
     rows = rows.where(count_tokens(F.col("prompt")) < max_tokens)
     return rows.select(
         "example_id", "prompt", "selected_documents",
@@ -61,7 +61,7 @@ def chat_rows(
 
 def _query_text() -> Column:
     return F.concat(
-        F.lit(f"Task Instruction: {fv.INSTRUCTION_SELECT}\nQuestion:"), F.col("query"))
+        F.lit(fv.SAMPLE_OPENING), F.col("query"))
 
 
 def _reordered(ids: Column, key: Column, seed: int) -> Column:
