@@ -19,7 +19,10 @@ LAST_LATIN = "\u024f"
 # The byte-level alphabet: a printable byte stands for itself, the others for 256, 257, ...
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
-MEMO_WORDS = 550_000  # the memo is emptied beyond this; its words are then encoded again
+# The memo is emptied beyond so many words or characters of them, and they are encoded again:
+# in text without spaces a word may be a paragraph.
+MEMO_WORDS = 550_000
+MEMO_CHARS = 32 << 20
 
 
 def default_tokenizer() -> str:
@@ -39,7 +42,7 @@ class WordEncoder:
         self.slot_of: dict[str, int] = {}
         self.letters: dict[str, tuple[int, ...]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.chars = 0
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
 
@@ -86,10 +89,11 @@ class WordEncoder:
         self.starts[slots:slots + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[slots:slots + len(words)] = sizes
         self.used += total
+        self.chars += sum(map(len, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if len(self.slot_of) > MEMO_WORDS:
+        if len(self.slot_of) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self._clear()
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = words.flatten().dictionary_encode()

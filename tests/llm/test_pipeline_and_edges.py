@@ -1,7 +1,9 @@
 """The pipeline against plain Python, and tables that are awkward in every way."""
 
+import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -11,11 +13,17 @@ from passagemill.llm import (
     decontaminate, fingerprints, language, line_dedup, lm_score, packing, quality, secret_scan,
     sequences, simhash, tokens,
 )
-from test_operators import plain_groups, plain_line_dedup, plain_simhash
+from test_operators import plain_line_dedup
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_pipeline(spark):
     from tokenizers import Tokenizer
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -23,8 +31,15 @@ def test_pipeline(spark):
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     good = {i: t for i, t in text.items() if quality.log_odds([t], model.slot_scores(), model.bias)[0] >= 0}
     lines = {i: "\n".join(kept) for i, (_, kept) in plain_line_dedup(list(good.items())).items()}
-    groups = plain_groups([(i, plain_simhash(t)) for i, t in sorted(lines.items())])
-    one = {i: t for i, t in lines.items() if groups[i] == i}
+    # groups by the whole sets of 5-word shingles, compared pair by pair
+    sets = {i: plain_shingles(t) for i, t in sorted(lines.items())}
+    root = {i: i for i in sets}
+    for i, j in combinations(sets, 2):
+        common = len(sets[i] & sets[j])
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    one = {i: t for i, t in lines.items() if root[i] == i}
     items = [decontaminate.normal_bytes(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {i: t for i, t in one.items() if not any(x in decontaminate.normal_bytes(t) for x in items)}
     assert len(text) > len(good) > len(one) > len(clean) > 50

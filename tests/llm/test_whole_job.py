@@ -256,3 +256,18 @@ def test_a_repeated_labelled_id_is_one_row(spark):
     finally:
         quality.fit = original
     assert len(seen) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (2, 3, 5))
+
+
+def test_the_memo_of_words_is_bounded_by_their_length(monkeypatch):
+    import pyarrow as pa
+
+    from passagemill.llm import tokens
+    monkeypatch.setattr(tokens, "MEMO_CHARS", 50_000)
+    encoder = tokens.WordEncoder(tokens.default_tokenizer())
+    rng = random.Random(1)
+    for _ in range(6):  # texts without spaces: each is one word
+        texts = ["".join(rng.choices("абвгд語", k=5000)) for _ in range(8)] + ["a few words"]
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+        assert encoder.chars <= 50_000 + 8 * 5000 + 20 and len(encoder.slot_of) <= 30
