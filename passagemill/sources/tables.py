@@ -102,8 +102,8 @@ def read_shards(
 ) -> DataFrame:
     """All shards whose file name contains `prefix`, with their number as `shard`.
 
-    Shards of `write_shards` bring their number as a partition column; other files have it
-    in their name. Sort by (shard, position) only where the order matters.
+    Shards of `write_shards` bring their number as a column; other files have it in their
+    name. Sort by (shard, position) only where the order matters.
     """
     rows = spark.read.option("pathGlobFilter", f"*{prefix}*.parquet").parquet(path)
     if "shard" in rows.columns:
@@ -113,14 +113,16 @@ def read_shards(
 
 
 def write_shards(df: DataFrame, path: str, save_every: int = 250, position: str = "example_pos") -> None:
-    """One directory per `save_every` positions, named by the position after its last one.
+    """Shards of `save_every` positions, numbered by the position after their last one.
 
-    Rows meet by shard first, so a shard is one file, not one per task. Hash partitioning
-    needs no sample of the rows, so the input is evaluated once.
+    A shard lies whole in one file, and a file holds many, sorted, with their number in a
+    column whose ranges let readers of one shard skip the rest: files follow the tasks, not
+    the shards, however small those are. Hash partitioning needs no sample of the rows, so
+    the input is evaluated once.
     """
     shard = (F.floor(F.col(position) / save_every) + 1) * save_every
     sharded = df.withColumn("shard", shard.cast("bigint")).repartition("shard")
-    sharded.write.mode("append").partitionBy("shard").parquet(path)
+    sharded.sortWithinPartitions("shard", position).write.mode("append").parquet(path)
 
 
 def pending(examples: DataFrame, finished: DataFrame, key: str = "example_pos") -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from passagemill import fixed_values as fv
 from passagemill.operators import (
@@ -194,6 +195,11 @@ def test_shards_round_trip(spark, tmp_path):
     tables.write_shards(rows, str(tmp_path / "own"), 250)
     got = tables.read_shards(spark, str(tmp_path / "own")).groupBy("shard").count().orderBy("shard").collect()
     assert [tuple(r) for r in got] == [(250, 250), (500, 250), (750, 250), (1000, 250)]
+    tables.write_shards(rows.repartition(9), str(tmp_path / "many"), 5)
+    many = tables.read_shards(spark, str(tmp_path / "many")).withColumn("file", F.col("_metadata.file_name"))
+    by_shard = many.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+    assert len(by_shard) == 200 and {(r.n, r.files) for r in by_shard} == {(5, 1)}
+    assert many.select("file").distinct().count() <= 8
 
 
 def test_resume_without_ids(spark):
