@@ -104,24 +104,33 @@ def replies(
 def batch_generate(
     prompts: DataFrame, generate: Generator, prompt: str = "prompt",
     out: str = "generated_text", partitions: int | None = None, batch_size: int | None = None,
-    token_budget: int | None = None, store=None,
+    token_budget: int | None = None, store=None, keys: list[str] | None = None,
 ) -> DataFrame:
     """Adds the generated text; `partitions` evens out slow prompts by row count.
 
     For a model the rows are written once with a row number; only that number and the
     prompt reach the model's tasks. The replies are written at once too and joined back,
-    so that neither a second use nor a lost executor calls the model again. With a `store`
+    so that neither a second use nor a lost executor calls the model again. Where `keys`
+    names all columns that are wanted beside the text, they go along with the prompts, and
+    nothing is stored before or joined after. With a `store`
     (replies.ReplyStore) only prompts that it does not know are asked, each once, and all
     replies are kept there for later runs.
     """
     if not isinstance(generate, Model):
         spread = prompts.repartition(partitions) if partitions else prompts
-        return spread.withColumn(out, F.when(
+        replied = spread.withColumn(out, F.when(
             F.trim(prompt) == "", F.lit("")).otherwise(generate(F.col(prompt))))
+        return replied.select(*keys, out) if keys is not None else replied
+    if keys is not None:
+        prompts = prompts.select(*keys, prompt)
     if store is not None:
         rows = stored(prompts, "prompts")
         store.ask(rows, generate, prompt, batch_size=batch_size, token_budget=token_budget)
-        return store.attach(rows, prompt, out)
+        replied = store.attach(rows, prompt, out)
+        return replied.select(*keys, out) if keys is not None else replied
+    if keys is not None:
+        asked = prompts.repartition(partitions) if partitions else prompts
+        return stored(replies(asked, generate, prompt, out, batch_size, token_budget), "replies")
     rows = stored(prompts.withColumn("_row", F.monotonically_increasing_id()), "prompts")
     asked = rows.select("_row", prompt)
     asked = asked.repartition(partitions) if partitions else asked

@@ -1244,8 +1244,7 @@ def batch_generate(spark, sf):
 def batch_generate_budget(spark, sf):
     """Batches of prompts of like length, at most 16,384 tokens with their padding."""
     return G.batch_generate(
-        X.contexts(spark, sf).select("example_id", "prompt"), G.Model(load_echo_model), token_budget=16384,
-    ).select("example_id", "generated_text")
+        X.contexts(spark, sf), G.Model(load_echo_model), token_budget=16384, keys=["example_id"])
 
 
 @register("reply_store", f"""

@@ -116,3 +116,18 @@ def test_the_silver_search_asks_each_prompt_once(spark, tmp_path, store):
     assert found[0] == found[1]
     asked = [sum(map(len, batches(f))) for f in folders]
     assert asked[1] * 6 == asked[0]
+
+
+def test_keys_alone_go_with_the_prompts(spark, tmp_path, store):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    df = spark.createDataFrame([(i, f"p{i % 7}", "wide " * 50) for i in range(60)] + [(60, None, "x")], "id INT, prompt STRING, rest STRING")
+    want = {i: f"P{i % 7}" for i in range(60)} | {60: ""}
+    model = recording_model(str(calls))
+    for options in ({}, {"partitions": 3, "token_budget": 20}, {"store": store()}):
+        got = G.batch_generate(df, model, keys=["id"], **options)
+        assert got.columns == ["id", "generated_text"] and {r.id: r.generated_text for r in got.collect()} == want
+        if not options:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = G.batch_generate(df.where("prompt IS NOT NULL"), F.upper, keys=["id"])
+    assert plain.columns == ["id", "generated_text"] and {r.id: r.generated_text for r in plain.collect()} == {i: want[i] for i in range(60)}
