@@ -25,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from passagemill.llm import minhash
-from passagemill.llm.common import chunks, column, id_and_text
-from passagemill.session import reliable_checkpoint, stored
+from passagemill.llm.common import chunks, column, id_and_text, parts_for
+from passagemill.llm.graph import components
+from passagemill.operators.joins import lookup
+from passagemill.session import stored
 
 BLOCKS, BLOCK_BITS = 8, 8
 SEED = 42
+PRINT_BYTES = 2 << 20  # of distinct fingerprints in a task
 
 
 def fingerprint(text: str, words_each: int = 3) -> int:
@@ -153,51 +156,19 @@ def links(prints: DataFrame, within: int = 2) -> DataFrame:
     return groups.mapInArrow(verify, "a LONG, b LONG").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node reached.
-
-    Large-star and small-star steps by turns; each leaves at most one row per edge, and
-    the number of rounds grows with the logarithm of the longest path.
-    """
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) if small else \
-            e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        # a node's least neighbour by aggregation, then back on the edges: no list of neighbours
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
-        if small:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-                joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        else:
-            out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").distinct()
-
-    def state(e: DataFrame):
-        # order-free summary of the edge set, to see that a round has changed nothing
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    current = reliable_checkpoint(edges.where("a <> b").select("a", "b"))
-    before = state(current)
-    while before[0]:
-        current = reliable_checkpoint(star(star(current, small=False), small=True))
-        now = state(current)
-        if now == before:
-            break
-        before = now
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, words_each: int = 3, within: int = 2) -> DataFrame:
     """doc_id, text_hash, fp, component_id (smallest id of the group) and first_hash.
 
     first_hash is the text hash that goes with the smallest id, for picking one row.
     """
     rows = stored(fingerprints(docs, words_each), "simhash")
-    return _grouped(rows, links(rows.select("fp").distinct(), within))
+    # each print becomes 28 rows right here: a stated number of parts is not coalesced
+    distinct = rows.select("fp").distinct().repartition(parts_for(rows.select("fp"), PRINT_BYTES), "fp")
+    return _grouped(rows, links(distinct, within))
 
 
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, fp) with the component_id and first_hash of their linked group."""
+    """Stored rows (doc_id, text_hash, fp) with the component_id and first_hash of their linked group."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("text_hash").alias("h"))).alias("first")
     distinct = rows.groupBy("fp").agg(first)
     roots = components(edges)
@@ -207,8 +178,10 @@ def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
     groups = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root") \
         .where("least <> first").select("fp", "least")
     own = distinct.select(F.col("fp"), "first")
-    return rows.join(stored(own.join(groups, "fp", "left").select(
-        "fp", F.coalesce("least", "first").alias("least")), "simhash-groups"), "fp").select(
+    found = stored(own.join(groups, "fp", "left").select(
+        "fp", F.coalesce("least", "first").alias("least")), "simhash-groups")
+    # a fingerprint may have any share of the rows
+    return lookup(rows, found, "fp", is_stored=True).select(
             "doc_id", "text_hash", "fp",
             F.when(F.col("least.i") < 2**63 - 1, F.col("least.i")).alias("component_id"),
             F.col("least.h").alias("first_hash"))

@@ -97,6 +97,38 @@ def test_near_copies_of_a_few_words_go(spark):
     assert {r.component_id for r in simhash._grouped(rows.drop("size", "bands"), edges).collect()} == want
 
 
+def test_a_band_of_copies_costs_its_size(spark):
+    """Blocks hold some 8 sets; 500 near copies and 20 sets unlike them meet on one band."""
+    cost, copies, strays = 1000, 500, 20
+    members = spark.createDataFrame(
+        [(i, 1, cost, 0, 0 if i < copies else i) for i in range(copies + strays)],
+        "fp LONG, band LONG, cost LONG, blocks INT, root LONG")
+    placed = minhash._strays(members, 8 * cost).collect()
+    pairs = {}
+    for r in placed:
+        pairs.setdefault((r.low, r.high), set()).add(r.fp)
+    met = {frozenset((a, b)) for x in pairs.values() for a in x for b in x if a != b}
+    assert {frozenset((a, b)) for a in range(copies, copies + strays) for b in range(copies + strays) if a != b} <= met
+    sent = Counter(r.fp for r in placed)
+    assert max(sent[i] for i in range(copies)) <= 3  # blocks of strays, not of copies
+    assert max(len(x) for x in pairs.values()) < 60
+    edges = spark.createDataFrame([(0, i) for i in range(1, copies)], "a LONG, b LONG")
+    one = members.where(f"fp < {copies}")
+    assert minhash._still_apart(one, edges).isEmpty()
+    assert minhash._still_apart(members, edges).count() == copies + strays
+
+
+def test_spanning_skips_what_is_joined():
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 60, 100).astype(np.uint64))
+    sets = [np.sort(np.concatenate([base[:90], rng.integers(0, 1 << 60, 10).astype(np.uint64)])) for _ in range(6)]
+    sets += [np.sort(rng.integers(0, 1 << 60, 100).astype(np.uint64))]
+    assert len(minhash.spanning(sets, 0.8)) == 5
+    found = minhash.spanning(sets, 0.8, np.array([5, 5, 5, 9, 9, 9, 1]))
+    assert len(found) >= 1 and all((i < 3) != (j < 3) and 6 not in (i, j) for i, j in found)
+    assert minhash.spanning(sets, 0.8, np.zeros(7)) == []
+
+
 def test_slots_grow_with_the_words(spark):
     docs = spark.createDataFrame(
         [(i, " ".join(f"w{1000 * i + k}" for k in range(1000)), i % 2 == 0) for i in range(600)],
