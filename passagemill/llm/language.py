@@ -31,6 +31,7 @@ from passagemill.llm.common import (
 
 ORDER = 4
 SPACE = 32
+PIECE = 1 << 20  # characters of one text scored at a time
 
 
 def _fold_table() -> np.ndarray:
@@ -91,12 +92,10 @@ class Models:
     sharpness: float = 1.0
     limits: tuple[float, ...] = ()
 
-    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats per character by text and language; the number of letters."""
-        symbols, lengths, letters = folded(texts)
-        total = np.empty((len(symbols), len(self.languages)), np.float32)
-        left = np.arange(len(symbols))
-        packed = grams(symbols, lengths, ORDER)
+    def _log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+        """Log probability of each packed n-gram's last symbol by language."""
+        total = np.empty((len(packed), len(self.languages)), np.float32)
+        left = np.arange(len(packed))
         for order, hashes, log_p in zip(range(ORDER, 0, -1), self.hashes, self.log_p):
             asked = mix64(packed[left] & np.uint64(2 ** (16 * order) - 1))
             at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
@@ -104,10 +103,35 @@ class Models:
             total[left[hit]] = log_p[at[hit]]
             left = left[~hit]
         total[left] = self.unseen
+        return total
+
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats per character by text and language; the number of letters.
+
+        A text longer than PIECE is read piece by piece, to the same result.
+        """
+        symbols, lengths, letters = folded([t if len(t) <= PIECE else "" for t in texts])
+        total = self._log_probabilities(grams(symbols, lengths, ORDER))
         first = np.cumsum(lengths) - lengths
         total[first] = 0  # the space put before a text
         n = np.maximum(lengths - 1, 1)
-        return -np.stack([sums(total[:, k], lengths) / n for k in range(len(self.languages))], axis=1), letters
+        loss = -np.stack([sums(total[:, k], lengths) / n for k in range(len(self.languages))], axis=1)
+        for i in (i for i, t in enumerate(texts) if len(t) > PIECE):
+            loss[i], letters[i] = self._long_cross_entropy(texts[i])
+        return loss, letters
+
+    def _long_cross_entropy(self, text: str) -> tuple[np.ndarray, int]:
+        carry, total, n, letters = np.empty(0, np.uint16), np.zeros(len(self.languages)), 0, 0
+        for start in range(0, len(text), PIECE):
+            piece, _, found = folded([text[start:start + PIECE]])
+            if start:  # no space stands before it, but one may end the word before
+                ends_word = carry[-1] != SPACE and not folded([text[start]])[2][0]
+                piece = piece[0 if ends_word else 1:]
+            symbols = np.concatenate([carry, piece])
+            packed = grams(symbols, np.array([len(symbols)]), ORDER)[len(carry) or 1:]
+            total += self._log_probabilities(packed).sum(axis=0, dtype=np.float64)
+            n, letters, carry = n + len(packed), letters + int(found[0]), symbols[1 - ORDER:]
+        return -total / max(n, 1), letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for each text."""

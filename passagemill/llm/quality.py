@@ -28,6 +28,7 @@ from passagemill.llm.common import (
 
 SLOTS = 1 << 17
 SCORE_BYTES = 1 << 20  # text scored at a time: a feature takes some 50 bytes of arrays
+PIECE = 1 << 20  # characters of one text that are features at a time
 SHAPES = np.full(1 << 16, 4, np.uint8)
 for _first, _last, _kind in ((65, 90, 1), (97, 122, 2), (48, 57, 3), (0xC0, 0xDE, 1),
                              (0xDF, 0x24F, 2), (0x370, 0xFFFF, 2)):
@@ -101,23 +102,63 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(47)).astype(np.int32)
 
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The slots of all features of one text, in pieces of about PIECE characters.
+
+    A piece ends behind a word (a longer word makes a longer piece), and the next one looks
+    back two characters for its trigrams and one word for its pairs.
+    """
+    points, _ = code_points([text])
+    a, word = 0, None  # where the piece begins, and the last word before it
+    while a < len(points):
+        b = min(a + PIECE, len(points))
+        while b < len(points) and SHAPES[min(int(points[b]), 0xFFFF)]:
+            b += 1
+        back = points[max(a - 2, 0):b]
+        yield _slots(_trigrams(back, np.array([len(back)]))[0])
+        part = points[a if word is None else word:b]
+        hashes, _ = _word_features(part, np.array([len(part)]))
+        if word is not None:  # its own features are known; they stand first among words and shapes
+            hashes = np.delete(hashes, [0, (len(hashes) + 2) // 4])
+        yield _slots(hashes)
+        inside = np.flatnonzero(SHAPES[np.minimum(points[a:b], 0xFFFF)] > 0)
+        if len(inside):
+            gaps = np.flatnonzero(np.diff(inside) > 1)
+            word = a + int(inside[gaps[-1] + 1] if len(gaps) else inside[0])
+        a = b
+
+
 def log_odds(texts: list[str], slot_scores: np.ndarray, bias: float) -> np.ndarray:
-    """Average of the slots' scores over all features of each whole text, plus the bias."""
-    points, lengths = code_points(texts)
+    """Average of the slots' scores over all features of each whole text, plus the bias.
+
+    A text longer than PIECE is read piece by piece, to the same result.
+    """
+    points, lengths = code_points([t if len(t) <= PIECE else "" for t in texts])
     grams, n_grams = _trigrams(points, lengths)
     total = sums(slot_scores[_slots(grams)], n_grams)
     words, owner = _word_features(points, lengths)
     total += np.bincount(owner, slot_scores[_slots(words)], len(texts))
     n = n_grams + np.bincount(owner, minlength=len(texts))
+    for i in (i for i, t in enumerate(texts) if len(t) > PIECE):
+        for slots in _pieces(texts[i]):
+            total[i] += slot_scores[slots].sum(dtype=np.float64)
+            n[i] += len(slots)
     return total / np.maximum(n, 1) + bias
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of a text and the share of its features in each."""
-    points, lengths = code_points([text])
-    slots = _slots(np.concatenate([_trigrams(points, lengths)[0], _word_features(points, lengths)[0]]))
-    found, counts = np.unique(slots, return_counts=True)
-    return found, (counts / max(1, len(slots))).astype(np.float32)
+    if len(text) <= PIECE:
+        points, lengths = code_points([text])
+        slots = _slots(np.concatenate([_trigrams(points, lengths)[0], _word_features(points, lengths)[0]]))
+        found, counts = np.unique(slots, return_counts=True)
+    else:
+        every = np.zeros(SLOTS, np.int64)
+        for slots in _pieces(text):
+            every += np.bincount(slots, minlength=SLOTS)
+        found = np.flatnonzero(every).astype(np.int32)
+        counts = every[found]
+    return found, (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 6,

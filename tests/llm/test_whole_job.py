@@ -9,7 +9,7 @@ import numpy as np
 
 from passagemill import fixed_values as fv
 from passagemill.functions import selection
-from passagemill.llm import decontaminate, language, lm_score, minhash, packing, simhash
+from passagemill.llm import decontaminate, language, lm_score, minhash, packing, quality, simhash
 from passagemill.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -303,3 +303,26 @@ def test_the_memo_of_words_is_bounded_by_their_length(monkeypatch):
         want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
         assert encoder.chars <= 50_000 + 8 * 5000 + 20 and len(encoder.slot_of) <= 30
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    texts += ["", " ", "x" * 300, " " * 300, "ab  cd\n" * 80, "a b " * 100 + "  ", "日本語 text。" * 60,
+              "".join(rng.choice("ab \n\tÄ9.😀") for _ in range(2000))]
+    models = language.estimate({
+        lang: np.unique(language.grams(*language.folded([t])[:2], 4)[1:], return_counts=True)
+        for lang, t in (("de", "ein Haus am See steht auf Sand"), ("en", "a house by the lake stands on sand"))})
+    scores = np.random.default_rng(1).normal(size=quality.SLOTS).astype(np.float32)
+    loss, letters = models.cross_entropy(texts)
+    odds, feats = quality.log_odds(texts, scores, 0.25), [quality.features(t) for t in texts]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(language, "PIECE", piece)
+        monkeypatch.setattr(quality, "PIECE", piece)
+        some = slice(None) if piece > 1 else slice(-9, None)
+        got, n = models.cross_entropy(texts[some])
+        assert np.allclose(got, loss[some], atol=1e-4) and (n == letters[some]).all()
+        assert np.allclose(quality.log_odds(texts[some], scores, 0.25), odds[some], atol=1e-4)
+        for (slots, shares), text in zip(feats[some], texts[some]):
+            again = quality.features(text)
+            assert (again[0] == slots).all() and np.allclose(again[1], shares)
