@@ -30,18 +30,16 @@ def answer_match(prediction: Column | str, answers: Column | str) -> Column:
 def answer_in_text(text: Column | str, answers: Column | str) -> Column:
     """Raw answer in raw text, or normalized answer in text without punctuation.
 
-    The text is deliberately neither lower-cased nor stripped of articles.
+    The text is deliberately neither lower-cased nor stripped of articles. Its form without
+    punctuation is made only where no raw answer is found.
     """
     text = col(text)
 
     def hit(squashed: Column, a: Column) -> Column:
-        return (
-            F.contains(text, a)
-            | F.contains(squashed, norm_answer(a))
-            | F.contains(squashed, norm_answer(a, lowercase=False))
-        )
+        return F.contains(squashed, norm_answer(a)) | F.contains(squashed, norm_answer(a, lowercase=False))
 
-    return _true(let(squash(text), lambda t: F.exists(col(answers), lambda a: hit(t, a))))
+    raw = _true(F.exists(col(answers), lambda a: F.contains(text, a)))
+    return raw | _true(let(squash(text), lambda t: F.exists(col(answers), lambda a: hit(t, a))))
 
 
 def abstains(c: Column | str) -> Column:

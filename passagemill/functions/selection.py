@@ -162,13 +162,19 @@ def rebuild_prompt(
     """Prompt with only the selected known documents, in selected order."""
     docs = col(docs)
 
+    def replaced(text: Column, sign: str, pattern: str, new: str) -> Column:
+        """Regular expressions run only over texts with the literal each match begins with."""
+        return let(text, lambda t: F.when(
+            F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, new)).otherwise(t))
+
     def clean(block: Column) -> Column:
         if style.drop_turn_marks:
-            block = F.regexp_replace(block, _TURN_CHANGE, "")
-        return F.regexp_replace(block, _ANSWER_CUE, "")
+            block = replaced(block, "<end_of_turn>", _TURN_CHANGE, "")
+        return replaced(block, "Answer:", _ANSWER_CUE, "")
 
-    blocks = F.transform(split_ids(raw), lambda i: F.get(
-        F.filter(docs, lambda d: d["doc_id"] == i), F.lit(0))["block"])
+    # bound once: an expression of documents would be built anew for every selected id
+    blocks = let(docs, lambda all_: F.transform(split_ids(raw), lambda i: F.get(
+        F.filter(all_, lambda d: d["doc_id"] == i), F.lit(0))["block"]))
     kept = F.filter(blocks, lambda b: b.isNotNull())
     opening = F.concat(F.lit(f"{style.head}{instruction}\nQuestion: "), col(question))
 
@@ -176,7 +182,7 @@ def rebuild_prompt(
         full = F.concat(
             opening, F.lit("\nDocuments:\n"),
             F.array_join(F.transform(chosen, clean), "\n"), F.lit(style.tail))
-        full = strip(F.regexp_replace(full, "\n+", "\n"))
+        full = strip(replaced(full, "\n\n", "\n+", "\n"))
         if style.newline_at_end:
             full = F.concat(full, F.lit("\n"))
         empty = F.lit(None) if style.empty is None else F.concat(opening, F.lit(style.empty))

@@ -63,9 +63,20 @@ def _spaces_to_one(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "  +", " "))
 
 
+def _runs_to_space(c: Column | str, also: str = "") -> Column:
+    """Runs of whitespace and the ASCII characters `also` become one space; ends are trimmed.
+
+    One regular expression over the text: `translate` looks every character up in a hash map.
+    Single characters below 256 share one bit set in a Java class, and the property stands for
+    the whitespace beyond, where ranges would each be tried for every character.
+    """
+    low = "".join(f"\\x{{{ord(ch):x}}}" for ch in fv.WHITESPACE + also if ord(ch) < 256)
+    return F.trim(F.regexp_replace(col(c), f"[{low}\\p{{IsWhite_Space}}]+", " "))
+
+
 def squeeze(c: Column | str) -> Column:
     """Whitespace runs become one space; ends are trimmed."""
-    return _spaces_to_one(F.translate(col(c), fv.WHITESPACE, " " * len(fv.WHITESPACE)))
+    return _runs_to_space(c)
 
 
 def strip_punct(c: Column | str) -> Column:
@@ -80,8 +91,7 @@ def strip_articles(c: Column | str) -> Column:
 
 def squash(c: Column | str) -> Column:
     """Punctuation to spaces plus whitespace squeeze, in one pass."""
-    chars = fv.PUNCTUATION + fv.WHITESPACE
-    return _spaces_to_one(F.translate(col(c), chars, " " * len(chars)))
+    return _runs_to_space(c, fv.PUNCTUATION)
 
 
 def _answer_table() -> tuple[str, str]:

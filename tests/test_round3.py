@@ -38,3 +38,22 @@ def test_neighbours_get_a_document_once(spark, monkeypatch):
     assert asked[0].count() == 2 * len({i for ids in lists for i in ids if i is not None})
 
 
+def test_whitespace_runs_are_one_expression(spark):
+    points = [chr(n) for n in range(1, sys.maxunicode + 1) if not 0xD800 <= n < 0xE000]
+    texts = ["x" + "".join(points[i:i + 50]) + "y" + points[i] * 2 for i in range(0, len(points), 50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").select(
+        "i", T.squeeze("t").alias("a"), T.squash("t").alias("b"))
+    for r in df.collect():
+        for found, chars in ((r.a, fv.WHITESPACE), (r.b, fv.WHITESPACE + fv.PUNCTUATION)):
+            assert found == re.sub(f"[{re.escape(chars)} ]+", " ", texts[r.i]).strip(" ")
+    assert "translate(" not in optimized(df)
+
+
+def test_raw_answers_come_first(spark):
+    df = spark.createDataFrame([
+        ("a b, c", ["b, c"]), ("a b, c", ["B; c!", None]), ("a b c", ["b c?"]), ("abc", None), ("abc", [None]), (None, ["a"]), ("abc", [])],
+        "t STRING, a ARRAY<STRING>").select(M.answer_in_text("t", "a").alias("v"))
+    assert [r.v for r in df.collect()] == [True, True, True, False, False, False, False]
+    assert re.search(r"exists\(a#\d+, lambdafunction\(Contains\(t#\d+", optimized(df))
+
+
