@@ -10,6 +10,7 @@ from passagemill.operators.generate import Model, replies
 from passagemill.session import stored
 
 _COLUMNS = "digest STRING, prompt STRING, reply STRING"
+TASK_ROWS = 4096  # prompts that a task asks
 
 
 class ReplyStore:
@@ -17,8 +18,8 @@ class ReplyStore:
 
     The folder is what lasts: a later session that opens it, under any table name, finds all
     replies that were stored. Lookups shuffle the asking side alone, and a reply counts only
-    for a prompt that is equal to its own, so equal digests do no harm. `buckets` belongs to
-    the folder and must stay the same. Every slice of a run adds up to a file to each bucket.
+    for a prompt with the SHA-256 of its own, so equal digests do no harm. `buckets` belongs to
+    the folder and must stay the same. Every task of a run adds a file to one bucket.
     """
 
     def __init__(
@@ -27,27 +28,45 @@ class ReplyStore:
     ) -> None:
         self.spark, self.table, self.buckets, self._digest = spark, table, buckets, digest
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({_COLUMNS}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {table} ({_COLUMNS}) USING parquet OPTIONS (compression 'zstd') "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def known(self) -> DataFrame:
         return self.spark.table(self.table)
 
     @staticmethod
-    def _same(asked: str, kept: str) -> Column:
-        """Equal prompts. Written so that the digest stays the only join key: with the prompt
-        as a second one Spark would shuffle the bucketed table by both."""
-        return F.startswith(F.col(asked), F.col(kept)) & F.startswith(F.col(kept), F.col(asked))
+    def _sum(prompt: str) -> Column:
+        """What tells prompts with equal digests apart, and travels in their place."""
+        return F.sha2(F.col(prompt), 256)
+
+    @staticmethod
+    def _same(one: str, other: str) -> Column:
+        """Equal sums. Written so that the digest stays the only join key: with the sum as a
+        second one Spark would shuffle the bucketed table by both."""
+        return F.startswith(F.col(one), F.col(other)) & F.startswith(F.col(other), F.col(one))
+
+    def _keyed(self, prompts: DataFrame, prompt: str) -> DataFrame:
+        asked = prompts.select(F.col(prompt).alias("prompt")).where(F.trim("prompt") != "")
+        return asked.select(self._digest(F.col("prompt")).alias("digest"), self._sum("prompt").alias("sum"), "prompt")
+
+    def _missing_keys(self, prompts: DataFrame, prompt: str) -> DataFrame:
+        """digest and sum of the distinct prompts without a reply, with a number for slices."""
+        asked = self._keyed(prompts, prompt).select(
+            "digest", "sum", F.xxhash64("prompt").alias("number")).groupBy("digest", "sum").agg(
+            F.min("number").alias("number"))
+        kept = self.known().select(F.col("digest").alias("_digest"), self._sum("prompt").alias("_sum"))
+        return asked.join(kept, (F.col("digest") == F.col("_digest")) & self._same("sum", "_sum"), "left_anti")
+
+    def _texts(self, prompts: DataFrame, prompt: str, keys: DataFrame, parts: int) -> DataFrame:
+        """digest and prompt of the keys, each once, dealt by digest: the one time texts move."""
+        wanted = keys.select(F.col("digest").alias("_digest"), F.col("sum").alias("_sum")).repartition(parts, "_digest")
+        dealt = self._keyed(prompts, prompt).repartition(parts, "digest")
+        found = dealt.join(wanted, (F.col("digest") == F.col("_digest")) & self._same("sum", "_sum"), "left_semi")
+        return found.dropDuplicates(["digest", "sum"]).select("digest", "prompt")
 
     def missing(self, prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
         """digest and prompt of the distinct prompts without a reply; blank ones need none."""
-        asked = prompts.select(F.col(prompt).alias("prompt")).where(F.trim("prompt") != "")
-        distinct = asked.groupBy(self._digest(F.col("prompt")).alias("digest")).agg(
-            F.collect_set("prompt").alias("_prompts")).select("digest", F.explode("_prompts").alias("_prompt"))
-        kept = self.known().select("digest", "prompt")
-        return distinct.join(
-            kept, (distinct["digest"] == kept["digest"]) & self._same("_prompt", "prompt"), "left_anti",
-        ).select("digest", F.col("_prompt").alias("prompt"))
+        return self._texts(prompts, prompt, self._missing_keys(prompts, prompt), self.buckets)
 
     def ask(
         self, prompts: DataFrame, model: Model, prompt: str = "prompt", slice_rows: int = 1_000_000,
@@ -55,25 +74,36 @@ class ReplyStore:
     ) -> int:
         """Get and keep the replies that are missing; returns how many were asked.
 
-        They are asked in slices of about `slice_rows` prompts, each kept as it is finished,
-        so a run that is killed repeats no slice but the open one.
+        What is missing is found by digests alone. The prompts are asked in slices of about
+        `slice_rows`, each kept as it is finished, so a run that is killed repeats no slice but
+        the open one. `prompts` is read once for the digests and once for each slice, so let it
+        be a stored table. A task has prompts of one bucket and writes their replies right into
+        it: a task that has ended is kept, and a lost executor asks nothing of it again.
         """
-        asked = stored(self.missing(prompts, prompt), "asked")
-        n = asked.count()
+        keys = stored(self._missing_keys(prompts, prompt), "asked")
+        n = keys.count()
         slices = -(-n // slice_rows)
+        each = min(n, slice_rows)
+        tasks = max(-(-each // TASK_ROWS), min(each, self.spark.sparkContext.defaultParallelism))
+        parts = self.buckets * max(1, -(-tasks // self.buckets))  # a multiple: no part has two buckets
         for i in range(slices):
-            part = asked.where(F.pmod(F.xxhash64("prompt"), F.lit(slices)) == i)
-            # written before it is dealt to buckets, so that a lost executor asks nothing again
-            replied = stored(replies(part, model, "prompt", "reply", keep_prompt=True, **batching), "replies")
-            replied.select("digest", "prompt", "reply").repartition(self.buckets, "digest").write.insertInto(self.table)
+            def mine(number: Column) -> Column:
+                return F.pmod(number, F.lit(slices)) == i
+
+            asked = prompts.where(mine(F.xxhash64(prompt))) if slices > 1 else prompts
+            part = self._texts(asked, prompt, keys.where(mine(F.col("number"))), parts)
+            replied = replies(part, model, "prompt", "reply", keep_prompt=True, **batching)
+            replied.select("digest", "prompt", "reply").write.insertInto(self.table)
         return n
 
     def attach(self, rows: DataFrame, prompt: str = "prompt", out: str = "generated_text") -> DataFrame:
         """The rows with their stored reply; a blank or null prompt has an empty one, an unasked one null."""
         kept = self.known().select(
-            F.col("digest").alias("_kept_digest"), F.col("prompt").alias("_kept_prompt"), F.col("reply").alias("_kept_reply"))
-        keyed = rows.drop(out).withColumn("_asked_digest", self._digest(F.col(prompt)))
-        found = keyed.join(kept, (F.col("_asked_digest") == F.col("_kept_digest")) & self._same(prompt, "_kept_prompt"), "left")
-        blank = F.coalesce(F.trim(prompt), F.lit("")) == ""
-        return found.withColumn(out, F.when(blank, F.lit("")).otherwise(F.col("_kept_reply"))).drop(
-            "_asked_digest", "_kept_digest", "_kept_prompt", "_kept_reply")
+            F.col("digest").alias("_kept_digest"), self._sum("prompt").alias("_kept_sum"), F.col("reply").alias("_kept_reply"))
+        # all that is needed of the prompt is taken before the join, which need not carry it
+        keyed = rows.drop(out).withColumns({
+            "_asked_digest": self._digest(F.col(prompt)), "_asked_sum": self._sum(prompt),
+            "_blank": F.coalesce(F.trim(prompt), F.lit("")) == ""})
+        found = keyed.join(kept, (F.col("_asked_digest") == F.col("_kept_digest")) & self._same("_asked_sum", "_kept_sum"), "left")
+        return found.withColumn(out, F.when(F.col("_blank"), F.lit("")).otherwise(F.col("_kept_reply"))).drop(
+            "_asked_digest", "_asked_sum", "_blank", "_kept_digest", "_kept_sum", "_kept_reply")

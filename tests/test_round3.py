@@ -57,3 +57,14 @@ def test_raw_answers_come_first(spark):
     assert re.search(r"exists\(a#\d+, lambdafunction\(Contains\(t#\d+", optimized(df))
 
 
+def test_replies_meet_rows_without_the_prompts(spark, tmp_path):
+    store = ReplyStore(spark, str(tmp_path / "store"), f"replies_{uuid.uuid4().hex}", buckets=4)
+    df = spark.createDataFrame([(i, f"prompt {i % 9}") for i in range(60)] + [(60, " ")], "id INT, prompt STRING")
+    assert store.ask(df, upper_model()) == 9 and store.ask(df, upper_model()) == 0
+    found = store.attach(df).select("id", "generated_text")
+    left = optimized(found).split("Join")[1].split("\n")[1]
+    assert "Project [id#" in left and not re.search(r"[\[ ]prompt#\d+[,\]]", left.split("Project")[1].replace("(", " (")), left
+    assert {r.id: r.generated_text for r in found.collect()} == {**{i: f"PROMPT {i % 9}" for i in range(60)}, 60: ""}
+    assert sorted(r.prompt for r in store.known().collect()) == [f"prompt {i}" for i in range(9)]
+
+
