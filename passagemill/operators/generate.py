@@ -108,11 +108,10 @@ def batch_generate(
 ) -> DataFrame:
     """Adds the generated text; `partitions` evens out slow prompts by row count.
 
-    For a model the rows are written once with a row number; only that number and the
-    prompt reach the model's tasks. The replies are written at once too and joined back,
-    so that neither a second use nor a lost executor calls the model again. Where `keys`
-    names all columns that are wanted beside the text, they go along with the prompts, and
-    nothing is stored before or joined after. With a `store`
+    For a model the rows go through the model's tasks and are written once with their
+    replies, so that neither a second use nor a lost executor calls the model again, and no
+    row is shuffled to meet its reply. Where `keys` names all columns that are wanted beside
+    the text, only they go along with the prompts. With a `store`
     (replies.ReplyStore) only prompts that it does not know are asked, each once, and all
     replies are kept there for later runs.
     """
@@ -128,14 +127,9 @@ def batch_generate(
         store.ask(rows, generate, prompt, batch_size=batch_size, token_budget=token_budget)
         replied = store.attach(rows, prompt, out)
         return replied.select(*keys, out) if keys is not None else replied
-    if keys is not None:
-        asked = prompts.repartition(partitions) if partitions else prompts
-        return stored(replies(asked, generate, prompt, out, batch_size, token_budget), "replies")
-    rows = stored(prompts.withColumn("_row", F.monotonically_increasing_id()), "prompts")
-    asked = rows.select("_row", prompt)
-    asked = asked.repartition(partitions) if partitions else asked
-    replied = stored(replies(asked, generate, prompt, out, batch_size, token_budget), "replies")
-    return rows.drop(out).join(replied, "_row").drop("_row")
+    asked = prompts.drop(out).repartition(partitions) if partitions else prompts.drop(out)
+    return stored(replies(
+        asked, generate, prompt, out, batch_size, token_budget, keep_prompt=keys is None or prompt in keys), "replies")
 
 
 def selection_run(
@@ -156,11 +150,15 @@ def selection_run(
         select_instruction, S.alias_prompt(stripped, "document_indices")))
     asked = contexts.withColumn("selector_prompt", F.when(
         F.trim("prompt") == "", F.lit("")).otherwise(chat))
+    names = asked.columns
+    if isinstance(generate, Model):  # the prompt is replaced below: it need not be kept till then
+        asked = asked.drop("prompt")
     answered = batch_generate(asked, generate, "selector_prompt", "selector_text", **batching)
     decoded = answered.withColumn(
         "selected_ids_raw", S.decode_selection("selector_text", "document_indices"))
     return decoded.withColumn("prompt", S.rebuild_prompt(
-        "query", S.documents_as_parsed("docs"), "selected_ids_raw", rebuild_instruction, style))
+        "query", S.documents_as_parsed("docs"), "selected_ids_raw", rebuild_instruction, style),
+    ).select(*names, *[c for c in ("selector_text", "selected_ids_raw") if c not in names])
 
 
 def selected_docs(docs: Column | str = "docs", raw: Column | str = "selected_ids_raw") -> Column:
@@ -199,4 +197,5 @@ def reanswer_run(
 
 def without_special_tokens(prompt: Column) -> Column:
     """Prompt text as a decoder returns it, without turn marks."""
-    return let(prompt, lambda p: F.regexp_replace(p, "<start_of_turn>|<end_of_turn>", ""))
+    # one alternative behind a common opening is tried at "<" alone
+    return let(prompt, lambda p: F.regexp_replace(p, "<(?:start|end)_of_turn>", ""))

@@ -57,6 +57,18 @@ def test_raw_answers_come_first(spark):
     assert re.search(r"exists\(a#\d+, lambdafunction\(Contains\(t#\d+", optimized(df))
 
 
+def test_rows_stay_with_their_replies(spark):
+    df = spark.createDataFrame(
+        [(i, f"p{i}", [i], {"k": i}) for i in range(50)] + [(50, None, None, None)],
+        "id INT, prompt STRING, docs ARRAY<INT>, more MAP<STRING, INT>")
+    for options in ({}, {"partitions": 3}, {"token_budget": 4}):
+        got = G.batch_generate(df, upper_model(), **options)
+        assert got.columns == ["id", "prompt", "docs", "more", "generated_text"]
+        assert "Join" not in optimized(got)
+        assert {r.id: (r.docs, r.more, r.generated_text) for r in got.collect()} == {
+            **{i: ([i], {"k": i}, f"P{i}") for i in range(50)}, 50: (None, None, "")}
+
+
 def test_replies_meet_rows_without_the_prompts(spark, tmp_path):
     store = ReplyStore(spark, str(tmp_path / "store"), f"replies_{uuid.uuid4().hex}", buckets=4)
     df = spark.createDataFrame([(i, f"prompt {i % 9}") for i in range(60)] + [(60, " ")], "id INT, prompt STRING")
