@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
@@ -30,7 +32,25 @@ def found_in(texts: list[str], wanted: list[str]) -> list[set[int]]:
     return [{n for _, n in automaton.iter(text)} for text in texts]
 
 
+SLICE_BYTES = 8 << 20  # of text that is held as Python strings at a time
+
+
 def _matches(texts: pa.Array, answers: pa.Array) -> pa.Array:
+    """The matches of an Arrow batch, a slice of rows at a time: a batch has a fixed number of
+    rows, whose texts may be of any length."""
+    held = pc.fill_null(pc.binary_length(texts.flatten()), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(held)))[np.concatenate(
+        ([0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))))]
+    parts, start = [], 0
+    while start < len(texts):
+        # as many rows as stay within the limit, one at least
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
+        parts.append(_slice_matches(texts[start:stop], answers[start:stop]))
+        start = stop
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.list_(pa.int32())))
+
+
+def _slice_matches(texts: pa.Array, answers: pa.Array) -> pa.Array:
     texts, answers = texts.to_pylist(), answers.to_pylist()
     asked = {a: None for row in answers for a in row or () if a}
     number = {a: n for n, a in enumerate(asked)}

@@ -80,3 +80,16 @@ def test_replies_meet_rows_without_the_prompts(spark, tmp_path):
     assert sorted(r.prompt for r in store.known().collect()) == [f"prompt {i}" for i in range(9)]
 
 
+def test_texts_of_a_batch_are_searched_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    held, found_in = [], automaton.found_in
+    monkeypatch.setattr(automaton, "found_in", lambda texts, wanted: (held.append(sum(map(len, texts))), found_in(texts, wanted))[1])
+    monkeypatch.setattr(automaton, "SLICE_BYTES", 1000)
+    texts = pa.array([["a red " + "x" * 300, None], [], None, ["y" * 5000 + " blue"]] * 20)
+    answers = pa.array([["red", "", None], ["red"], ["red"], ["blue", "red"]] * 20)
+    for cut in (0, 3):
+        got = automaton._matches(texts[cut:], answers[cut:]).to_pylist()
+        assert got == ([[[0, 1], []], [], None, [[0]]] * 20)[cut:]
+    assert max(held) <= 5005 and sum(h > 1100 for h in held) <= 40
+    assert automaton._matches(texts[:0], answers[:0]).to_pylist() == []
