@@ -20,7 +20,7 @@ from passagemill.functions.match import answer_match
 from passagemill.functions.text import col, first_line, let
 from passagemill.operators.generate import Model, replies
 from passagemill.schemas import TRACE
-from passagemill.session import stored
+from passagemill.session import stored, stored_by
 
 Generator = Callable[[Column], Column]
 _IDS = "array<bigint>"
@@ -30,12 +30,24 @@ _STATE = (
 )
 
 
-def _distinct_content(docs: Column) -> Column:
-    def content(d: Column) -> Column:
-        return P.content_hash(*(F.coalesce(d[c], F.lit("")) for c in ("title", "text")))
+_CONTENT = "_content"
+
+
+def _with_content(docs: Column) -> Column:
+    """The documents with a hash of their content, made once for all candidates."""
+    return F.transform(docs, lambda d: d.withField(
+        _CONTENT, P.content_hash(*(F.coalesce(d[c], F.lit("")) for c in ("title", "text")))))
+
 
-    return let(F.transform(docs, content), lambda texts: F.filter(
-        docs, lambda d, i: F.array_position(texts, content(d)) == i + 1))
+def _first_of_content(docs: Column) -> Column:
+    """The first document of each content, without the hash."""
+    first = let(F.transform(docs, lambda d: d[_CONTENT]), lambda texts: F.filter(
+        docs, lambda d, i: F.array_position(texts, d[_CONTENT]) == i + 1))
+    return F.transform(first, lambda d: d.dropFields(_CONTENT))
+
+
+def _distinct_content(docs: Column) -> Column:
+    return let(_with_content(docs), _first_of_content)
 
 
 def _candidate(base: Column, doc_id: Column, ids: Column, docs: Column) -> Column:
@@ -49,7 +61,7 @@ def _candidate(base: Column, doc_id: Column, ids: Column, docs: Column) -> Colum
             doc_id.alias("doc_id"), ids.alias("ids"), kept.alias("docs"),
             F.concat(text, cue).alias("prompt"))
 
-    return let(_distinct_content(docs), build)
+    return let(_first_of_content(docs), build)
 
 
 def _no_documents(base: Column, docs: Column) -> Column:
@@ -137,7 +149,7 @@ def _base_prompt(base_prompt: Column | None) -> Column:
 
 
 def _unpacked(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in ("base_prompt", "state")], "state.*")
+    return df.select(*[c for c in df.columns if c not in ("base_prompt", "state", "_searched")], "state.*")
 
 
 def mine_silver(
@@ -166,8 +178,9 @@ def silver_round(
 def _mined(
     contexts: DataFrame, generate: Generator, rounds: Column, extract, base_prompt: Column | None,
 ) -> DataFrame:
-    docs, answers = F.col("docs"), F.col("answers")
-    prepared = contexts.withColumn("base_prompt", _base_prompt(base_prompt))
+    docs, answers = F.col("_searched"), F.col("answers")
+    prepared = contexts.withColumn("base_prompt", _base_prompt(base_prompt)).withColumn(
+        "_searched", _with_content(F.col("docs")))
     base = F.col("base_prompt")
 
     def judged(candidates: Column, then: Callable[[Column], Column]) -> Column:
@@ -198,7 +211,10 @@ def mine_silver_with_model(
     rows = stored(
         contexts.withColumn("base_prompt", _base_prompt(base_prompt))
         .withColumn("_row", F.monotonically_increasing_id()), "silver-contexts")
-    answers = rows.select("_row", "answers")
+    # what a round needs lies bucketed by row, so that no round shuffles the documents
+    searched = stored_by(rows.select(
+        "_row", "answers", "base_prompt", _with_content(F.col("docs")).alias("docs")), "_row", "silver-searched")
+    answers = searched.select("_row", "answers")
     base, docs, state = F.col("base_prompt"), F.col("docs"), F.col("state")
 
     def judged(asked: DataFrame) -> DataFrame:
@@ -216,12 +232,12 @@ def mine_silver_with_model(
             F.array_sort(F.collect_list(F.struct("_n", result.alias("_result")))),
             lambda r: r["_result"]).alias("_results"))
 
-    found = judged(rows.select("_row", _no_documents(base, docs).alias("_candidates")))
+    found = judged(searched.select("_row", _no_documents(base, docs).alias("_candidates")))
     nothing = F.array().cast(found.schema["_results"].dataType)
     states = [stored(found.select(
         "_row", _first_state(F.col("_results")).alias("state")), "silver-state")]
     while not (active := states[-1].where("state.active")).isEmpty():
-        found = judged(rows.join(active, "_row").select(
+        found = judged(searched.join(active, "_row").select(
             "_row", _one_more_document(base, docs, state).alias("_candidates")))
         grown = active.join(found, "_row", "left").select("_row", _next_state(
             state, F.coalesce("_results", nothing)).alias("state"))

@@ -98,17 +98,19 @@ def toy_answer(docs: Column, pos="example_pos", query="query", answers="answers"
         abstain = F.lit(fv.ABSTAIN_TOKEN)
         last = words_at(F.element_at(given, -1)["text"], 1, 6)
         holders = F.filter(given, lambda d: F.contains(d["text"], query))
-        hit = F.get(holders, F.lit(0))["text"]
-        after = F.trim(F.substring(hit, F.instr(hit, query) + F.length(query), F.length(hit)))
         count = F.when(pos % 2 == 0, F.greatest(F.lit(3), 9 - 2 * n)).otherwise(F.lit(5))
+        # one search through the documents: Catalyst would repeat it for every use of a hit
+        told = F.transform(holders, lambda d: words_from(words_at(F.trim(F.substring(
+            d["text"], F.instr(d["text"], query) + F.length(query), F.length(d["text"]))), 1, 7), F.lit(1), count))
         return (
             F.when(n == 0, F.when(pos % 7 == 3, F.concat(first, F.lit(" indeed")))
                    .otherwise(abstain))
             .when(pos % 11 == 4, last)
-            .when(hit.isNotNull(), words_from(words_at(after, 1, 7), F.lit(1), count))
-            .when(pos % 5 == 0, abstain)
-            .when(pos % 7 == 3, F.concat(first, F.lit(" perhaps")))
-            .otherwise(last))
+            .otherwise(F.coalesce(
+                F.get(told, F.lit(0)),
+                F.when(pos % 5 == 0, abstain)
+                .when(pos % 7 == 3, F.concat(first, F.lit(" perhaps")))
+                .otherwise(last))))
 
     return F.coalesce(let(docs, reply), F.lit(fv.ABSTAIN_TOKEN))
 

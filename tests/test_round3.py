@@ -80,6 +80,16 @@ def test_replies_meet_rows_without_the_prompts(spark, tmp_path):
     assert sorted(r.prompt for r in store.known().collect()) == [f"prompt {i}" for i in range(9)]
 
 
+def test_contents_are_hashed_once_for_all_candidates(spark):
+    df = spark.createDataFrame(
+        [(1, "which", ["blue"], [(1, "t", "red"), (2, "t", "blue"), (3, "t", "blue")])],
+        "example_id INT, query STRING, answers ARRAY<STRING>, docs ARRAY<STRUCT<doc_id: BIGINT, title: STRING, text: STRING>>")
+    mined = V.mine_silver(df, lambda cs: F.transform(cs, lambda c: F.coalesce(F.get(c["docs"], F.size(c["docs"]) - 1)["text"], F.lit("none"))))
+    assert mined.schema["docs"] == df.schema["docs"] and "_searched" not in mined.columns
+    assert optimized(mined).count("sha2(") == 1
+    assert mined.first().silver == [2]
+
+
 def test_texts_of_a_batch_are_searched_in_slices(spark, monkeypatch):
     import pyarrow as pa
 
