@@ -187,18 +187,30 @@ def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
             F.col("least.h").alias("first_hash"))
 
 
+def _close_prints(rows: DataFrame) -> DataFrame:
+    """(fp, size, band) of the sets with words among stored sketches; a band is a SimHash group."""
+    sets = rows.where("size > 0").select("fp", "size", "print").distinct()
+    distinct = sets.select(F.col("print").alias("fp")).distinct()
+    distinct = distinct.repartition(parts_for(rows.select("print"), PRINT_BYTES), "fp")
+    groups = sets.join(components(links(distinct)), F.col("print") == F.col("node"), "left")
+    return groups.select("fp", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("band"))
+
+
 def keep_one(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with all its columns.
 
-    Groups here are linked by the similarity of whole texts, not by close fingerprints, which
-    miss most copies with a few changed words: at least `similarity` (Jaccard) between the
-    sets of shingles of `words_each` words. Texts without words are one group.
+    The SimHash groups of op7 (fingerprints of 3 words, 2 bits) are candidates, and so are the
+    texts that agree on a MinHash band, since close fingerprints miss most copies with a few
+    changed words. The whole sets decide: groups are linked by a similarity (Jaccard) of at
+    least `similarity` between the sets of shingles of `words_each` words. Texts without words
+    are one group.
 
     Rows equal in doc_id and text are one document and leave one row; which of their other
     columns stays is the choice of the aggregation.
     """
-    rows = stored(minhash.sketches(docs, words_each, similarity), "sketches")
-    found = _grouped(rows.select("doc_id", "text_hash", "fp"), minhash.links(docs, rows, words_each, similarity))
+    rows = stored(minhash.sketches(docs, words_each, similarity, fingerprint), "sketches")
+    edges = minhash.links(docs, rows, words_each, similarity, proposed=_close_prints(rows))
+    found = _grouped(rows.select("doc_id", "text_hash", "fp"), edges)
     wanted = found.where(
         F.coalesce("doc_id", F.lit(2**63 - 1)).eqNullSafe(F.coalesce("component_id", F.lit(2**63 - 1)))
         & (F.col("text_hash") == F.col("first_hash"))
