@@ -10,7 +10,9 @@ import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -43,11 +45,19 @@ def _replies(model: Callable[[list[str]], list[str]], prompts: list[str]) -> lis
     return [next(texts) if p and p.strip() else "" for p in prompts]
 
 
-def _row_windows(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+WINDOW_BYTES = 8 << 20  # of prompts that are held as Python strings at a time
+
+
+def _row_windows(batches: Iterator[pa.RecordBatch], rows: int | None, prompt: str) -> Iterator[pa.RecordBatch]:
+    """Runs of `rows` rows, or else of as many as stay within WINDOW_BYTES, one at least."""
     for batch in batches:
-        step = rows or max(batch.num_rows, 1)
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+        held = pc.fill_null(pc.binary_length(batch.column(prompt)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.concatenate(([0], np.cumsum(held, dtype=np.int64))), 0
+        while start < batch.num_rows:
+            stop = start + rows if rows else max(
+                start + 1, int(np.searchsorted(ends, ends[start] + WINDOW_BYTES, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _token_windows(
@@ -76,7 +86,8 @@ def replies(
     """The rows of `asked` with the model's text in place of the prompt, lazily.
 
     Every column of `asked` passes through the model's tasks: give keys and prompts only.
-    The model gets at most `batch_size` prompts at once (default: a whole Arrow batch).
+    The model gets at most `batch_size` prompts at once (default: an Arrow batch, in runs of
+    WINDOW_BYTES).
 
     With `token_budget` each task sorts its rows by length and gives the model runs of
     prompts whose number times the longest one is within the budget, so that little of a
@@ -89,7 +100,7 @@ def replies(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = load()
-        windows = _row_windows(batches, batch_size) if token_budget is None else _token_windows(
+        windows = _row_windows(batches, batch_size, prompt) if token_budget is None else _token_windows(
             batches, token_budget, batch_size)
         for part in windows:
             found = pa.array(_replies(answer, part.column(prompt).to_pylist()), pa.string())
@@ -125,7 +136,7 @@ def batch_generate(
     if store is not None:
         rows = stored(prompts, "prompts")
         store.ask(rows, generate, prompt, batch_size=batch_size, token_budget=token_budget)
-        replied = store.attach(rows, prompt, out)
+        replied = store.attach(rows, prompt, out, None if keys is None or prompt in keys else keys)
         return replied.select(*keys, out) if keys is not None else replied
     asked = prompts.drop(out).repartition(partitions) if partitions else prompts.drop(out)
     return stored(replies(

@@ -1258,7 +1258,7 @@ def reply_store(spark, sf):
     for n in range(2):  # the second opens the folder anew, as a later session would
         store = ReplyStore(spark, path, f"{path.rpartition('/')[2].replace('-', '_')}_{n}", buckets=8)
         asked.append(store.ask(rows, G.Model(load_echo_model)))
-    return store.attach(rows).select(
+    return store.attach(rows, keys=["example_id"]).select(
         "example_id", "generated_text", F.lit(asked[0]).cast("long").alias("asked"),
         F.lit(asked[1]).cast("long").alias("asked_again"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -71,6 +73,17 @@ def stored_by(df, key: str, name: str):
     return spark.table(table)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
+    """A session setting for the time of one write."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def input_bytes(df) -> int:
     """Catalyst's size estimate of a table, from its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
