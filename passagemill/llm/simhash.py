@@ -187,29 +187,48 @@ def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
             F.col("least.h").alias("first_hash"))
 
 
-def _close_prints(rows: DataFrame) -> DataFrame:
-    """(fp, size, band) of the sets with words among stored sketches; a band is a SimHash group."""
-    sets = rows.where("size > 0").select("fp", "size", "print").distinct()
+def _print_groups(rows: DataFrame, within: int = 2) -> DataFrame:
+    """(fp, size, band) of the sets among stored sketches; a band is a SimHash group."""
+    sets = rows.select("fp", "size", "print").distinct()
     distinct = sets.select(F.col("print").alias("fp")).distinct()
     distinct = distinct.repartition(parts_for(rows.select("print"), PRINT_BYTES), "fp")
-    groups = sets.join(components(links(distinct)), F.col("print") == F.col("node"), "left")
+    groups = sets.join(components(links(distinct, within)), F.col("print") == F.col("node"), "left")
     return groups.select("fp", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("band"))
 
 
-def keep_one(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+def _close_prints(rows: DataFrame) -> DataFrame:
+    """The groups of the sets with words, to be compared."""
+    return _print_groups(rows.where("size > 0"))
+
+
+def _print_links(rows: DataFrame, within: int) -> DataFrame:
+    """Links (a, b) from the least set of each SimHash group to its others."""
+    placed = stored(_print_groups(rows, within).select("fp", "band").distinct(), "print-groups")
+    least = placed.groupBy("band").agg(F.min("fp").alias("least"))
+    # a group may have any share of the sets
+    return lookup(placed, least, "band", is_stored=True).where("fp <> least").select(
+        F.col("least").alias("a"), F.col("fp").alias("b"))
+
+
+def keep_one(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, within: int | None = None) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with all its columns.
 
-    The SimHash groups of op7 (fingerprints of 3 words, 2 bits) are candidates, and so are the
-    texts that agree on a MinHash band, since close fingerprints miss most copies with a few
-    changed words. The whole sets decide: groups are linked by a similarity (Jaccard) of at
-    least `similarity` between the sets of shingles of `words_each` words. Texts without words
-    are one group.
+    Groups are linked by a similarity (Jaccard) of at least `similarity` between the sets of
+    shingles of `words_each` words. Texts that agree on a MinHash band are compared by their
+    whole sets, since close fingerprints miss most copies with a few changed words. With
+    `within`, whatever op7 links is linked too: texts whose fingerprints of 3 words differ in
+    at most so many bits, which the sets may miss where many changes lie in few places; a group
+    is then what links of both kinds join. Without it the groups of op7 (2 bits) are only
+    compared like a band, and the sets decide. Texts without words are one group.
 
     Rows equal in doc_id and text are one document and leave one row; which of their other
     columns stays is the choice of the aggregation.
     """
     rows = stored(minhash.sketches(docs, words_each, similarity, fingerprint), "sketches")
-    edges = minhash.links(docs, rows, words_each, similarity, proposed=_close_prints(rows))
+    if within is None:
+        edges = minhash.links(docs, rows, words_each, similarity, proposed=_close_prints(rows))
+    else:
+        edges = minhash.links(docs, rows, words_each, similarity).unionAll(_print_links(rows, within))
     found = _grouped(rows.select("doc_id", "text_hash", "fp"), edges)
     wanted = found.where(
         F.coalesce("doc_id", F.lit(2**63 - 1)).eqNullSafe(F.coalesce("component_id", F.lit(2**63 - 1)))
